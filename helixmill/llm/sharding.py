@@ -43,10 +43,11 @@ def _loads(cells: DataFrame, shards: int) -> list[int]:
 
 def _round(cells: DataFrame, room: list[int]) -> DataFrame:
     """cells: gid, shard, n. Moves what the rooms admit towards each group's largest open shard."""
-    open_n = F.when(F.element_at(_numbers(room), F.col("shard") + 1) > 0, F.struct(F.col("n").alias("n"), (-F.col("shard")).alias("m")))
+    rating = F.struct(F.col("n").alias("n"), F.xxhash64("gid", "shard").alias("m"), F.col("shard").alias("shard"))  # ties by a hash
+    open_n = F.when(F.element_at(_numbers(room), F.col("shard") + 1) > 0, rating)
     best = Window.partitionBy("gid")
-    asked = cells.withColumn("_b", F.max(open_n).over(best)).withColumn("to", -F.col("_b.m"))
-    wants = (F.col("to") != F.col("shard")) & (F.struct(F.col("n"), (-F.col("shard")).alias("m")) < F.col("_b"))
+    asked = cells.withColumn("_b", F.max(open_n).over(best)).withColumn("to", F.col("_b.shard"))
+    wants = (F.col("to") != F.col("shard")) & (rating < F.col("_b"))
     asked = asked.withColumn("ask", F.when(wants, F.col("n")).otherwise(F.lit(0)))
     asked = asked.withColumns({"_g": F.floor(F.log2(F.col("_b.n") + F.lit(1))).cast("int"), "_h": F.pmod(F.xxhash64("gid"), F.lit(HASHES)).cast("int")})
     moves = asked.where("ask > 0")
