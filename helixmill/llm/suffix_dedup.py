@@ -128,7 +128,7 @@ def spans_removed(docs: DataFrame) -> DataFrame:
     A byte is removed if some LENGTH bytes that cover it also start in a document of a smaller id. Documents of one id
     don't count against each other, rows with a null id neither lose bytes nor cost others any, a null text is empty.
     """
-    n = partitions(docs.sparkSession, 4)
+    n = partitions(docs.sparkSession)  # a bucket answers each cell with one row at most, so both are as few as memory allows
     text = F.coalesce("text", F.lit(""))
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumns({"digest": F.unhex(F.md5("text")), "cell": F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")})
