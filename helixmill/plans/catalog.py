@@ -1,4 +1,4 @@
-"""All queries of the library and their SQL, by name.
+"""Queries on reads, sites and populations, and their SQL.
 
 A query takes (spark, sf_dir). Each SQL text begins with the views it needs, written for any engine with CTEs.
 """
@@ -11,24 +11,9 @@ from pyspark.sql import functions as F
 
 from helixmill.operators import intervals, population, reads, sites
 from helixmill.plans import sql
+from helixmill.plans.registry import THETA, WIN, query
 from helixmill.sources import views
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-WIN = 5000
-THETA = 0.001
-
-
-def query(text: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if text:
-            ORACLES[f.__name__] = text
-        return f
-
-    return keep
-
-
 # reads
 
 
@@ -365,9 +350,9 @@ def pmds_score(s, d):
     return sites.pmds_score(views.bases(s, d))
 
 
-@query(f"WITH {sql.PMDS_CTE} SELECT round(ds, 1) AS bin, count(*) AS n FROM (SELECT read_id, round(s, 6) AS ds FROM scores) GROUP BY ALL")
+@query(f"WITH {sql.PMDS_CTE} SELECT round(ds, 1) + 0.0 AS bin, count(*) AS n FROM (SELECT read_id, round(s, 6) AS ds FROM scores) GROUP BY ALL")
 def pmds_histogram(s, d):
-    return sites.pmds_score(views.bases(s, d)).groupBy(F.round("ds", 1).alias("bin")).agg(F.count("*").alias("n"))
+    return sites.pmds_score(views.bases(s, d)).groupBy((F.round("ds", 1) + 0.0).alias("bin")).agg(F.count("*").alias("n"))
 
 
 @query(

@@ -7,7 +7,8 @@ import duckdb
 import pytest
 
 from helixmill.operators import sites
-from helixmill.plans import catalog
+from helixmill.plans import catalog, models, selection  # noqa: F401
+from helixmill.plans.registry import ORACLES, QUERIES
 from helixmill.sources import views
 
 SF = "/root/testdata/sf0.001"
@@ -25,12 +26,12 @@ def tidy(v):
     return v if v is None or isinstance(v, str) else round(float(v), 6)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_against_sql(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(str([tidy(r[c]) for c in columns]) for r in df.collect())
-    out = duck.execute(catalog.ORACLES[name])
+    out = duck.execute(ORACLES[name])
     at = [[d[0] for d in out.description].index(c) for c in columns]
     assert len(out.description) == len(columns)
     want = sorted(str([tidy(r[i]) for i in at]) for r in out.fetchall())
@@ -49,7 +50,7 @@ def test_likelihoods_are_scaled_and_follow_the_formula(spark):
 
 
 def test_mutation_load_weights(spark):
-    got = catalog.QUERIES["mutation_load"](spark, SF).collect()
+    got = QUERIES["mutation_load"](spark, SF).collect()
     assert sum(r.weight for r in got) == pytest.approx(1, abs=1e-5) and got[0].weight > 0.5
 
 
