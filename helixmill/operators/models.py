@@ -88,7 +88,8 @@ def hky85(sites: DataFrame, iterations: int = 5) -> DataFrame:
             at = back(y)
     finally:
         rows.unpersist()
-    return sites.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(lls)], "step int, ll double").crossJoin(sites.sparkSession.createDataFrame([tuple(map(float, at))], "mu double, theta_r double, theta_g double"))
+    steps = [(i, float(x), *map(float, at)) for i, x in enumerate(lls)]
+    return sites.sparkSession.createDataFrame(steps, "step int, ll double, mu double, theta_r double, theta_g double")
 
 
 def fit_theta(gl: np.ndarray, freqs: np.ndarray, weights: np.ndarray, iterations: int = 100) -> tuple[float, float]:
