@@ -122,13 +122,16 @@ class Tables:
 def training_rows(docs: DataFrame, per_label: int = 400, max_labels: int = 200) -> DataFrame:
     """At most per_label texts of each of the max_labels commonest languages, chosen by a hash of the id.
 
-    Only documents outside the held-out fifth, with a text of one letter or more and a language, are used.
+    Only documents outside the held-out fifth, with a text of one letter or more and a language, are used. Of a language's
+    texts only those of low hash, some four times per_label whatever their number, are ranked.
     """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.coalesce(has_letter(), F.lit(False)))
-    few = F.broadcast(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels).select("lang"))
+    few = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(max_labels))
+    low = F.shiftrightunsigned("_h", 11) / float(1 << 53) * F.col("_n") < 4 * per_label
+    ids = rows.select("doc_id", "lang", F.xxhash64(F.col("doc_id")).alias("_h")).join(few, "lang").where(low)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
-    ids = rows.select("doc_id", "lang", F.xxhash64(F.col("doc_id")).alias("_h")).withColumn("_k", rank).where(F.col("_k") <= per_label)
-    ids = F.broadcast(ids.join(few, "lang").select("doc_id").distinct())  # per_label * max_labels ids at most
+    ids = ids.withColumn("_k", rank).where(F.col("_k") <= per_label)
+    ids = F.broadcast(ids.select("doc_id").distinct())  # per_label * max_labels ids at most
     return rows.join(ids, "doc_id").select("text", "lang").limit(per_label * max_labels)
 
 
@@ -143,16 +146,22 @@ def has_letter():
 
 def train(docs: DataFrame, per_label: int = 400, max_labels: int = 200, windows_each: int = 6) -> Network | None:
     """A network fitted to windows spread evenly over each sampled text; None if there is nothing to learn from."""
-    rows = sorted(training_rows(docs, per_label, max_labels).collect())
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(0):
+                raw = text.as_py().encode("utf-8", "surrogatepass")
+                at = np.unique(np.linspace(0, max(0, len(raw) - LENGTH), windows_each).astype(int))
+                out.append([raw[a : a + LENGTH].ljust(LENGTH, b"\0") for a in at])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.binary()))], names=["lang", "windows"])
+
+    # Windows, of a fixed number and length for each text, go to the driver; texts don't.
+    rows = training_rows(docs, per_label, max_labels).mapInArrow(cut, "lang string, windows array<binary>").collect()
     if not rows:
         return None
     labels = sorted({r.lang for r in rows})
-    x, y = [], []
-    for text, lang in rows:
-        raw = text.encode("utf-8", "surrogatepass")
-        for at in np.unique(np.linspace(0, max(0, len(raw) - LENGTH), windows_each).astype(int)):
-            x.append(raw[at : at + LENGTH].ljust(LENGTH, b"\0"))
-            y.append(labels.index(lang))
+    windows = sorted((labels.index(r.lang), bytes(w)) for r in rows for w in r.windows)
+    x, y = [w for _, w in windows], [k for k, _ in windows]
     net = Network(labels)
     return net.fit(np.frombuffer(b"".join(x), np.uint8).reshape(-1, LENGTH), np.array(y))
 
