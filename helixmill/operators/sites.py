@@ -103,17 +103,17 @@ def allelic_depth_table(pile: DataFrame) -> DataFrame:
     return pile.groupBy("na", "nc", "ng", "nt").agg(F.count("*").alias("n")).withColumns({"major": major.cast("long"), "major_depth": top})
 
 
-def site_sums(bases: DataFrame) -> DataFrame:
+def site_sums(bases: DataFrame, *by: str) -> DataFrame:
     """The nine sums that give a site's ten genotype likelihoods: no list of bases is ever collected."""
     miss, one, two = log_terms(phred_to_prob())
     rows = bases.withColumns({"_miss": miss, "_one": one, "_two": two})
-    by = [F.sum(F.when(F.col("base") == b, F.col(f"_{k}")).otherwise(0.0)).alias(f"s_{k}{b}") for k in ("one", "two") for b in range(4)]
-    return rows.groupBy(*KEY, "ref").agg(F.count("*").alias("depth"), F.sum("_miss").alias("s_miss"), *by)
+    sums = [F.sum(F.when(F.col("base") == b, F.col(f"_{k}")).otherwise(0.0)).alias(f"s_{k}{b}") for k in ("one", "two") for b in range(4)]
+    return rows.groupBy(*by, *KEY, "ref").agg(F.count("*").alias("depth"), F.sum("_miss").alias("s_miss"), *sums)
 
 
-def genotype_likelihoods(bases: DataFrame) -> DataFrame:
-    """chrom, site, ref, depth, logs (ten ln likelihoods) and gl (scaled to a greatest of 1)."""
-    rows = site_sums(bases).select(*KEY, "ref", "depth", genotype_logs().alias("logs"))
+def genotype_likelihoods(bases: DataFrame, *by: str) -> DataFrame:
+    """The columns by, chrom, site, ref, depth, logs (ten ln likelihoods) and gl (scaled to a greatest of 1)."""
+    rows = site_sums(bases, *by).select(*by, *KEY, "ref", "depth", genotype_logs().alias("logs"))
     return rows.withColumn("gl", scaled("logs"))
 
 
