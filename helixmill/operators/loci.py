@@ -53,8 +53,8 @@ def pileup_to_bed(pile: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def bases_x_reference(bases: DataFrame, reference: DataFrame) -> DataFrame:
-    """Bases with the reference base of their site, null where the reference has none."""
-    return bases.drop("ref").join(reference.select(*SITE, "ref"), SITE, "left")
+    """Bases with the reference base of their site, N (4) where the reference has none."""
+    return bases.drop("ref").join(reference.select(*SITE, "ref"), SITE, "left").withColumn("ref", F.coalesce("ref", F.lit(4).cast("long")))
 
 
 def common_sites(bases: DataFrame, sample: str) -> DataFrame:

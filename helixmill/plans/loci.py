@@ -64,7 +64,7 @@ def pileup_to_bed(s, d):
     return loci.pileup_to_bed(sites.pileup(views.bases(s, d)), 4, 9)
 
 
-@query(f"WITH {sql.BASES}, r AS (SELECT DISTINCT chrom, site, ref FROM bases WHERE site % 2 = 0) SELECT b.chrom, r.ref, b.base, count(*) AS n FROM bases b LEFT JOIN r ON b.chrom = r.chrom AND b.site = r.site GROUP BY ALL")
+@query(f"WITH {sql.BASES}, r AS (SELECT DISTINCT chrom, site, ref FROM bases WHERE site % 2 = 0) SELECT b.chrom, coalesce(r.ref, 4) AS ref, b.base, count(*) AS n FROM bases b LEFT JOIN r ON b.chrom = r.chrom AND b.site = r.site GROUP BY ALL")
 def bases_x_reference(s, d):
     reference = views.bases(s, d).where("site % 2 = 0").select("chrom", "site", "ref").distinct()
     return loci.bases_x_reference(views.bases(s, d), reference).groupBy("chrom", "ref", "base").agg(F.count("*").alias("n"))
