@@ -1,10 +1,12 @@
 """Quality rules whose cut-offs are chosen under a proven bound on false rejections.
 
-Features of every text are computed in one narrow pass. Labelled documents then calibrate, for each stratum and rule,
-how far a cut-off may be tightened: cut-offs are tried from the most lenient on, and each must show by the exact
-binomial tail that it rejects less than ``alpha / rules`` of the good documents. Going on only while tests succeed keeps
-the error of one rule at its level (fixed-sequence testing), and that level is ``delta / (strata * rules)`` (Bonferroni).
+Features of every text are computed in one narrow pass. Labelled documents then calibrate, for each stratum, how far the
+cut-offs of all rules may be tightened: one sequence of steps, each of which tightens one rule, goes from no rule on, and
+after each step the exact binomial tail must show that the rules together reject less than ``alpha`` of the good
+documents. The sequence is drawn up from the bad documents alone, so it is fixed for the good ones, and going on only
+while tests succeed keeps the error of a stratum at its level (fixed-sequence testing), ``delta / strata`` (Bonferroni).
 So with probability ``1 - delta`` no stratum loses more than the share ``alpha`` of its good documents to the rules.
+A stratum of fewer than ``least_good(strata)`` good documents can't pass any test and has no verdict.
 """
 
 from __future__ import annotations
@@ -110,22 +112,50 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return float(min(1.0, math.exp(top) * np.exp(logs - top).sum()))
 
 
-def chosen(cells: pd.DataFrame, alpha: float, level: float) -> pd.DataFrame:
-    """Of one stratum's cells (rule, step, good, good_out, bad_out): a step for each rule that may be used, else none.
+def least_good(strata: int, alpha: float = 0.01, delta: float = 0.05) -> int:
+    """Good labelled documents that a stratum needs for a verdict, if the rules reject none of them."""
+    return math.ceil(math.log(delta / strata) / math.log1p(-alpha))
+
 
-    Of the steps that pass, the one that rejects most bad documents, the most lenient if several do.
+def sequence(first: dict[str, np.ndarray], bad: np.ndarray) -> Iterator[tuple[str, int]]:
+    """Steps (rule, step): the next that rejects more bad documents, of the rule that could yet reject most of those left.
+
+    ``first`` holds for each rule the first step that rejects the documents of a cell, ``bad`` how many of them are bad.
     """
-    out = []
-    for rule, part in cells.sort_values("step").groupby("rule"):
+    left = bad.astype(np.int64).copy()
+    while True:
         best = None
-        for row in part.itertuples():
-            if binomial_tail(int(row.good_out), int(row.good), alpha) > level:
-                break
-            if row.bad_out > 0 and (best is None or row.bad_out > best.bad_out):
-                best = row
-        if best is not None:
-            out.append((best.stratum, rule, RULES[rule][2][int(best.step)], int(best.good), int(best.good_out), int(best.bad_out)))
-    return pd.DataFrame(out, columns=["stratum", "rule", "cutoff", "good", "good_out", "bad_out"])
+        for rule, f in first.items():
+            ahead = (left > 0) & (f < len(RULES[rule][2]))
+            if ahead.any():
+                step = int(f[ahead].min())
+                key = int(left[ahead].sum()), -step / len(RULES[rule][2])  # of equal counts, the more lenient
+                if best is None or key > best[0]:
+                    best = key, rule, step
+        if best is None:
+            return
+        _, rule, step = best
+        left[first[rule] <= step] = 0
+        yield rule, step
+
+
+def chosen(cells: pd.DataFrame, alpha: float, level: float) -> pd.DataFrame:
+    """Of one stratum's cells (a first step for each rule, good, bad): a cut-off for each rule that may be used, else none.
+
+    good_out and bad_out are those of the rule alone; a document may be rejected by several.
+    """
+    first, good, bad = {r: cells[r].to_numpy() for r in RULES}, cells["good"].to_numpy(), cells["bad"].to_numpy()
+    n, at, out = int(good.sum()), {}, np.zeros(len(cells), bool)
+    for rule, step in sequence(first, bad):
+        out = out | (first[rule] <= step)
+        if binomial_tail(int(good[out].sum()), n, alpha) > level:
+            break
+        at[rule] = step
+    rows = [
+        (cells["stratum"].iloc[0], r, RULES[r][2][k], n, int(good[first[r] <= k].sum()), int(bad[first[r] <= k].sum()))
+        for r, k in at.items()
+    ]
+    return pd.DataFrame(rows, columns=["stratum", "rule", "cutoff", "good", "good_out", "bad_out"])
 
 
 def calibrate(features: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
@@ -137,22 +167,18 @@ def calibrate(features: DataFrame, labels: DataFrame, alpha: float = 0.01, delta
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_good"))
     held = features.where(~base_failed()).join(marks, "doc_id")
     n_strata = max(1, held.select("stratum").distinct().count())
-    steps = F.array(*(
-        F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), (ratio(rule) > F.lit(cut)).alias("out"))
-        for rule, (_, _, cuts) in RULES.items() for i, cut in enumerate(cuts)
-    ))
+    first = {
+        rule: sum((F.when(ratio(rule) > F.lit(cut), 0).otherwise(1) for cut in cuts), F.lit(0)).cast("long").alias(rule)
+        for rule, (_, _, cuts) in RULES.items()
+    }  # cut-offs fall, so those that don't reject a document come before those that do
     cells = (
-        held.select("stratum", "_good", F.inline(steps))
-        .groupBy("stratum", "rule", "step")
-        .agg(
-            F.count_if(F.col("_good") > 0).alias("good"),
-            F.count_if((F.col("_good") > 0) & F.col("out")).alias("good_out"),
-            F.count_if((F.col("_good") <= 0) & F.col("out")).alias("bad_out"),
-        )
+        held.select("stratum", "_good", *first.values())
+        .groupBy("stratum", *RULES)  # 8712 rows a stratum at most
+        .agg(F.count_if(F.col("_good") > 0).alias("good"), F.count_if(F.col("_good") <= 0).alias("bad"))
     )
-    level, share = delta / (n_strata * len(RULES)), alpha / len(RULES)
+    level = delta / n_strata
     schema = "stratum string, rule string, cutoff double, good long, good_out long, bad_out long"
-    return cells.groupBy("stratum").applyInPandas(lambda x: chosen(x, share, level), schema)
+    return cells.groupBy("stratum").applyInPandas(lambda x: chosen(x, alpha, level), schema)
 
 
 def judged(features: DataFrame, cutoffs: DataFrame) -> DataFrame:

@@ -202,6 +202,39 @@ def test_calibration(spark, docs, empty):
     assert none.count() == 0
 
 
+def test_calibration_of_a_stratum_of_real_size(spark):
+    need = quality.least_good(4)
+    assert need == 437
+    rows, marks = [], []
+    for stratum, n in (("a", need), ("b", need - 1), ("c", 2027), ("d", need)):  # d: two good documents out, too many for 437
+        for i in range(n):
+            rows.append((len(rows), stratum, 100, 500, 60 if stratum == "d" and i < 2 else 2, 10, 0, 0))
+            marks.append(1)
+        for i in range(20):  # 0.4 and 0.024 of symbols, and half of the lines repeated
+            rows.append((len(rows), stratum, 100, 500, (200, 12, 0, 2)[i % 4], 10, 5 * (i % 4 == 2), 0))
+            marks.append(0)
+    features = spark.createDataFrame(rows, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in quality.COUNTS))
+    labels = spark.createDataFrame([(i, m) for i, m in enumerate(marks)], "doc_id long, quality int")
+    cut = {(r.stratum, r.rule): r.cutoff for r in quality.calibrate(features, labels).collect()}
+    assert cut == {(x, r): c for x, last in (("a", 0.02), ("c", 0.02), ("d", 0.3)) for r, c in (("symbols", last), ("dup_lines", 0.4))}
+    kept = [r.kept for r in quality.judged(features, quality.calibrate(features, labels)).orderBy("doc_id").collect()]
+    out = Counter(stratum for (_, stratum, *_), m, k in zip(rows, marks, kept, strict=True) if not k)
+    assert out == {"a": 15, "c": 15, "d": 10} and all(k for m, k in zip(marks, kept, strict=True) if m)
+
+
+def test_proof_holds_for_the_rules_together():
+    top = {r: len(c) for r, (_, _, c) in quality.RULES.items()}  # a first step past the last: never rejected
+    cell = lambda good, bad, **at: {"stratum": "a", **top, **at, "good": good, "bad": bad}
+    # symbols first, as it could reject 8 bad documents and repeats 4; the next step is of repeats, and 4 good ones are too many
+    apart = quality.pd.DataFrame([cell(996, 0), cell(2, 5, symbols=3), cell(2, 4, repeats=2), cell(0, 3, symbols=5)])
+    got = {r.rule: r for r in quality.chosen(apart, 0.01, 0.0125).itertuples()}
+    assert quality.binomial_tail(2, 1000, 0.01) <= 0.0125 < quality.binomial_tail(4, 1000, 0.01)
+    assert set(got) == {"symbols"} and (got["symbols"].cutoff, got["symbols"].good_out, got["symbols"].bad_out) == (0.2, 2, 5)
+    together = quality.pd.DataFrame([cell(998, 0), cell(2, 5, symbols=3, repeats=2), cell(0, 4, repeats=3), cell(0, 3, symbols=5)])
+    got = {r.rule: r.cutoff for r in quality.chosen(together, 0.01, 0.0125).itertuples()}
+    assert got == {"symbols": 0.1, "repeats": 0.12}
+
+
 # 4
 
 
