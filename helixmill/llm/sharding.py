@@ -4,7 +4,9 @@ Documents start at a shard drawn by a hash. Documents with equal texts are linke
 move to the shard that most of its neighbours are in, among those with room; a shard admits requests up to its quota, by
 how many neighbours they would join. Documents of a group that are in one shard are alike, so rounds work on counts by
 group and shard, of which a group has as many as there are shards. At last every shard gives what it has above its
-share to the shards below theirs, unlinked documents first, which makes the counts equal to within one.
+share to the shards below theirs, unlinked documents first, which makes the counts equal to within one. Rounds go on
+until one admits no move. Each move joins documents to at least as many, so the sum of the squared counts only grows and
+the rounds end.
 
 Ranks are made in two levels, a rank in a bucket and the bucket's offset, so no window spans a whole shard or group.
 """
@@ -37,8 +39,14 @@ def _slot_of(bounds: list[int], x: Column) -> Column:
 
 
 def _loads(cells: DataFrame, shards: int) -> list[int]:
-    got = {r.shard: r.n for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row for each shard
-    return [int(got.get(k, 0)) for k in range(shards)]
+    return _state(cells, shards)[0]
+
+
+def _state(cells: DataFrame, shards: int) -> tuple[list[int], int]:
+    """The load of each shard, and the sum of the squared counts, which every move makes larger."""
+    n = F.col("n").cast("decimal(19,0)")
+    got = {r.shard: r for r in cells.groupBy("shard").agg(F.sum("n").alias("n"), F.sum(n * n).alias("n2")).collect()}  # a row for each shard
+    return [int(got[k].n) if k in got else 0 for k in range(shards)], sum(int(r.n2) for r in got.values())
 
 
 def _round(cells: DataFrame, room: list[int]) -> DataFrame:
@@ -62,7 +70,19 @@ def _round(cells: DataFrame, room: list[int]) -> DataFrame:
     return stored(cells.unionByName(both).groupBy("gid", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
 
 
-def assigned(docs: DataFrame, shards: int = 40, rounds: int = 4) -> DataFrame:
+def _settled(cells: DataFrame, share: list[int]) -> DataFrame:
+    """cells after as many rounds as it takes until none admits a move."""
+    loads, squares = _state(cells, len(share))
+    while True:
+        # Unlinked documents give way at the end, at no cost, so linked ones may fill a shard's share.
+        cells = _round(cells, [max(0, s - h) for s, h in zip(share, loads, strict=True)])
+        before = squares
+        loads, squares = _state(cells, len(share))
+        if squares == before:
+            return cells
+
+
+def assigned(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs; the law is ``rows``.
 
     Rows are treated one by one: repeated rows are linked copies, null ids are allowed, null texts count as empty.
@@ -82,10 +102,7 @@ def assigned(docs: DataFrame, shards: int = 40, rounds: int = 4) -> DataFrame:
     linked = stored(groups.groupBy("gid").agg(F.sum("n").alias("_all")).where("_all > 1").select("gid"))
     cells = stored(groups.join(linked, "gid", "left_semi"))
     share = [total // shards + (k < total % shards) for k in range(shards)]
-    for _ in range(rounds):
-        # Unlinked documents give way at the end, at no cost, so linked ones may fill a shard's share.
-        room = [max(0, s - h) for s, h in zip(share, _loads(cells, shards), strict=True)]
-        cells = _round(cells, room)
+    cells = _settled(cells, share)
 
     # Linked documents: a rank in the group, looked up among the group's shards.
     b = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")

@@ -367,6 +367,12 @@ def test_shards(spark, docs, table, empty):
     assert sum(len(s) == 1 for s in whole) > 0.9 * len(whole)
 
 
+def test_shards_of_a_group_of_a_third(spark):
+    d = spark.range(1200).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
+    count = Counter(r.shard for r in sharding.assigned(d, 24).join(d.where("text = 'hot'"), "doc_id").collect())
+    assert sorted(count.values()) == [50] * 8  # 400 rows in shards of 50
+
+
 # 8
 
 
