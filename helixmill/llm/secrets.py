@@ -63,17 +63,20 @@ def of_string(s: bytes):
 
 def trigram_query(pattern: bytes):
     """The query, in lower-case trigrams, that every text with a match of pattern satisfies; None if there is none."""
-    exact, query = _walk(_parser.parse(pattern))
-    return both(query, either([of_string(s) for s in sorted(exact)]))
+    ends, query, _ = _walk(_parser.parse(pattern))
+    return both(query, either([of_string(s) for s in sorted(ends)]))
 
 
-def _walk(items) -> tuple[set[bytes], object]:
-    """The strings, all of them, that the items may end with since the last open place; the query of what was before."""
-    now, query = {b""}, None
+def _walk(items) -> tuple[set[bytes], object, bool]:
+    """The strings, all of them, that the items may end with since the last open place; the query of what was before.
+
+    Last, whether there was no open place, so that the strings are all that the items may match.
+    """
+    now, query, exact = {b""}, None, True
 
     def close():
-        nonlocal now, query
-        query, now = both(query, either([of_string(s) for s in sorted(now)])), {b""}
+        nonlocal now, query, exact
+        query, now, exact = both(query, either([of_string(s) for s in sorted(now)])), {b""}, False
 
     def follow(strings: set[bytes]):
         nonlocal now
@@ -90,25 +93,25 @@ def _walk(items) -> tuple[set[bytes], object]:
             follow(chars) if chars else close()
         elif op is C.SUBPATTERN or op is C.BRANCH:
             parts = [_walk(x) for x in (arg[1] if op is C.BRANCH else [arg[-1]])]
-            if all(q is None for _, q in parts):
-                follow(set().union(*(s for s, _ in parts)))
+            if all(whole for _, _, whole in parts):
+                follow(set().union(*(s for s, _, _ in parts)))
             else:
                 close()
-                query = both(query, either([both(q, either([of_string(x) for x in sorted(s)])) for s, q in parts]))
+                query = both(query, either([both(q, either([of_string(x) for x in sorted(s)])) for s, q, _ in parts]))
         elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
             low, high, inner = arg
-            strings, q = _walk(inner)
-            if q is None and high == 1:
+            strings, q, whole = _walk(inner)
+            if whole and high == 1:
                 follow(strings | {b""} if low == 0 else strings)
             else:
-                if q is None and low and len(strings) ** min(low, 4) <= MANY:
+                if whole and low and len(strings) ** min(low, 4) <= MANY:
                     for _ in range(min(low, 4)):
                         follow(strings)
                 close()
-                query = both(query, q) if low else query
+                query = both(query, both(q, either([of_string(x) for x in sorted(strings)]))) if low else query
         elif op is not C.AT:
             close()
-    return now, query
+    return now, query, exact
 
 
 def _chars(arg) -> set[bytes] | None:

@@ -322,6 +322,15 @@ def test_trigram_queries():
         assert re.search(p, hit) and secrets.Index([hit], sorted(secrets.trigrams(query))).ask(query).tolist() == [0]
 
 
+def test_trigram_queries_of_open_groups():
+    cases = ((rb"key([0-9]+)end", b"key12end"), (rb"x(?:[0-9]y)?z", b"x1yz"), (rb"a(?:[0-9]+|x)b", b"a7b"), (rb"pre(?:ab[0-9]*cd)end", b"preab5cdend"), (rb"tok(?:a[0-9]b){2}", b"toka1ba2b"))
+    for p, hit in cases:
+        query = secrets.trigram_query(p)
+        index = secrets.Index([hit, hit.upper(), b"none of it"], sorted(secrets.trigrams(query)))
+        assert re.search(p, hit) and (query is None or index.ask(query).tolist() == [0, 1])
+    assert secrets.trigram_query(rb"key([0-9]+)end") == ("and", (b"key", b"end"))
+
+
 # 6
 
 
