@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 
 def reachable(spark: SparkSession) -> None:
-    """Workers that see this file system import the package from where the driver found it, whatever their folder is."""
+    """Workers that see this file system import the package from where the driver found it, whatever their folder is.
+
+    Every operator with Python workers calls it. On a cluster whose workers don't see it the package is installed or sent.
+    """
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
@@ -20,7 +23,6 @@ def reachable(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixmill.llm.common import reachable
+
 LENGTH = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -146,6 +148,8 @@ def has_letter():
 
 def train(docs: DataFrame, per_label: int = 400, max_labels: int = 200, windows_each: int = 6) -> Network | None:
     """A network fitted to windows spread evenly over each sampled text; None if there is nothing to learn from."""
+    reachable(docs.sparkSession)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -168,6 +172,7 @@ def train(docs: DataFrame, per_label: int = 400, max_labels: int = 200, windows_
 
 def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score. A null text, one without a letter, and any text without a network: und, 0."""
+    reachable(docs.sparkSession)
     at = docs.select("doc_id", held_out().alias("held_out"), F.when(has_letter(), F.col("text")).alias("_text"))
     schema = at.select("doc_id", "held_out", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     sent = docs.sparkSession.sparkContext.broadcast(net.tables() if net else None)

@@ -1,9 +1,10 @@
 """Byte-pair encoding by dynamic programming over prefixes, and decoding.
 
 For every prefix of a piece of text the encoding's last token is unique: it is the one token that ends the prefix and
-goes together with the last token of the prefix before it. An automaton over the vocabulary lists, at each place, the
-tokens that end there; a test of the pair decides; the winner is stored, and following the stored tokens back from the
-end gives the ids. No merge is ever carried out.
+goes together with the last token of the prefix before it. A suffix automaton of the vocabulary is at each place in the
+state of the longest string that ends there and lies in a token; going up its suffix links from there gives the tokens
+that end there. A test of the pair decides; the winner is stored, and following the stored tokens back from the end gives
+the ids. No merge is ever carried out.
 
 Two tokens go together if merging never crosses the border between them. That is decided by their histories: the pieces
 that touch the border from the left are the right edges of the left token's merge tree, from the right the left edges of
@@ -19,16 +20,18 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.llm.common import reachable
+
 # The pattern that byte-level BPE splits by, and Unicode's white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ODD_SPACES = "\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -63,6 +66,76 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
+class SuffixAutomaton:
+    """All substrings of a set of byte strings: of each state the longest string's length, its suffix link and its moves.
+
+    A string of the set is the longest of its state, as it stands somewhere with nothing before it.
+    """
+
+    def __init__(self, words: dict[bytes, int]):
+        self.length, self.link, self.moves = array("i", [0]), array("i", [-1]), [{}]
+        ends = array("i", [self._added(w) for w in words])
+        token = array("i", [-1]) * len(self.length)
+        for state, i in zip(ends, words.values(), strict=True):
+            token[state] = i
+        self.token = token
+        self.up = array("i", [0]) * len(token)  # the nearest state above that ends a string of the set; 0 if there is none
+        for state in sorted(range(1, len(token)), key=self.length.__getitem__):
+            above = self.link[state]
+            self.up[state] = above if token[above] >= 0 else self.up[above]
+
+    def _new(self, length: int, link: int, moves: dict[int, int]) -> int:
+        self.length.append(length)
+        self.link.append(link)
+        self.moves.append(moves)
+        return len(self.moves) - 1
+
+    def _split(self, p: int, c: int, q: int) -> int:
+        """The state of the strings of q no longer than the move from p by c makes them; split off from q if q has longer ones."""
+        if self.length[q] == self.length[p] + 1:
+            return q
+        clone = self._new(self.length[p] + 1, self.link[q], self.moves[q].copy())
+        self.link[q] = clone
+        while p >= 0 and self.moves[p].get(c) == q:
+            self.moves[p][c] = clone
+            p = self.link[p]
+        return clone
+
+    def _added(self, word: bytes) -> int:
+        """Adds a string and all its substrings; returns its state."""
+        last = 0
+        for c in word:
+            q = self.moves[last].get(c)
+            if q is not None:
+                last = self._split(last, c, q)
+                continue
+            new, p = self._new(self.length[last] + 1, 0, {}), last
+            while p >= 0 and c not in self.moves[p]:
+                self.moves[p][c] = new
+                p = self.link[p]
+            if p >= 0:
+                self.link[new] = self._split(p, c, self.moves[p][c])
+            last = new
+        return last
+
+    def matches(self, text: bytes) -> Iterator[tuple[int, int, int]]:
+        """(end, string's value, its length) of every place where a string of the set stands, longer ones first at each end."""
+        state, size, moves, length, link, token, up = 0, 0, self.moves, self.length, self.link, self.token, self.up
+        for end, c in enumerate(text, 1):
+            to = moves[state].get(c)
+            while to is None and state:
+                state = link[state]
+                size = length[state]
+                to = moves[state].get(c)
+            if to is None:
+                continue
+            state, size = to, size + 1
+            at = state if size == length[state] and token[state] >= 0 else up[state]
+            while at:
+                yield end, token[at], length[at]
+                at = up[at]
+
+
 class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -89,13 +162,9 @@ class Bpe:
         self.edges: dict[int, list[tuple[int, float]]] = {}
         self.goes: dict[int, bool] = {}
         self.sound: dict[int, bool] = {}
-        self.automaton = ahocorasick.Automaton()
-        self.token: dict[bytes, int] = {}
-        for i in sorted({i for t, i in vocab.items() if t not in special}):
-            if self.whole(i):
-                self.token[self.bytes[i]] = i
-                self.automaton.add_word(self.bytes[i].decode("latin-1"), (i, len(self.bytes[i])))
-        self.automaton.make_automaton()
+        tokens = sorted({i for t, i in vocab.items() if t not in special})
+        self.token: dict[bytes, int] = {self.bytes[i]: i for i in tokens if self.whole(i)}
+        self.automaton = SuffixAutomaton(self.token)
         self.pieces: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = Remembered(self.encode_part)
         self.spaced: dict[str, bytes] = Remembered(lambda s: self.encode_part(s if s[0] == "\n" else " " + s))
@@ -147,8 +216,7 @@ class Bpe:
         if piece in self.token:
             return [self.token[piece]]
         last, before, goes = [-1] * (n + 1), [0] * (n + 1), self.goes
-        for end, (token, size) in self.automaton.iter(piece.decode("latin-1")):
-            end += 1
+        for end, token, size in self.automaton.matches(piece):
             if last[end] < 0:
                 start = end - size
                 if start:
@@ -215,6 +283,7 @@ def loaded(path: str) -> Bpe:
 
 def encoded(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
     """The columns ``keep``, and ``ids``: the token ids of column text. Null and empty texts have none."""
+    reachable(docs.sparkSession)
     at = docs.select(*keep, F.col("text").alias("_text"))
     schema = at.drop("_text").withColumn("ids", F.lit(None).cast("array<int>")).schema
 
@@ -232,6 +301,7 @@ def encoded(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     """Per document: n_tokens, ids_sha256 and decoded_sha256, each text encoded and its ids decoded again."""
+    reachable(docs.sparkSession)
     at = docs.select(F.col(key), F.col("text").alias("_text"))
     schema = at.select(key, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
 

@@ -5,8 +5,11 @@ cut-offs of all rules may be tightened: one sequence of steps, each of which tig
 after each step the exact binomial tail must show that the rules together reject less than ``alpha`` of the good
 documents. The sequence is drawn up from the bad documents alone, so it is fixed for the good ones, and going on only
 while tests succeed keeps the error of a stratum at its level (fixed-sequence testing), ``delta / strata`` (Bonferroni).
-So with probability ``1 - delta`` no stratum loses more than the share ``alpha`` of its good documents to the rules.
-A stratum of fewer than ``least_good(strata)`` good documents can't pass any test and has no verdict.
+So with probability ``1 - delta`` no stratum loses more than the share ``alpha`` of its good documents to the rules. Bad
+labels choose the steps and good labels prove them, so what proves a cut-off has had no part in its choice.
+
+A stratum of fewer than ``least_good(strata)`` good documents can't pass any test by itself. All such strata are one
+pool: it is calibrated like a stratum, and the bound holds for the pool as a whole, not for each member.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import small
+from helixmill.llm.common import reachable, small, stored
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -80,6 +83,7 @@ def counts(text: str | None) -> tuple[int, ...]:
 
 def with_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of docs, and COUNTS of its column text. One narrow pass; any number of columns is carried."""
+    reachable(docs.sparkSession)
     at = docs.select(*keep, F.col("text").alias("_text"))
     schema = at.drop("_text").withColumns({c: F.lit(0).cast("long") for c in COUNTS}).schema
 
@@ -140,7 +144,7 @@ def sequence(first: dict[str, np.ndarray], bad: np.ndarray) -> Iterator[tuple[st
 
 
 def chosen(cells: pd.DataFrame, alpha: float, level: float) -> pd.DataFrame:
-    """Of one stratum's cells (a first step for each rule, good, bad): a cut-off for each rule that may be used, else none.
+    """Of the cells of a stratum or the pool (a first step for each rule, good, bad): a cut-off for each rule that may be used.
 
     good_out and bad_out are those of the rule alone; a document may be rejected by several.
     """
@@ -151,34 +155,40 @@ def chosen(cells: pd.DataFrame, alpha: float, level: float) -> pd.DataFrame:
         if binomial_tail(int(good[out].sum()), n, alpha) > level:
             break
         at[rule] = step
-    rows = [
-        (cells["stratum"].iloc[0], r, RULES[r][2][k], n, int(good[first[r] <= k].sum()), int(bad[first[r] <= k].sum()))
-        for r, k in at.items()
-    ]
-    return pd.DataFrame(rows, columns=["stratum", "rule", "cutoff", "good", "good_out", "bad_out"])
+    rows = [(r, RULES[r][2][k], n, int(good[first[r] <= k].sum()), int(bad[first[r] <= k].sum())) for r, k in at.items()]
+    return pd.DataFrame(rows, columns=["rule", "cutoff", "good", "good_out", "bad_out"]).assign(pooled=cells["pooled"].iloc[0], alone=cells["alone"].iloc[0])
 
 
 def calibrate(features: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """features: doc_id, stratum and COUNTS; labels: doc_id, quality (1 good, 0 bad). Returns stratum, rule, cutoff, ...
+    """features: doc_id, stratum and COUNTS; labels: doc_id, quality (1 good, 0 bad). Returns stratum, rule, cutoff, pooled, ...
 
     Null labels and null ids are left out; a document labelled more than once counts as bad if any label says so.
-    A null stratum is a stratum of its own. Without labels the result is empty: no rule may reject anything.
+    A null stratum is a stratum of its own; one without labels has no verdict. Without labels the result is empty: no
+    rule may reject anything. Strata that share the pool's cut-offs have a row each, with the pool's counts.
     """
+    reachable(features.sparkSession)
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_good"))
     held = features.where(~base_failed()).join(marks, "doc_id")
-    n_strata = max(1, held.select("stratum").distinct().count())
     first = {
         rule: sum((F.when(ratio(rule) > F.lit(cut), 0).otherwise(1) for cut in cuts), F.lit(0)).cast("long").alias(rule)
         for rule, (_, _, cuts) in RULES.items()
     }  # cut-offs fall, so those that don't reject a document come before those that do
-    cells = (
+    cells = stored(
         held.select("stratum", "_good", *first.values())
         .groupBy("stratum", *RULES)  # 8712 rows a stratum at most
         .agg(F.count_if(F.col("_good") > 0).alias("good"), F.count_if(F.col("_good") <= 0).alias("bad"))
     )
-    level = delta / n_strata
-    schema = "stratum string, rule string, cutoff double, good long, good_out long, bad_out long"
-    return cells.groupBy("stratum").applyInPandas(lambda x: chosen(x, alpha, level), schema)
+    strata = cells.groupBy("stratum").agg(F.sum("good").alias("_n"))
+    need = least_good(max(1, strata.count()), alpha, delta)
+    strata = strata.select(F.col("stratum").alias("_member"), (F.col("_n") < need).alias("pooled"), F.when(F.col("_n") >= need, F.col("stratum")).alias("alone"))
+    strata = small(strata)
+    level = delta / max(1, strata.select("pooled", "alone").distinct().count())
+    groups = cells.join(strata, F.col("stratum").eqNullSafe(F.col("_member"))).groupBy("pooled", "alone", *RULES)
+    schema = "rule string, cutoff double, good long, good_out long, bad_out long, pooled boolean, alone string"
+    cuts = groups.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).groupBy("pooled", "alone").applyInPandas(lambda x: chosen(x, alpha, level), schema)
+    cuts = cuts.withColumnsRenamed({"pooled": "_p", "alone": "_a"})
+    same = (F.col("_p") == F.col("pooled")) & F.col("_a").eqNullSafe(F.col("alone"))
+    return cuts.join(strata, same).select(F.col("_member").alias("stratum"), "rule", "cutoff", "pooled", "good", "good_out", "bad_out")
 
 
 def judged(features: DataFrame, cutoffs: DataFrame) -> DataFrame:

@@ -19,6 +19,9 @@ from re import _parser
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from helixmill.llm.common import reachable
 
 MANY = 64
 BLOCK_BYTES = 4 << 20
@@ -39,11 +42,20 @@ BASE = (
     Rule("access", rb"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", rb"[0-9a-f]{16,}", 0, 16),  # maximal runs either way, so the bound may stand in the expression
 )
+# A key's block goes from its first line to its last; without a last line, on to the end of its lines of base64.
+_GAP = rb"(?:\s|\\[nr])*+"
+_KEY = rb"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:" + _GAP + rb"(?:[A-Za-z0-9+/=]{20,}+|[A-Z][A-Za-z-]++: [^\r\n\\]++))*+"
 EXTRA = (
-    Rule("pem", rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("forge", rb"gh[opsu]_[A-Za-z0-9]{36,}"),
-    Rule("chat", rb"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("pem", _KEY + rb"(?:" + _GAP + rb"[A-Za-z0-9+/=]{0,76}+" + _GAP + rb"-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----)?"),
+    Rule("forge", rb"gh[opsur]_[A-Za-z0-9]{36,}"),
+    Rule("chat", rb"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", rb"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("maps", rb"AIza[A-Za-z0-9_-]{35}"),
+    Rule("pay", rb"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
+    Rule("mail", rb"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"),
+    Rule("package", rb"(?:npm_[A-Za-z0-9]{36,}|pypi-[A-Za-z0-9_-]{50,})"),
+    Rule("hook", rb"https://hooks\.[a-z.]{4,40}/services/[A-Za-z0-9/_+-]{20,}"),
+    Rule("login", rb"://[^\s:/@]{1,64}:([^\s:/@]{6,128})@", 1, 6),
 )
 
 # A query is None (any document), a trigram, or ("and" | "or", queries).
@@ -124,7 +136,7 @@ def _chars(arg) -> set[bytes] | None:
             out |= {bytes([c]).lower() for c in range(x[0], x[1] + 1)}
         else:
             return None
-    return out if 0 < len(out) <= 4 else None
+    return out if 0 < len(out) <= 8 else None
 
 
 def trigrams(query) -> set[bytes]:
@@ -167,8 +179,7 @@ def scan(docs: DataFrame, keep: list[str], rules: tuple[Rule, ...] = BASE + EXTR
     """
     queries = [trigram_query(r.pattern) for r in rules]
     wanted = sorted(set().union(*map(trigrams, queries)))
-    from pyspark.sql import functions as F
-
+    reachable(docs.sparkSession)
     at = docs.select(*keep, F.col("text").alias("_text"))
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     found = F.lit(None).cast("array<struct<kind:string,start:bigint,end:bigint>>")

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from helixmill.llm.common import small, stored
 
 BUCKET = 50_000
-MOST_BUCKETS = 1 << 14
 HASHES = 256
 
 
@@ -97,7 +96,7 @@ def assigned(docs: DataFrame, shards: int = 40) -> DataFrame:
     )
     base = stored(base)
     total = base.count()
-    buckets = min(MOST_BUCKETS, max(1, math.ceil(total / BUCKET)))
+    buckets = max(1, math.ceil(total / BUCKET))
     groups = stored(base.groupBy("gid", F.col("start").alias("shard")).agg(F.count("*").alias("n")))
     linked = stored(groups.groupBy("gid").agg(F.sum("n").alias("_all")).where("_all > 1").select("gid"))
     cells = stored(groups.join(linked, "gid", "left_semi"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import partitions, small, stored
+from helixmill.llm.common import partitions, reachable, small, stored
 from helixmill.llm.components import components
 
 SEED = 42
@@ -63,6 +63,7 @@ def majority(hashes: list[list[int]]) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep``, and ``fp``: the fingerprint as a long. Null texts have the fingerprint of no words, zero."""
+    reachable(docs.sparkSession)
     at = docs.select(*keep, F.col("text").alias("_text"))
     schema = at.drop("_text").withColumn("fp", F.lit(0).cast("long")).schema
 
@@ -157,6 +158,7 @@ def forest(cell: np.ndarray, fp: np.ndarray, home: np.ndarray, copy: np.ndarray)
 
 def links(fps: DataFrame) -> DataFrame:
     """fps: distinct longs fp. Returns a, b: edges whose components are those of all pairs within BITS bits."""
+    reachable(fps.sparkSession)
     rows = replicas(fps)
     hot = small(rows.groupBy("anchor").count().where(F.col("count") > MOST).select("anchor", F.ceil(F.col("count") / MOST).cast("int").alias("_n")))
     n, salt = F.coalesce("_n", F.lit(1)), F.pmod(F.xxhash64("fp"), F.coalesce("_n", F.lit(1)).cast("long")).cast("int")
@@ -192,18 +194,35 @@ def links(fps: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def grouped(marked: DataFrame, least: Column) -> DataFrame:
+    """marked: stored rows with fp. Returns fp and least: the least value of that column over the group of rows that links reach."""
+    nodes = stored(marked.groupBy("fp").agg(F.min(least).alias("least")))
+    roots = components(links(nodes.select("fp")))
+    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    best = stored(named.groupBy("root").agg(F.min("least").alias("least")))
+    return stored(named.drop("least").join(best, "root").select("fp", "least"))
+
+
 def duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: the smallest id of the documents that links reach, the document itself included.
 
     A row for each row of docs. Null ids are never a component's id unless it has no other; null texts have no words.
     """
     marked = stored(fingerprints(docs, ["doc_id"]))
-    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes.select("fp")))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = stored(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    by_fp = stored(named.join(least, "root").select("fp", "component_id"))
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(grouped(marked, F.col("doc_id")), "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """row and extra, for every different row of docs that doesn't stay: docs have doc_id, text, and row, a digest of all columns.
+
+    Of each group of near-duplicates the row of the smallest id stays; rows without an id come last, and of rows of one
+    id that of the least digest is taken. ``extra`` is true where the row itself stays, but only one of its exact copies.
+    """
+    marked = stored(fingerprints(docs, ["doc_id", "row"]))
+    best = grouped(marked, F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id"), F.col("row")))
+    rows = marked.groupBy("fp", "row").agg(F.count("*").alias("_n")).join(best, "fp")
+    stays = F.col("row") == F.col("least.row")
+    return rows.where(~stays | (F.col("_n") > 1)).select("row", stays.alias("extra"))
 
 
 def as_hex(fp: str = "fp") -> Column:

@@ -1,42 +1,54 @@
-"""Removal of long byte strings that repeat across documents, by buckets of q-grams that are refined.
-
-A suffix array by bucket-pointer refinement starts from buckets of equal q-grams and refines a bucket by sorting its
-suffixes on the bucket identifiers found at later offsets; identifiers made in one step serve the next. Only as much of
-it is done as strings of ``LENGTH`` bytes need:
-
-1. *q-gram buckets.* Each text's q-grams of Q bytes are hashed and thinned: of every LENGTH bytes the q-gram of the least
-   hash is kept, so two equal strings of LENGTH bytes keep equal q-grams. Buckets that only one document enters hold no
-   repeat and are dropped.
-2. *Refinement.* Around each remaining q-gram the 2 * LENGTH - Q bytes are looked at. Identifiers of 2Q bytes come from
-   those at an offset and Q later, identifiers of LENGTH bytes from those of 2Q bytes at an offset and LENGTH - 2Q later.
-   Sorting a bucket on them yields groups of equal strings; all but those of the smallest document are covered.
-
-Exact copies are settled first, by digest. Texts are dealt into cells by id in one shuffle, which all steps share. What
-a cell sends is aggregated: a q-gram once, a context once for its smallest document. So a string that a third of all
-documents hold reaches its bucket at most once for each cell.
+"""Removal of long byte strings that repeat across documents, by buckets of q-grams whose pointers are refined.
+
+A suffix array by bucket-pointer refinement starts from buckets of equal q-grams and sorts a bucket's suffixes on the
+bucket numbers at later offsets; the new numbers serve the next sort. Only as much of it is done as strings of LENGTH
+bytes need, and only where two documents may share one:
+
+1. *Anchors.* A window of LENGTH bytes is anchored at the least of its q-grams of GRAM bytes, the leftmost of equals. Its
+   content alone decides that, so equal windows have equal anchors at equal offsets.
+2. *Initial buckets.* A window holds the HALF bytes before its anchor or the HALF bytes after it. With the anchor they
+   are a q-gram of Q bytes, the window's initial bucket. Buckets that only one document enters hold no repeat and go.
+3. *Refinement.* What is left goes to its bucket as the bytes around the anchor. There, strings of 4 bytes are numbered
+   in sorted order at every offset; then strings of twice the length, by sorting on the pair of numbers at an offset and
+   at the offset where the first ends, up to LENGTH. Numbers come from sorted bytes, so equality is exact. Of windows
+   with one number all but the smallest document's are covered.
+
+Hashes only pick anchors and deal buckets. Exact copies are settled first, by their 128-bit digest. Texts are dealt into
+cells of about CELL bytes by id in one shuffle that all steps share, and there are as many buckets as cells, so groups
+stay of that size whatever the corpus. What a cell sends is aggregated: a q-gram once, and equal surroundings once, for
+their smallest document. A bucket that more than HOT windows of the corpus enter is split on all LENGTH bytes, so it
+gets a window at most once from each cell.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import partitions
+from helixmill.llm.common import partitions, reachable
 
 LENGTH = 50
-Q = 16
-SIDE = LENGTH - Q  # bytes beside a q-gram that a string of LENGTH bytes with it may reach
+GRAM = 16
+SIDE = LENGTH - GRAM  # bytes beside an anchor that a window with it may reach
+HALF = SIDE // 2  # a window that begins HALF bytes or more before its anchor holds those, else HALF bytes after it
+Q = GRAM + HALF
+AROUND = LENGTH + SIDE
+CELL = 8 << 20
 PIECE = 1 << 20
-PACKET = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("tid", "<u8"), ("pos", "<i4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", (2 * SIDE + Q,))])
-MASK = np.dtype([("doc", "<i8"), ("tid", "<u8"), ("pos", "<i4"), ("mask", "<u8")])
-_K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+HOT = 1 << 14
+BITS = 21  # of a place in one sort, and of a bucket number
+PACKET = np.dtype([("key", "<u8"), ("doc", "<i8"), ("tid", "<u8"), ("pos", "<i4"), ("lo", "u1"), ("hi", "u1"), ("bytes", "u1", (AROUND,))])
+MASK = np.dtype([("doc", "<i8"), ("tid", "<u8"), ("pos", "<i4"), ("like", "<i4"), ("mask", "<u8")])
+_K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _ROWS = pa.schema([("bucket", pa.int32()), ("cell", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 ROWS = "bucket int, cell int, kind int, data binary"
-COPIES, SHARED, COVERED, CONTEXTS = range(4)
+COPIES, SHARED, COVERED, PACKETS = range(4)
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -51,75 +63,243 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """Hashes of the Q bytes at every place; raw has Q bytes or more."""
+    """Hashes of the GRAM bytes at every place; raw has GRAM bytes or more."""
     word = np.ndarray((len(raw) - 7,), "<u8", raw.data, 0, (1,)).copy()
-    return mixed(word[: len(raw) - Q + 1], word[8 : len(raw) - Q + 9])
+    return mixed(word[: len(raw) - GRAM + 1], word[8 : len(raw) - GRAM + 9])
 
 
-def _slide(x: np.ndarray, width: int, of) -> np.ndarray:
-    """of (minimum or maximum) over every ``width`` neighbours, by doubling."""
-    out, have = x, 1
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of every ``width`` neighbours, by doubling."""
+    have = 1
     while have < width:
         step = min(have, width - have)
-        out = of(out[:-step], out[step:])
+        x = np.minimum(x[:-step], x[step:])
         have += step
+    return x
+
+
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin, in sorted columns."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.any([c[1:] != c[:-1] if c.ndim == 1 else (c[1:] != c[:-1]).any(axis=1) for c in columns], axis=0)
+    return np.flatnonzero(new)
+
+
+class Piece:
+    """Stretches of texts, joined: whole texts, or parts of PIECE window starts each of a long one."""
+
+    def __init__(self, held: list[tuple[int, int, int, bytes]]):
+        size = np.array([len(x) for *_, x in held], np.int64)
+        self.ends = np.cumsum(size)
+        self.begins = self.ends - size
+        self.doc, self.tid, self.offset = (np.array(c, t) for c, t in zip(list(zip(*held, strict=True))[:3], (np.int64, np.uint64, np.int64), strict=True))
+        self.raw = np.frombuffer(b"".join(x for *_, x in held), np.uint8)
+
+    def anchors(self) -> tuple[np.ndarray, ...]:
+        """For every anchor and half: its place, bucket key, and the windows lo to hi, counted by their start before the anchor."""
+        h = gram_hashes(self.raw)
+        key = (h & np.uint64(0xFFFFFFFF << 32)) | np.arange(len(h), dtype=np.uint64)
+        of = (_least(key, SIDE + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        inside = np.zeros(len(self.raw) + 1, np.int8)
+        inside[self.begins] += 1
+        inside[self.ends - LENGTH + 1] -= 1
+        start = np.flatnonzero(np.cumsum(inside[: len(of)], dtype=np.int8))
+        of = of[start]
+        first = _firsts(of)
+        place, hi, lo = of[first], of[first] - start[first], of[first] - start[np.append(first[1:], len(start)) - 1]
+        left, right = np.flatnonzero(hi >= HALF), np.flatnonzero(lo < HALF)
+        a, b = place[left], place[right]
+        beside = self.raw.astype(np.uint64)
+        keys = mixed(mixed(h[a - HALF], h[a]), beside[a - 1]), mixed(mixed(h[b], h[b + GRAM]), beside[b + Q - 1] | np.uint64(256))
+        lows, highs = (np.maximum(lo[left], HALF), lo[right]), (hi[left], np.minimum(hi[right], HALF - 1))
+        return tuple(np.concatenate(x) for x in ((a, b), keys, lows, highs))
+
+    def row(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begins, place, "right") - 1
+
+    def packets(self, place: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        out, k = np.zeros(len(place), PACKET), self.row(place)
+        out["key"], out["doc"], out["tid"], out["pos"] = key, self.doc[k], self.tid[k], place - self.begins[k] + self.offset[k]
+        out["lo"], out["hi"] = lo, hi
+        edge = np.zeros(SIDE, np.uint8)
+        out["bytes"] = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, self.raw, edge]), AROUND)[place]
+        return _cleared(out)
+
+
+def _cleared(packets: np.ndarray) -> np.ndarray:
+    """packets with the bytes zero that none of their windows holds."""
+    at = np.arange(AROUND)
+    packets["bytes"][(at < SIDE - packets["hi"][:, None].astype(int)) | (at >= AROUND - packets["lo"][:, None].astype(int))] = 0
+    return packets
+
+
+def pieces(texts: list[tuple[int, int, bytes]]) -> Iterator[Piece]:
+    """(id, text id, bytes) in pieces of about PIECE bytes. A text of fewer than LENGTH bytes has no window."""
+    held, size = [], 0
+    for doc, tid, x in texts:
+        for a in range(0, len(x) - LENGTH + 1, PIECE):
+            held.append((doc, tid, a, x[a : a + PIECE + LENGTH - 1]))
+            size += len(held[-1][3])
+            if size >= PIECE:
+                yield Piece(held)
+                held, size = [], 0
+    if held:
+        yield Piece(held)
+
+
+def _words(packets: np.ndarray) -> np.ndarray:
+    whole = np.zeros((len(packets), 88), np.uint8)
+    whole[:, :AROUND], whole[:, AROUND], whole[:, AROUND + 1] = packets["bytes"], packets["lo"], packets["hi"]
+    return whole.view("<u8")
+
+
+def _content(packets: np.ndarray) -> np.ndarray:
+    words, x = _words(packets), np.zeros(len(packets), np.uint64)
+    for j in range(words.shape[1]):
+        x = mixed(x, words[:, j])
+    return x
+
+
+def _bits(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    one = np.uint64(1)
+    return (one << (hi.astype(np.uint64) + one)) - (one << lo.astype(np.uint64))
+
+
+def _marks(packets: np.ndarray, like: np.ndarray | int) -> np.ndarray:
+    out = np.zeros(len(packets), MASK)
+    for c in ("doc", "tid", "pos"):
+        out[c] = packets[c]
+    out["like"], out["mask"] = like, _bits(packets["lo"], packets["hi"])
     return out
 
 
-def kept_grams(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the q-grams that are the least in some LENGTH bytes; ties are all kept."""
-    if len(raw) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, width = gram_hashes(raw), SIDE + 1
-    least = _slide(h, width, np.minimum)
-    edge = np.zeros(width - 1, np.uint64)
-    at = np.flatnonzero(h == _slide(np.concatenate([edge, least, edge]), width, np.maximum))
-    return at, h[at]
+def distinct(packets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal packets, those of the smallest document, one for each text; and MASK rows that settle the others.
 
+    Another document's are covered; another place of the same text fares like the first (``like``).
+    """
+    x = _content(packets)
+    order = np.lexsort((packets["tid"], packets["doc"], x))
+    packets = packets[order]
+    first = _firsts(_words(packets))
+    lead = np.repeat(first, np.diff(np.append(first, len(packets))))
+    own = packets["doc"] == packets["doc"][lead]
+    text = _firsts(lead, packets["doc"], packets["tid"])
+    kept = np.zeros(len(packets), bool)
+    kept[text] = True
+    top = np.repeat(text, np.diff(np.append(text, len(packets))))
+    again = own & ~kept
+    marks = [_marks(packets[~own], -1), _marks(packets[again], packets["pos"][top[again]])]
+    return packets[own & kept], np.concatenate(marks)
+
+
+def by_window(packets: np.ndarray) -> np.ndarray:
+    """A packet for each window of the given ones, in the bucket of all its bytes."""
+    n = packets["hi"].astype(np.int64) - packets["lo"] + 1
+    out = np.repeat(packets, n)
+    out["lo"] += (np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint8)
+    out["hi"] = out["lo"]
+    out = _cleared(out)
+    out["key"] = _content(out)
+    return out
 
-def _pieces(rows: list[tuple[int, int, bytes]]):
-    """Texts joined into pieces of about PIECE bytes: their rows, begins and ends, and the joined bytes."""
-    held, size = [], 0
-    for k, row in enumerate(rows):
-        held.append(row)
-        size += len(row[2])
-        if size >= PIECE or k + 1 == len(rows):
-            ends = np.cumsum([len(r[2]) for r in held])
-            yield held, np.concatenate(([0], ends[:-1])), ends, np.frombuffer(b"".join(r[2] for r in held), np.uint8)
-            held, size = [], 0
+
+def _ranked(key: np.ndarray) -> np.ndarray:
+    """Numbers of keys of at most 43 bits in sorted order, equal for equal keys; at most 2 ** BITS keys."""
+    low = np.uint64((1 << BITS) - 1)
+    both = np.sort((key << np.uint64(BITS)) | np.arange(len(key), dtype=np.uint64))
+    at, key = (both & low).astype(np.int64), both >> np.uint64(BITS)
+    out = np.empty(len(at), np.uint64)
+    out[at] = np.cumsum(np.concatenate(([0], key[1:] != key[:-1]))).astype(np.uint64)
+    return out
+
+
+def refined(packets: np.ndarray) -> np.ndarray:
+    """For each packet, a bit for each window before its anchor that is also in a packet of a smaller document.
+
+    Bucket numbers of 4 bytes are refined to 8, 16, 32 and LENGTH bytes by sorting on the numbers at later offsets.
+    """
+    n, out = len(packets), np.zeros(len(packets), np.uint64)
+    begin, end = SIDE - packets["hi"].astype(np.int64), AROUND - packets["lo"].astype(np.int64)
+    depth = 4
+    size = end - begin - depth + 1
+    row = np.repeat(np.arange(n), size)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + begin[row]
+    raw = np.concatenate([np.ascontiguousarray(packets["bytes"]).ravel(), np.zeros(depth, np.uint8)])
+    flat = row * AROUND + at
+    number = np.zeros(n * AROUND, np.uint64)
+    number[flat] = _ranked(np.ndarray((n * AROUND,), "<u4", raw.data, 0, (1,))[flat].astype(np.uint64))
+    while depth < LENGTH:
+        step = min(depth, LENGTH - depth)
+        depth += step
+        whole = at + depth <= end[row]
+        row, at, flat = row[whole], at[whole], flat[whole]
+        number[flat] = _ranked((number[flat] << np.uint64(BITS)) | number[flat + step])
+    rank = number[flat].astype(np.int64)
+    doc = np.unique(packets["doc"], return_inverse=True)[1]
+    least = np.full(len(rank) + 1, len(doc), np.int64)
+    np.minimum.at(least, rank, doc[row])
+    hit = doc[row] > least[rank]
+    np.bitwise_or.at(out, row[hit], np.uint64(1) << (SIDE - at[hit]).astype(np.uint64))
+    return out
+
+
+def _slices(packets: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of whole buckets, as many as one sort takes; a bucket of single windows may be cut, its smallest document in each part."""
+    most = (1 << BITS) // AROUND
+    order = np.lexsort((packets["doc"], packets["key"]))
+    key = packets["key"][order]
+    edges = np.append(_firsts(key), len(key)) if len(key) else np.zeros(0, np.int64)
+    a = 0
+    while a < len(key):
+        b = int(edges[np.searchsorted(edges, a + most, "right") - 1]) if a + most < len(key) else len(key)
+        if b > a:
+            yield order[a:b]
+            a = b
+            continue
+        end = int(edges[np.searchsorted(edges, a, "right")])
+        for c in range(a + 1, end, most - 1):
+            yield np.concatenate((order[a : a + 1], order[c : min(end, c + most - 1)]))
+        a = end
 
 
 def _texts(left: pa.Table, right: pa.Table) -> tuple[list[tuple[int, int, bytes]], list[tuple[int, int, bytes]]]:
     """(id, text id, bytes) of the rows that stand for their text, and of the other rows: copies of a smaller document's."""
     first = {(d, t) for d, t, k in zip(right["id"].to_pylist(), right["data"].to_pylist(), right["kind"].to_pylist(), strict=True) if k == COPIES}
-    one, more = [], []
+    one, more = {}, []
     for d, t, x in zip(left["doc_id"].to_pylist(), left["digest"].to_pylist(), left["text"], strict=True):
         row = (d, int.from_bytes(t[:8], "little"), (x.as_py() or "").encode("utf-8", "surrogatepass"))
-        (one if (d, t) in first else more).append(row)
-    return one, more
-
-
-def _grams(rows):
-    """For each piece: its rows and bytes, and place, hash and row number of kept q-grams that lie in one text."""
-    for held, begins, ends, raw in _pieces(rows):
-        at, h = kept_grams(raw)
-        k = np.searchsorted(begins, at, "right") - 1
-        ok = at + Q <= ends[k]
-        yield held, begins, ends, raw, at[ok], h[ok], k[ok]
+        if (d, t) in first:
+            one.setdefault((d, t), []).append(row)
+        else:
+            more.append(row)
+    return list(one.values()), more
 
 
 def _table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, _ROWS, strict=True)], schema=_ROWS)
 
 
-def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
+def _split(key: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(key, kind="stable")
+    first = _firsts(key[order])
+    return ((int(key[i[0]]), i) for i in np.split(order, first[1:]) if len(i))
+
+
+def _bucket(key: np.ndarray, n: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
 
 
-def _split(bucket: np.ndarray, n: int):
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(n + 1))
-    return ((b, order[edges[b] : edges[b + 1]]) for b in range(n) if edges[b] < edges[b + 1])
+def _read(table: pa.Table, kind: int, of: np.dtype) -> np.ndarray:
+    found = [np.frombuffer(x, of) for x, k in zip(table["data"].to_pylist(), table["kind"].to_pylist(), strict=True) if k == kind]
+    return np.concatenate([np.zeros(0, of), *found])
+
+
+def cells(docs: DataFrame) -> int:
+    """As many cells as keep one at about CELL bytes, and at least as many as shuffle partitions."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), math.ceil(total / CELL))
 
 
 def spans_removed(docs: DataFrame) -> DataFrame:
@@ -127,8 +307,10 @@ def spans_removed(docs: DataFrame) -> DataFrame:
 
     A byte is removed if some LENGTH bytes that cover it also start in a document of a smaller id. Documents of one id
     don't count against each other, rows with a null id neither lose bytes nor cost others any, a null text is empty.
+    Other columns of docs, whatever their names, are not read.
     """
-    n = partitions(docs.sparkSession)  # a bucket answers each cell with one row at most, so both are as few as memory allows
+    reachable(docs.sparkSession)
+    n = cells(docs)
     text = F.coalesce("text", F.lit(""))
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumns({"digest": F.unhex(F.md5("text")), "cell": F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")})
@@ -137,108 +319,106 @@ def spans_removed(docs: DataFrame) -> DataFrame:
     by_cell = rows.groupBy("cell")
 
     def gather(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        """Buckets of a cell: each of its q-gram hashes once, and whether two of its documents have it."""
-        h, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for held, *_, hashes, k in _grams(_texts(left, right)[0]):
-            h.append(hashes)
-            doc.append(np.array([d for d, _, _ in held], np.int64)[k])
-        h, doc = np.concatenate(h), np.concatenate(doc)
-        order = np.argsort(h, kind="stable")
-        h, doc = h[order], doc[order]
-        first = np.flatnonzero(np.concatenate((h[:1] == h[:1], h[1:] != h[:-1])))
-        many = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first) if len(h) else np.zeros(0, bool)
-        h = h[first]
-        cell = key[0].as_py()
-        return _table([(int(b), cell, SHARED, h[i].tobytes() + np.packbits(many[i]).tobytes()) for b, i in _split(_bucket(h, n), n)])
+        """Each bucket key of a cell once, with how often it occurs there and whether two documents have it."""
+        keys, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for p in pieces([t[0] for t in _texts(left, right)[0]]):
+            place, k, _, _ = p.anchors()
+            keys.append(k)
+            doc.append(p.doc[p.row(place)])
+        keys, doc = np.concatenate(keys), np.concatenate(doc)
+        order = np.argsort(keys)
+        keys, doc = keys[order], doc[order]
+        first = _firsts(keys)
+        if not len(first):
+            return _table([])
+        many = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+        count = np.ceil(np.log2(np.diff(np.append(first, len(keys))))).astype(np.uint8) | (many * np.uint8(128))
+        keys, cell = keys[first], key[0].as_py()
+        return _table([(b, cell, SHARED, keys[i].tobytes() + count[i].tobytes()) for b, i in _split(_bucket(keys, n), n)])
 
     def shared(table: pa.Table) -> pa.Table:
-        """Hashes of a bucket that two documents have, returned to each cell that sent them."""
-        cells, hashes, many = [], [], []
-        for cell, data in zip(table["cell"].to_pylist(), table["data"].to_pylist(), strict=True):
-            size = len(data) * 8 // 65  # 8 bytes and a bit each
-            hashes.append(np.frombuffer(data, "<u8", size))
-            many.append(np.unpackbits(np.frombuffer(data, np.uint8, offset=8 * size), count=size))
-            cells.append(np.full(size, cell, np.int32))
-        cells, hashes, many = map(np.concatenate, (cells, hashes, many))
-        _, group, count = np.unique(hashes, return_inverse=True, return_counts=True)
-        keep = (np.bincount(group, many) > 0) | (count > 1)
-        keep = keep[group]
-        cells, hashes = cells[keep], hashes[keep]
-        return _table([(0, int(c), SHARED, hashes[i].tobytes()) for c, i in _split(cells, n)])
-
-    def contexts(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        """The surroundings of a cell's shared q-grams: those of the smallest document to their buckets, others are covered."""
-        wanted = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, "<u8") for x, k in zip(right["data"].to_pylist(), right["kind"].to_pylist(), strict=True) if k == SHARED)]))
-        cell, found = key[0].as_py(), [np.zeros(0, PACKET)]
-        for held, begins, ends, raw, at, h, k in _grams(_texts(left, right)[0] if len(wanted) else []):
-            ok = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-            at, h, k = at[ok], h[ok], k[ok]
-            out = np.zeros(len(at), PACKET)
-            out["hash"], out["pos"] = h, at - begins[k]
-            out["doc"], out["tid"] = np.array([d for d, _, _ in held], np.int64)[k], np.array([t for _, t, _ in held], np.uint64)[k]
-            out["left"], out["right"] = np.minimum(SIDE, at - begins[k]), np.minimum(SIDE, ends[k] - at - Q)
-            edge = np.zeros(SIDE, np.uint8)
-            around = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, raw, edge]), 2 * SIDE + Q)[at]
-            place = np.arange(2 * SIDE + Q)
-            around[(place < SIDE - out["left"][:, None]) | (place >= SIDE + Q + out["right"][:, None])] = 0
-            out["bytes"] = around
-            found.append(out)
-        rows = np.concatenate(found)
-        whole = np.zeros((len(rows), 88), np.uint8)
-        whole[:, :84], whole[:, 84], whole[:, 85] = rows["bytes"], rows["left"], rows["right"]
-        words, x, y = whole.view("<u8"), np.zeros(len(rows), np.uint64), rows["hash"].copy()
-        for j in range(words.shape[1]):
-            x, y = mixed(x, words[:, j]), mixed(words[:, j] ^ _K[3], y)
-        order = np.lexsort((rows["doc"], y, x))
-        rows, x, y = rows[order], x[order], y[order]
-        first = np.flatnonzero(np.concatenate((x[:1] == x[:1], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
-        size = np.diff(np.append(first, len(rows)))
-        own = rows["doc"] == np.repeat(rows["doc"][first], size)
-        done, rest = rows[own], rows[~own]
-        covered = np.zeros(len(rest), MASK)
-        for c in ("doc", "tid", "pos"):
-            covered[c] = rest[c]
-        covered["mask"] = _valid(rest)
-        out = [(int(b), cell, CONTEXTS, done[i].tobytes()) for b, i in _split(_bucket(done["hash"], n), n)]
-        return _table(out + ([(cell, cell, COVERED, covered.tobytes())] if len(rest) else []))
-
-    def refined(table: pa.Table) -> pa.Table:
-        """Groups of equal strings in a bucket; returns to each cell which of its strings a smaller document has."""
-        passed, cells, data = [], [], [np.zeros(0, PACKET)]
-        for cell, kind, x in zip(table["cell"].to_pylist(), table["kind"].to_pylist(), table["data"].to_pylist(), strict=True):
+        """Keys that two documents have, returned to each cell that sent them, with a bit for those above HOT."""
+        size = [len(x) // 9 for x in table["data"].to_pylist()]
+        cell = np.repeat(np.array(table["cell"].to_pylist(), np.int32), size)
+        keys = np.concatenate([np.frombuffer(x, "<u8", s) for x, s in zip(table["data"].to_pylist(), size, strict=True)])
+        count = np.concatenate([np.frombuffer(x, np.uint8, offset=8 * s) for x, s in zip(table["data"].to_pylist(), size, strict=True)])
+        order = np.argsort(keys)
+        keys, count, cell = keys[order], count[order], cell[order]
+        first = _firsts(keys)
+        senders = np.diff(np.append(first, len(keys)))
+        keep = np.repeat((senders > 1) | (np.maximum.reduceat(count, first) > 127), senders)
+        hot = np.repeat(np.add.reduceat(2.0 ** (count & 127), first) > HOT, senders)
+        keys, hot, cell = keys[keep], hot[keep], cell[keep]
+        return _table([(0, c, SHARED, keys[i].tobytes() + np.packbits(hot[i]).tobytes()) for c, i in _split(cell, n)])
+
+    def surroundings(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        """Packets of a cell's shared keys, the smallest document's of equal ones, to their buckets; others are settled."""
+        keys, hot = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+        for x, k in zip(right["data"].to_pylist(), right["kind"].to_pylist(), strict=True):
+            if k == SHARED:
+                size = len(x) * 8 // 65  # 8 bytes and a bit each
+                keys.append(np.frombuffer(x, "<u8", size))
+                hot.append(np.unpackbits(np.frombuffer(x, np.uint8, offset=8 * size), count=size).astype(bool))
+        keys, hot = np.concatenate(keys), np.concatenate(hot)
+        order = np.argsort(keys)
+        keys, hot = keys[order], hot[order]
+        sent, marks, cell = [np.zeros(0, PACKET)], [np.zeros(0, MASK)], key[0].as_py()
+        for p in pieces([t[0] for t in _texts(left, right)[0]] if len(keys) else []):
+            place, k, lo, hi = p.anchors()
+            ok = keys[np.minimum(np.searchsorted(keys, k), len(keys) - 1)] == k
+            one, rest = distinct(p.packets(place[ok], k[ok], lo[ok], hi[ok]))
+            sent.append(one)
+            marks.append(rest)
+        one, rest = distinct(np.concatenate(sent))
+        marks.append(rest)
+        if hot.any():
+            over = hot[np.searchsorted(keys, one["key"])]
+            windows, rest = distinct(by_window(one[over]))
+            one = np.concatenate([one[~over], windows])
+            marks.append(rest)
+        marks = np.concatenate(marks)
+        out = [(b, cell, PACKETS, one[i].tobytes()) for b, i in _split(_bucket(one["key"], n), n)]
+        return _table(out + ([(cell, cell, COVERED, marks.tobytes())] if len(marks) else []))
+
+    def settled(table: pa.Table) -> pa.Table:
+        """Which windows of a bucket a smaller document has, returned to the cells of those that have not the smallest."""
+        passed, cell, data = [], [], [np.zeros(0, PACKET)]
+        for c, kind, x in zip(table["cell"].to_pylist(), table["kind"].to_pylist(), table["data"].to_pylist(), strict=True):
             if kind == COVERED:
-                passed.append((0, cell, COVERED, x))
+                passed.append((0, c, COVERED, x))
             else:
                 data.append(np.frombuffer(x, PACKET))
-                cells.append(np.full(len(data[-1]), cell, np.int32))
+                cell.append(np.full(len(data[-1]), c, np.int32))
         rows = np.concatenate(data)
         if len(rows):
-            out = np.zeros(len(rows), MASK)
-            for c in ("doc", "tid", "pos"):
-                out[c] = rows[c]
-            out["mask"] = _covered(rows)
-            some, cells = np.flatnonzero(out["mask"]), np.concatenate(cells)
-            passed += [(0, int(c), COVERED, out[some[i]].tobytes()) for c, i in _split(cells[some], n)]
+            marks, cell = _marks(rows, -1), np.concatenate(cell)
+            marks["mask"] = 0
+            for i in _slices(rows):
+                marks["mask"][i] |= refined(rows[i])
+            some = np.flatnonzero(marks["mask"])
+            passed += [(0, c, COVERED, marks[some[i]].tobytes()) for c, i in _split(cell[some], n)]
         return _table(passed)
 
     def cut(key, left: pa.Table, right: pa.Table) -> pa.Table:
         one, more = _texts(left, right)
-        masks = np.concatenate([np.zeros(0, MASK), *(np.frombuffer(x, MASK) for x, k in zip(right["data"].to_pylist(), right["kind"].to_pylist(), strict=True) if k == COVERED)])
-        masks = masks[np.lexsort((masks["tid"], masks["doc"]))]
-        ids = list(zip(masks["doc"].tolist(), masks["tid"].tolist(), strict=True))
-        where: dict[tuple[int, int], list[int]] = {}
-        for i, key_ in enumerate(ids):
-            where.setdefault(key_, [i, i])[1] = i + 1
-        out = [(d, len(t), *_kept(t, masks[slice(*where[d, i])] if (d, i) in where else masks[:0])) for d, i, t in one]
+        marks = _read(right, COVERED, MASK)
+        marks = marks[np.lexsort((marks["tid"], marks["doc"]))]
+        edges = np.append(_firsts(marks["doc"], marks["tid"]), len(marks)) if len(marks) else np.zeros(1, np.int64)
+        where = {(int(marks["doc"][a]), int(marks["tid"][a])): slice(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)}
+        out = []
+        for same in one:
+            d, i, t = same[0]
+            spans, digest = _kept(t, marks[where[d, i]] if (d, i) in where else marks[:0])
+            out += [(d, len(t), spans, digest)] * len(same)
         out += [(d, len(t), *_whole(t)) for d, _, t in more]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 4, _RESULT, strict=True)], schema=_RESULT)
 
     tidy = lambda df: df.select("cell", "kind", F.lit(0).cast("long").alias("id"), "data")
-    grams = by_cell.cogroup(copies.groupBy("cell")).applyInArrow(gather, ROWS)
-    common = grams.groupBy("bucket").applyInArrow(shared, ROWS)
-    around = by_cell.cogroup(copies.unionByName(tidy(common)).groupBy("cell")).applyInArrow(contexts, ROWS)
-    masks = around.groupBy("bucket").applyInArrow(refined, ROWS)
-    result = by_cell.cogroup(copies.unionByName(tidy(masks)).groupBy("cell")).applyInArrow(cut, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept_sha256 string")
+    keys = by_cell.cogroup(copies.groupBy("cell")).applyInArrow(gather, ROWS)
+    common = keys.groupBy("bucket").applyInArrow(shared, ROWS)
+    around = by_cell.cogroup(copies.unionByName(tidy(common)).groupBy("cell")).applyInArrow(surroundings, ROWS)
+    marks = around.groupBy("bucket").applyInArrow(settled, ROWS)
+    result = by_cell.cogroup(copies.unionByName(tidy(marks)).groupBy("cell")).applyInArrow(cut, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept_sha256 string")
     free = docs.where("doc_id IS NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.octet_length(text).cast("long").alias("n_bytes"),
@@ -251,59 +431,32 @@ def spans_removed(docs: DataFrame) -> DataFrame:
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string())])
 
 
-def _valid(rows: np.ndarray) -> np.ndarray:
-    """Bit x: the LENGTH bytes that begin x before the q-gram lie in the text."""
-    x = np.arange(SIDE + 1)
-    ok = (x <= rows["left"][:, None]) & (SIDE - x <= rows["right"][:, None])
-    return (ok * (np.uint64(1) << x.astype(np.uint64))).sum(axis=1, dtype=np.uint64)
-
-
-def _covered(rows: np.ndarray) -> np.ndarray:
-    """Bit x: the LENGTH bytes that begin x before the q-gram are also in a smaller document."""
-    out, valid = np.zeros(len(rows), np.uint64), _valid(rows)
-    for a, b in _runs(rows):
-        part = a[b]
-        raw = np.ascontiguousarray(rows["bytes"][part])
-        grams = gram_hashes(np.concatenate([raw.ravel(), np.zeros(Q, np.uint8)]))[: raw.size].reshape(raw.shape)
-        two = mixed(grams[:, : 84 - 2 * Q + 1], grams[:, Q : 84 - Q + 1])
-        step = LENGTH - 2 * Q
-        ids = mixed(two[:, : SIDE + 1], two[:, step : step + SIDE + 1])
-        doc, hashes = rows["doc"][part], rows["hash"][part]
-        for x in range(SIDE + 1):
-            bit = np.uint64(1) << np.uint64(x)
-            ok = np.flatnonzero(valid[part] & bit)
-            if not len(ok):
-                continue
-            key, h, d = ids[ok, SIDE - x] ^ hashes[ok], hashes[ok], doc[ok]
-            order = np.argsort(key, kind="stable")
-            key, h, d = key[order], h[order], d[order]
-            first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1]))))
-            least = np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(d))))
-            out[part[ok[order[d > least]]]] |= bit
-    return out
-
-
-def _runs(rows: np.ndarray, most: int = 1 << 16):
-    """Rows in slices of about ``most`` that hold whole buckets of equal hashes."""
-    order = np.argsort(rows["hash"], kind="stable")
-    h = rows["hash"][order]
-    a = 0
-    while a < len(order):
-        b = min(len(order), a + most)
-        b = int(np.searchsorted(h, h[b - 1], "right"))
-        yield order, slice(a, b)
-        a = b
-
-
-def _kept(text: bytes, masks: np.ndarray) -> tuple[list[dict], str]:
-    if not len(masks):
+def _resolved(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and masks of one text, those that fare like another place included; such references are followed to their end."""
+    alike, known = marks[marks["like"] >= 0], marks[marks["like"] < 0]
+    pos, mask = known["pos"], known["mask"]
+    new = known
+    while len(alike) and len(new):
+        new = new[np.argsort(new["pos"], kind="stable")]
+        low, high = (np.searchsorted(new["pos"], alike["like"], side) for side in ("left", "right"))
+        n = high - low
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        got = np.repeat(alike, n)
+        got["mask"] &= new["mask"][at]
+        new = got[got["mask"] > 0]
+        pos, mask = np.concatenate((pos, new["pos"])), np.concatenate((mask, new["mask"]))
+    return pos, mask
+
+
+def _kept(text: bytes, marks: np.ndarray) -> tuple[list[dict], str]:
+    if not len(marks):
         return [], hashlib.sha256(text).hexdigest()
-    x = np.arange(SIDE + 1)
-    hit = (masks["mask"][:, None] >> x.astype(np.uint64)) & np.uint64(1) > 0
-    start = np.unique((masks["pos"][:, None] - x)[hit])
+    pos, mask = _resolved(marks)
     cover = np.zeros(len(text) + 1, np.int32)
-    np.add.at(cover, start, 1)
-    np.add.at(cover, start + LENGTH, -1)
+    for x in range(SIDE + 1):
+        start = np.unique(pos[(mask >> np.uint64(x)) & np.uint64(1) > 0]) - x
+        np.add.at(cover, start, 1)
+        np.add.at(cover, start + LENGTH, -1)
     gone = np.cumsum(cover[:-1]) > 0
     edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()

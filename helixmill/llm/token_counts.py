@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from helixmill.llm.common import shared_dir, stored
+from helixmill.llm.common import reachable, shared_dir, stored
 
 REMEMBERED = 1_000_000
 CACHE = "content string, tokenizer string, n_tokens long"
@@ -89,9 +89,12 @@ def content(text: str = "text") -> Column:
 
 
 def _cached(spark, path: str) -> DataFrame:
+    """The cache; an empty one where nothing has been stored yet. A cache that can't be read is an error."""
     try:
         return spark.read.schema(CACHE).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], CACHE)
 
 
@@ -101,6 +104,7 @@ def fill(docs: DataFrame, tokenizer: str, cache_path: str) -> DataFrame:
     Misses are found among digests only. Each is represented by its document of the smallest id, and the texts meet
     those choices by a join on (id, digest), which has no hot key however many copies a content has.
     """
+    reachable(docs.sparkSession)
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer)
     rows = docs.select(F.col("doc_id").alias("id"), content().alias("text"))
     rows = rows.withColumn("content", F.sha2("text", 256))
