@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations_with_replacement
+from math import log
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,13 @@ def log_terms(eps: Column) -> tuple[Column, Column, Column]:
     return miss, one - miss, two - miss
 
 
+def quality_terms(most: int = 93) -> tuple[list[float], list[float], list[float]]:
+    """``log_terms`` of the qualities 1 to most."""
+    eps = [10 ** (-q / 10) for q in range(1, most + 1)]
+    miss = [log(e / 3) for e in eps]
+    return miss, [log((1 - e + e / 3) / 2) - m for e, m in zip(eps, miss, strict=True)], [log(1 - e) - m for e, m in zip(eps, miss, strict=True)]
+
+
 def genotype_logs(miss: str = "s_miss", one: str = "s_one", two: str = "s_two") -> Column:
     """The ten log likelihoods of a site from its sums: of misses, and by base what one and two matches add."""
     return F.array(*((F.col(miss) + F.col(f"{two}{a}")) if a == b else (F.col(miss) + F.col(f"{one}{a}") + F.col(f"{one}{b}")) for a, b in GENOTYPES))
@@ -30,6 +38,13 @@ def scaled(logs: str) -> Column:
     return F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
 
 
+def scaled_ten(logs: str, n: int = 10) -> Column:
+    """``scaled`` for a fixed number of likelihoods, whose greatest is worked out once."""
+    each = [F.element_at(logs, i + 1) for i in range(n)]
+    top = F.greatest(*each)
+    return F.array(*(F.exp(x - top) for x in each))
+
+
 def normalised(values: Column) -> Column:
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
     return F.transform(values, lambda x: x / total)

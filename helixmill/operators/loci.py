@@ -108,3 +108,27 @@ def major_minor(sites: DataFrame) -> DataFrame:
     rows = sites.groupBy(*SITE).agg(F.count("*").alias("n_samples"), *sums)
     rows = rows.withColumn("_l", F.array(*(F.round(f"_p{i}", 9) for i in range(6))))
     return rows.select(*SITE, "n_samples", (F.array_position("_l", F.array_max("_l")) - 1).cast("long").alias("allele_pair"), F.round(F.greatest(*(f"_p{i}" for i in range(6))), 6).alias("ll"))
+
+
+def lifted(reads: DataFrame) -> DataFrame:
+    """info, chrom and site of the place that each read's name carries, where that place of the read is aligned.
+
+    A name is a source, an offset in the read and the place's info, joined by underscores; reads have cigar lengths of
+    clips and matches only. A read clipped there has no row.
+    """
+    part = F.split("name", "_")
+    rows = reads.withColumns({"_at": F.get(part, F.lit(1)).cast("long"), "info": F.get(part, F.lit(2))})
+    inside = (F.col("_at") >= F.col("clip_left")) & (F.col("_at") < F.col("clip_left") + F.col("len"))
+    return rows.where(inside).select("info", "chrom", (F.col("pos") + F.col("_at") - F.col("clip_left")).alias("site"))
+
+
+def cycle_transitions(bases: DataFrame) -> DataFrame:
+    """Reference to base by strand and cycle, over the bases of proper pairs: for each mate, and for both (mate 0).
+
+    Cycles of a reverse read count from its other end; for both, the second mate's follow the first one's (column ahead).
+    """
+    cycle = F.when(F.col("is_rev") == 1, F.col("len") - 1 - F.col("off")).otherwise(F.col("off"))
+    mate = F.col("is_second") + 1
+    each = F.inline(F.array(F.struct(mate.cast("int").alias("mate"), cycle.alias("cycle")), F.struct(F.lit(0).alias("mate"), (cycle + F.when(mate == 2, F.col("ahead")).otherwise(0)).alias("cycle"))))
+    rows = bases.where("base < 4").select("is_rev", "ref", "base", each).groupBy("mate", "is_rev", "cycle", "ref", "base").agg(F.count("*").alias("n"))
+    return rows.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("mate", "is_rev", "cycle", "ref")), 4))

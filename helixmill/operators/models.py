@@ -163,13 +163,14 @@ def saf(gl: DataFrame) -> DataFrame:
     def add(h: Column, s: Column) -> Column:
         at = lambda j: F.when(j >= 0, F.coalesce(F.get(h, F.greatest(j, F.lit(0))), F.lit(0.0))).otherwise(0.0)
         out = F.transform(F.sequence(F.lit(0), F.size(h) + 1), lambda j: s["l0"] * at(j) + 2 * s["l1"] * at(j - 1) + s["l2"] * at(j - 2))
-        return F.transform(out, lambda x: x / F.array_max(out))
+        top = F.transform(F.array(out), lambda o: F.struct(o.alias("o"), F.array_max(o).alias("m")))  # binds both: worked out once
+        return F.get(F.transform(top, lambda t: F.transform(t["o"], lambda x: x / t["m"])), F.lit(0))
 
-    lnfact = F.expr("transform(sequence(0, 2 * size(_s)), k -> aggregate(sequence(1, greatest(k, 1)), CAST(0 AS DOUBLE), (a, i) -> a + ln(i)))")
+    lnfact = F.expr("aggregate(sequence(1, 2 * size(_s)), array(CAST(0 AS DOUBLE)), (a, i) -> concat(a, array(element_at(a, -1) + ln(i))))")
     rows = _samples(gl).withColumns({"_h": F.aggregate("_s", F.array(F.lit(1.0)), add), "_f": lnfact})
     logs = F.transform("_h", lambda x, j: F.ln(x) + F.get("_f", j) + F.get("_f", F.size("_h") - 1 - j) - F.get("_f", F.size("_h") - 1))
-    rows = rows.withColumn("_l", logs)
-    return rows.select(*LOCUS, "pop", F.transform("_l", lambda x: F.round(x - F.array_max("_l"), 6)).alias("saf"))
+    bound = F.transform(F.array(logs), lambda o: F.struct(o.alias("o"), F.array_max(o).alias("m")))
+    return rows.select(*LOCUS, "pop", F.get(F.transform(bound, lambda t: F.transform(t["o"], lambda x: F.round(x - t["m"], 6))), F.lit(0)).alias("saf"))
 
 
 def allele_counts_ml(safs: DataFrame) -> DataFrame:

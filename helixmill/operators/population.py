@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixmill.operators.binned import before_bins, in_bin, joined, previous, with_bin
+
 LOCUS = ["chrom", "pos"]
 
 
@@ -23,11 +25,65 @@ def locus_filter(gl: DataFrame, min_depth: int = 0, min_samples: int = 1, min_ma
     return kept.join(loci.select(*LOCUS), LOCUS, "left_semi")
 
 
+def sample_pairs(gl: DataFrame) -> DataFrame:
+    """Every two samples of a locus, the smaller first, with both calls."""
+    by = gl.groupBy(*LOCUS).agg(F.array_sort(F.collect_list(F.struct("sample", "gt"))).alias("_s"))  # as many as there are samples
+    pairs = by.select(*LOCUS, F.explode("_s").alias("a"), "_s").select(*LOCUS, "a", F.explode("_s").alias("b")).where("a.sample < b.sample")
+    return pairs.select(*LOCUS, F.col("a.sample").alias("s1"), F.col("b.sample").alias("s2"), F.col("a.gt").alias("g1"), F.col("b.gt").alias("g2"))
+
+
 def f2(gl: DataFrame) -> DataFrame:
     """Share of loci at which the calls of two samples differ, for every pair of samples that share a locus."""
-    by = gl.groupBy(*LOCUS).agg(F.array_sort(F.collect_list(F.struct("sample", "gt"))).alias("_s"))  # as many as there are samples
-    pairs = by.select(F.explode("_s").alias("a"), "_s").select("a", F.explode("_s").alias("b")).where("a.sample < b.sample")
-    return pairs.groupBy(F.col("a.sample").alias("s1"), F.col("b.sample").alias("s2")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("a.gt") != F.col("b.gt")).cast("double")), 6).alias("f2"))
+    pairs = sample_pairs(gl).groupBy("s1", "s2")
+    return pairs.agg(F.count("*").alias("n"), F.round(F.avg((F.col("g1") != F.col("g2")).cast("double")), 6).alias("f2"))
+
+
+def f2_populations(gl: DataFrame) -> DataFrame:
+    """Mean of the samples' f2 within and between populations; two samples without a common locus count as 0."""
+    samples = gl.select("sample", "pop").distinct()
+    one, two = (samples.select(F.col("sample").alias(f"s{k}"), F.col("pop").alias(f"p{k}")) for k in (1, 2))
+    pairs = one.join(F.broadcast(two), F.col("s1") < F.col("s2"))  # of samples, not of rows
+    rows = pairs.join(f2(gl).select("s1", "s2", "f2"), ["s1", "s2"], "left").withColumn("f2", F.coalesce("f2", F.lit(0.0)))
+    rows = rows.groupBy(F.least("p1", "p2").alias("pop1"), F.greatest("p1", "p2").alias("pop2"))
+    return rows.agg(F.count("*").alias("n_pairs"), F.round(F.avg("f2"), 6).alias("f2"))
+
+
+def thin_loci(gl: DataFrame, distance: int) -> DataFrame:
+    """Loci of a chromosome at least ``distance`` from the last one kept, the first one on.
+
+    Where two neighbours are that far apart the second is kept whatever came before, so loci are cut there; a part, at most
+    a chromosome's distinct places, is walked by jumps to the first place that is far enough.
+    """
+    import numpy as np
+    import pandas as pd
+
+    loci = previous(gl.select(*LOCUS).distinct(), ["chrom"], ["pos"], F.col("pos"))
+    loci = with_bin(loci.withColumn("_head", F.when(F.col("_before").isNull() | (F.col("pos") - F.col("_before") >= distance), F.col("pos"))), "pos")
+    carry = loci.groupBy("chrom", "_bin").agg(F.max("_head").alias("_last"))
+    carry = carry.select("chrom", "_bin", F.max("_last").over(before_bins("chrom")).alias("_carry"))
+    own = F.max("_head").over(in_bin("chrom").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    parts = joined(loci, carry, "chrom").select("chrom", F.coalesce(own, F.col("_carry")).alias("_part"), "pos")
+
+    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        pos, kept, i = np.sort(rows["pos"].to_numpy()), [], 0
+        while i < len(pos):
+            kept.append(pos[i])
+            i = int(np.searchsorted(pos, pos[i] + distance))
+        return pd.DataFrame({"chrom": key[0], "pos": kept})
+
+    return parts.groupBy("chrom", "_part").applyInPandas(walk, "chrom long, pos long")
+
+
+def to_genfile(gl: DataFrame, samples: int, distance: int, most: int, min_depth: int = 1) -> DataFrame:
+    """A line of true genotypes for each locus: those of the deepest samples at thinned loci, NA for all others.
+
+    Only loci with a sample of the least depth are thinned; a locus without one is a line of NA.
+    """
+    good = gl.where(F.col("dp") >= min_depth)
+    top = topk_samples_by_depth(good, most).join(thin_loci(good, distance), LOCUS, "left_semi").select(*LOCUS, "sample", F.lit(True).alias("_kept"))
+    cell = F.when(F.col("_kept"), F.element_at(F.array(F.lit("0/0"), F.lit("0/1"), F.lit("1/1")), F.col("gt").cast("int") + 1)).otherwise("NA")
+    rows = gl.join(top, [*LOCUS, "sample"], "left").groupBy(*LOCUS).agg(F.map_from_entries(F.collect_list(F.struct("sample", cell.alias("v")))).alias("_m"))
+    return rows.select(*LOCUS, F.concat_ws(" ", *(F.coalesce(F.element_at("_m", F.lit(s).cast("long")), F.lit("NA")) for s in range(samples))).alias("line"))
 
 
 def pop_genotype_counts(gl: DataFrame) -> DataFrame:
@@ -95,12 +151,14 @@ def het_imbalance(gl: DataFrame, thresholds: list[int]) -> DataFrame:
 
 
 def invariant_intervals(gl: DataFrame) -> DataFrame:
-    """Runs of neighbouring loci at which all samples are homozygous for one allele."""
-    loci = gl.groupBy(*LOCUS).agg(((F.min("gt") == F.max("gt")) & (F.min("gt") != 1)).cast("int").alias("inv"))
-    w = Window.partitionBy("chrom").orderBy("pos")
-    loci = loci.withColumn("_c", F.when(F.lag("inv").over(w) == F.col("inv"), 0).otherwise(1))
-    loci = loci.withColumn("_r", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return loci.where("inv = 1").groupBy("chrom", "_r").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("stop"), F.count("*").alias("n")).drop("_r")
+    """Runs of neighbouring loci at which all samples are homozygous for one allele: those with one last variant locus before."""
+    loci = gl.groupBy(*LOCUS).agg(((F.min("gt") == F.max("gt")) & (F.min("gt") != 1)).alias("_inv"))
+    loci = with_bin(loci, "pos").withColumn("_var", F.when(~F.col("_inv"), F.col("pos")))
+    carry = loci.groupBy("chrom", "_bin").agg(F.max("_var").alias("_last"))
+    carry = carry.select("chrom", "_bin", F.max("_last").over(before_bins("chrom")).alias("_carry"))
+    before = F.max("_var").over(in_bin("chrom").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    rows = joined(loci, carry, "chrom").withColumn("_run", F.coalesce(before, F.col("_carry"), F.lit(-1)))
+    return rows.where("_inv").groupBy("chrom", "_run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("stop"), F.count("*").alias("n")).drop("_run")
 
 
 def topk_samples_by_depth(gl: DataFrame, k: int) -> DataFrame:

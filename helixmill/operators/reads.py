@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.operators.binned import previous
+
 PAIRED, PROPER, UNMAPPED, REVERSE, FIRST, SECOND, SECONDARY, FAILED, DUPLICATE, SUPPLEMENTARY = 1, 2, 4, 16, 64, 128, 256, 512, 1024, 2048
 
 
@@ -12,26 +14,48 @@ def has(bit: int) -> Column:
     return F.col("flag").bitwiseAND(F.lit(bit)) != 0
 
 
-def read_filter(reads: DataFrame, mapped_length=(0, 500), mapq=None, length=None, soft_clip=None, groups=None, strand=None, mate=None) -> DataFrame:
-    """Adds reason: the first filter that a read fails, in the fixed order, or null for a read to keep."""
-    tests: list[tuple[str, Column]] = [("MappedLength", ~F.col("len").between(*mapped_length)), ("Duplicate", has(DUPLICATE))]
-    if soft_clip is not None:
-        tests.append(("SoftClipped", (F.col("clip_left") + F.col("clip_right")) / (F.col("len") + F.col("clip_left") + F.col("clip_right")) > soft_clip))
-    tests += [("ImproperPairs", has(PAIRED) & ~has(PROPER)), ("Unmapped", has(UNMAPPED)), ("FailedQC", has(FAILED)), ("Secondary", has(SECONDARY)), ("Supplementary", has(SUPPLEMENTARY))]
-    if groups is not None:
-        tests.append(("ReadGroup", ~F.col("rg").isin(list(groups))))
-    if strand is not None:
-        tests.append(("Strand", has(REVERSE) if strand == "forward" else ~has(REVERSE)))
-    if mate is not None:
-        tests.append(("Mate", has(SECOND) if mate == "first" else has(FIRST)))
-    if mapq is not None:
-        tests.append(("MappingQuality", ~F.col("mapq").between(*mapq)))
-    if length is not None:
-        tests.append(("ReadLength", ~F.col("len").between(*length)))
+def read_filter(
+    reads: DataFrame, mapped_length=(0, 500), mapq=None, length=None, soft_clip=None, groups=None, strand=None, mate=None,
+    pmds=None, blacklist: DataFrame | None = None, fragment=None, longer_than_fragment: bool = False, external: Column | None = None, keep_all: bool = False,
+) -> DataFrame:
+    """Adds reason: the first filter that a read fails, in the fixed order, or null for a read to keep.
+
+    blacklist has the names to drop. pmds bounds the column ds from above; a read without one passes. fragment bounds the
+    column frag; longer_than_fragment drops proper pairs whose tlen is shorter than their aligned length. external is a
+    task's own test of reads to keep. With keep_all only the mapped length counts.
+    """
+    rows = reads
+    if blacklist is not None:
+        rows = rows.join(blacklist.select("name").distinct().withColumn("_listed", F.lit(True)), "name", "left")
+    clipped = F.col("clip_left") + F.col("clip_right")
+    between = lambda c, bounds: ~F.col(c).between(*bounds)
+    tests: list[tuple[str, bool, Column]] = [
+        ("Duplicate", True, has(DUPLICATE)),
+        ("SoftClipped", soft_clip is not None, clipped / (F.col("len") + clipped) > (soft_clip or 0)),
+        ("PMDS", pmds is not None, F.col("ds") >= (pmds or 0) if pmds is not None else F.lit(False)),
+        ("ImproperPairs", True, has(PAIRED) & ~has(PROPER)),
+        ("Unmapped", True, has(UNMAPPED)),
+        ("FailedQC", True, has(FAILED)),
+        ("Secondary", True, has(SECONDARY)),
+        ("Supplementary", True, has(SUPPLEMENTARY)),
+        ("ReadGroup", groups is not None, ~F.col("rg").isin(list(groups or []))),
+        ("FwdStrand", strand == "reverse", ~has(REVERSE)),
+        ("RevStrand", strand == "forward", has(REVERSE)),
+        ("FirstMate", mate == "first", ~has(FIRST)),
+        ("SecondMate", mate == "second", ~has(SECOND)),
+        ("MappingQuality", mapq is not None, between("mapq", mapq or (0, 0))),
+        ("Blacklist", blacklist is not None, F.col("_listed") if blacklist is not None else F.lit(False)),
+        ("ReadLength", length is not None, between("len", length or (0, 0))),
+        ("FragmentLength", fragment is not None, between("frag", fragment) if fragment is not None else F.lit(False)),
+        ("LongerThanFragment", longer_than_fragment, has(PROPER) & (F.abs("tlen") < F.col("len")) if longer_than_fragment else F.lit(False)),
+        ("External", external is not None, ~external if external is not None else F.lit(False)),
+    ]
     reason = F.lit(None).cast("string")
-    for name, fails in reversed(tests):
-        reason = F.when(fails, F.lit(name)).otherwise(reason)
-    return reads.withColumn("reason", reason)
+    for name, on, fails in reversed(tests):
+        if on and not keep_all:
+            reason = F.when(fails, F.lit(name)).otherwise(reason)
+    reason = F.when(~F.col("len").between(*mapped_length), F.lit("MappedLength")).otherwise(reason)
+    return rows.withColumn("reason", reason).drop("_listed")
 
 
 def filter_audit(filtered: DataFrame) -> DataFrame:
@@ -43,27 +67,30 @@ def reset_duplicates(reads: DataFrame) -> DataFrame:
     return reads.withColumn("flag", F.col("flag").bitwiseAND(F.lit(~DUPLICATE)))
 
 
-def _before(reads: DataFrame, *keys: str):
-    return Window.partitionBy(*keys, "chrom").orderBy("pos", "read_id")
-
+def mark_duplicates(reads: DataFrame, within: int = 0, by_group: bool = True) -> DataFrame:
+    """Adds is_dup: start and fragment end each differ by ``within`` at most from the read before on the chromosome.
 
-def mark_duplicates(reads: DataFrame, within: int = 0) -> DataFrame:
-    """Adds is_dup: start and end each differ by ``within`` at most from the read before in its group and chromosome."""
-    w, stop = _before(reads, "rg"), F.col("pos") + F.col("len")
-    near = (F.col("pos") - F.lag("pos").over(w) <= within) & (F.abs(stop - F.lag(stop).over(w)) <= within)
-    return reads.withColumn("is_dup", F.coalesce(near, F.lit(False)).cast("int"))
+    Reads that are flagged already are not looked at and are nobody's read before; one just marked is. Reads have frag.
+    """
+    keys = ["rg", "chrom"] if by_group else ["chrom"]
+    at = F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("frag")).alias("stop"))
+    rows = previous(reads.where(~has(DUPLICATE)), keys, ["pos", "read_id", "frag"], at)
+    near = (F.col("pos") - F.col("_before.start") <= within) & (F.abs(F.col("pos") + F.col("frag") - F.col("_before.stop")) <= within)
+    rows = rows.withColumn("is_dup", F.coalesce(near, F.lit(False)).cast("int")).drop("_before")
+    return rows.unionByName(reads.where(has(DUPLICATE)).withColumn("is_dup", F.lit(1)))
 
 
 def potential_duplicates(reads: DataFrame) -> DataFrame:
     """Pairs of neighbours in a group with equal start and length, by both ids."""
-    w = _before(reads, "rg")
-    rows = reads.select("rg", "chrom", "pos", "len", "read_id", F.lag("read_id").over(w).alias("previous_id"), (F.lag("pos").over(w) == F.col("pos")) & (F.lag("len").over(w) == F.col("len"))).toDF("rg", "chrom", "pos", "len", "read_id", "previous_id", "_same")
-    return rows.where(F.col("_same")).select("rg", "chrom", "pos", "len", "previous_id", "read_id")
+    rows = previous(reads.select("rg", "chrom", "pos", "len", "read_id"), ["rg", "chrom"], ["pos", "read_id", "len"], F.struct("pos", "len", "read_id"))
+    rows = rows.where("_before.pos = pos AND _before.len = len")
+    return rows.select("rg", "chrom", "pos", "len", F.col("_before.read_id").alias("previous_id"), "read_id")
 
 
 def read_distance(reads: DataFrame, most: int = 10_000) -> DataFrame:
     """Histogram, by group, of the distance to the read before on the chromosome, capped."""
-    gaps = reads.select("rg", (F.col("pos") - F.lag("pos").over(_before(reads, "rg"))).alias("distance")).where("distance IS NOT NULL")
+    gaps = previous(reads.select("rg", "chrom", "pos", "read_id"), ["rg", "chrom"], ["pos", "read_id"], F.col("pos"))
+    gaps = gaps.where("_before IS NOT NULL").withColumn("distance", F.col("pos") - F.col("_before"))
     return gaps.groupBy("rg", F.least(F.lit(most), F.col("distance")).alias("distance")).agg(F.count("*").alias("n"))
 
 

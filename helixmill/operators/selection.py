@@ -11,7 +11,7 @@ from helixmill.operators.reads import hashed_share, reads_x_regions
 SITE = ["chrom", "site"]
 
 # Upper ends of the quality bins that sequencers write, and the value for each bin.
-ILLUMINA_BINS = ((1, 1), (9, 6), (19, 15), (24, 22), (29, 27), (34, 33), (39, 37), (93, 40))
+ILLUMINA_BINS = ((1, 0), (9, 6), (19, 15), (24, 22), (29, 27), (34, 33), (38, 37), (93, 40))
 
 
 def sites_in_regions(sites: DataFrame, regions: DataFrame, keep: bool = True, bin_size: int = 1000) -> DataFrame:
@@ -33,11 +33,9 @@ def blacklist_anti(reads: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def context_filter(bases: DataFrame, drop: list[tuple[int, int]]) -> DataFrame:
-    """Drops bases whose base before in the read and own base are listed."""
-    w = Window.partitionBy("read_id", "chrom", F.col("site") - F.col("off")).orderBy("off")
-    listed = F.array(*(F.lit(a * 4 + b) for a, b in drop))
-    rows = bases.withColumn("_code", F.lag("base").over(w) * 4 + F.col("base"))
-    return rows.where(F.col("_code").isNull() | ~F.array_contains(listed, F.col("_code").cast("int"))).drop("_code")
+    """Drops bases whose base before in the read (column prev, 4 if there is none) and own base are listed."""
+    listed = F.array(*(F.lit(a * 5 + b) for a, b in drop))
+    return bases.where(~F.array_contains(listed, (F.col("prev") * 5 + F.col("base")).cast("int")))
 
 
 def cpg_filter(pile: DataFrame) -> DataFrame:
@@ -68,9 +66,11 @@ def genome_windows(bases: DataFrame, size: int, skip: int, limit: int) -> DataFr
     return sites.groupBy("chrom", "win").agg(F.sum("n").alias("n_bases"), F.count("*").alias("n_sites"))
 
 
-def full_grid(pile: DataFrame, chroms: DataFrame, genome: int) -> DataFrame:
-    """Every place of each chromosome, with depth 0 where it is uncovered."""
-    grid = chroms.withColumn("site", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(genome - 1).cast("long"))))
+def full_grid(pile: DataFrame, chroms: DataFrame, genome: int, block: int = 4096) -> DataFrame:
+    """Every place of each chromosome, with depth 0 where it is uncovered. Places are made block by block, not in one row."""
+    starts = chroms.withColumn("_start", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(genome - 1).cast("long"), F.lit(block).cast("long"))))
+    starts = starts.repartition("chrom", "_start")
+    grid = starts.select("chrom", F.explode(F.sequence("_start", F.least(F.col("_start") + block, F.lit(genome)) - 1)).alias("site"))
     return grid.join(pile.select("chrom", "site", "depth"), SITE, "left").select("chrom", "site", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
@@ -80,20 +80,6 @@ def multi_sample_sites(bases: DataFrame, least: int) -> DataFrame:
     return per.groupBy(*SITE).agg(F.count("*").alias("n_samples"), F.sum("n").alias("depth")).where(F.col("n_samples") >= least)
 
 
-def regions_except(regions: DataFrame, mask: DataFrame) -> DataFrame:
-    """What of the regions no mask covers, by the running sums of where intervals begin and end."""
-
-    def edges(rows: DataFrame, a: int, b: int) -> DataFrame:
-        pair = F.array(F.struct(F.col("start").alias("at"), F.lit(a).alias("r"), F.lit(b).alias("m")), F.struct(F.col("stop").alias("at"), F.lit(-a).alias("r"), F.lit(-b).alias("m")))
-        return bed_merge(rows).select("chrom", F.inline(pair))
-
-    points = edges(regions, 1, 0).unionByName(edges(mask, 0, 1)).groupBy("chrom", "at").agg(F.sum("r").alias("r"), F.sum("m").alias("m"))
-    w = Window.partitionBy("chrom").orderBy("at")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = points.select("chrom", F.col("at").alias("start"), F.lead("at").over(w).alias("stop"), F.sum("r").over(upto).alias("r"), F.sum("m").over(upto).alias("m"))
-    return rows.where("r > 0 AND m = 0 AND stop IS NOT NULL").select("chrom", "start", "stop")
-
-
 def platform_groups(reads: DataFrame, units: DataFrame) -> DataFrame:
     """Gives each read the group whose unit is the first four fields of its name; reads without one keep their group."""
     rows = reads.withColumn("unit", F.substring_index("full_name", ":", 4)).join(units.withColumnRenamed("rg", "_rg"), "unit", "left")
@@ -118,7 +104,7 @@ def trim_soft_clips(reads: DataFrame, keep: int = 0) -> DataFrame:
     return reads.withColumns({c: F.least(F.col(c), F.lit(keep)) for c in ("clip_left", "clip_right")})
 
 
-def binned_quality(qual: Column, low: int = 1, high: int = 93) -> Column:
+def binned_quality(qual: Column, low: int = 0, high: int = 93) -> Column:
     """The quality clamped to a range, then set to the value of its bin."""
     q = F.greatest(F.lit(low), F.least(F.lit(high), qual))
     out = F.lit(ILLUMINA_BINS[-1][1])
@@ -158,11 +144,33 @@ def covariate_table(bases: DataFrame) -> DataFrame:
 
 
 def previous_base_table(bases: DataFrame) -> DataFrame:
-    """Strand, reference and base against the base before, which is the complement of the next one on reverse reads."""
-    w = Window.partitionBy("read_id", "chrom", F.col("site") - F.col("off"), "is_rev").orderBy("off")
-    prev = F.when(F.col("is_rev") == 1, 3 - F.lead("base").over(w)).otherwise(F.lag("base").over(w))
-    rows = bases.withColumn("prev", F.coalesce(prev, F.lit(4)))
-    return rows.groupBy("is_rev", "ref", "base").agg(*(F.count_if(F.col("prev") == p).alias(f"prev{p}") for p in range(5)))
+    """Strand, reference and base against the base before in the read's own direction (column prev, 4 if there is none)."""
+    return bases.groupBy("is_rev", "ref", "base").agg(*(F.count_if(F.col("prev") == p).alias(f"prev{p}") for p in range(5)))
+
+
+def pooled_groups(reads: DataFrame, pools: DataFrame) -> DataFrame:
+    """Adds pool: that of the read's group, or the group itself. A group that is in two pools is an error."""
+    twice = pools.groupBy("rg").agg(F.count_distinct("pool").alias("_n")).where("_n > 1")
+    wrong = F.raise_error(F.concat(F.lit("a read group in two pools: "), F.col("rg")))
+    checked = pools.distinct().join(F.broadcast(twice), "rg", "left").select("rg", F.when(F.col("_n").isNotNull(), wrong.cast("string")).otherwise(F.col("pool")).alias("_pool"))
+    return reads.join(checked, "rg", "left").withColumn("pool", F.coalesce("_pool", "rg")).drop("_pool")
+
+
+def united(samples: dict[str, DataFrame]) -> DataFrame:
+    """The rows of all samples, with the column sample."""
+    parts = [rows.withColumn("sample", F.lit(name)) for name, rows in samples.items()]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x, allowMissingColumns=True)
+    return out
+
+
+def known_sites(rows: DataFrame, alleles: DataFrame) -> DataFrame:
+    return rows.join(alleles.select(*SITE).distinct(), SITE, "left_semi")
+
+
+def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    return rows.orderBy(*order).limit(n)
 
 
 def top2_alleles(pile: DataFrame) -> DataFrame:

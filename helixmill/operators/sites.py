@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.functions.likelihood import GENOTYPES, genotype_logs, log_terms, normalised, phred_to_prob, scaled
-from helixmill.operators.intervals import sites_to_intervals
+from helixmill.functions.likelihood import GENOTYPES, genotype_logs, phred_to_prob, quality_terms, scaled_ten
+from helixmill.operators.intervals import regions_complement, sites_to_intervals
 
 KEY = ["chrom", "site"]
 BASES = "ACGT"
@@ -17,9 +17,9 @@ def base_quality_filter(bases: DataFrame, low: int = 1, high: int = 93) -> DataF
 
 
 def trim_ends(bases: DataFrame, trim5: int, trim3: int) -> DataFrame:
-    """Drops bases closer to an end than the trims; on reverse reads the ends are swapped."""
+    """Bases closer to an end than the trims become N (4), so depth stays; on reverse reads the ends are swapped."""
     d5 = F.when(F.col("is_rev") == 1, F.col("len") - 1 - F.col("off")).otherwise(F.col("off"))
-    return bases.where((d5 >= trim5) & (F.col("len") - 1 - d5 >= trim3))
+    return bases.withColumn("base", F.when((d5 >= trim5) & (F.col("len") - 1 - d5 >= trim3), F.col("base")).otherwise(F.lit(4).cast("long")))
 
 
 def _counts() -> list[Column]:
@@ -68,9 +68,8 @@ def damage_init(bases: DataFrame) -> DataFrame:
 
 
 def context_table(bases: DataFrame) -> DataFrame:
-    """Quality by the base before in the read and the base."""
-    w = Window.partitionBy("read_id", "chrom", F.col("site") - F.col("off")).orderBy("off")
-    return bases.withColumn("prev", F.coalesce(F.lag("base").over(w), F.lit(4))).groupBy("qual", "prev", "base").agg(F.count("*").alias("n"))
+    """Quality by the base before in the read (column prev) and the base."""
+    return bases.groupBy("qual", "prev", "base").agg(F.count("*").alias("n"))
 
 
 def window_depth_stats(bases: DataFrame, size: int) -> DataFrame:
@@ -89,6 +88,7 @@ def base_frequencies_window(bases: DataFrame, size: int) -> DataFrame:
 
 
 def site_depth_cap(bases: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` bases of a site. Spark ranks within each task first, so a deep site sends that many from each at most."""
     return bases.withColumn("_k", F.row_number().over(Window.partitionBy(*KEY).orderBy("read_id", "qual", "base"))).where(F.col("_k") <= most).drop("_k")
 
 
@@ -104,9 +104,12 @@ def allelic_depth_table(pile: DataFrame) -> DataFrame:
 
 
 def site_sums(bases: DataFrame, *by: str) -> DataFrame:
-    """The nine sums that give a site's ten genotype likelihoods: no list of bases is ever collected."""
-    miss, one, two = log_terms(phred_to_prob())
-    rows = bases.withColumns({"_miss": miss, "_one": one, "_two": two})
+    """The nine sums that give a site's ten genotype likelihoods: no list of bases is ever collected. N counts for nothing.
+
+    What a base adds depends on its quality alone, so it is looked up; a quality beyond the table counts as its last.
+    """
+    at = F.least(F.greatest(F.col("qual"), F.lit(1)), F.lit(93)).cast("int")
+    rows = bases.where("base < 4").withColumns({f"_{k}": F.element_at(F.array(*map(F.lit, t)), at) for k, t in zip(("miss", "one", "two"), quality_terms(), strict=True)})
     sums = [F.sum(F.when(F.col("base") == b, F.col(f"_{k}")).otherwise(0.0)).alias(f"s_{k}{b}") for k in ("one", "two") for b in range(4)]
     return rows.groupBy(*by, *KEY, "ref").agg(F.count("*").alias("depth"), F.sum("_miss").alias("s_miss"), *sums)
 
@@ -114,15 +117,25 @@ def site_sums(bases: DataFrame, *by: str) -> DataFrame:
 def genotype_likelihoods(bases: DataFrame, *by: str) -> DataFrame:
     """The columns by, chrom, site, ref, depth, logs (ten ln likelihoods) and gl (scaled to a greatest of 1)."""
     rows = site_sums(bases, *by).select(*by, *KEY, "ref", "depth", genotype_logs().alias("logs"))
-    return rows.withColumn("gl", scaled("logs"))
+    return rows.withColumn("gl", scaled_ten("logs"))
+
+
+def haploid_likelihoods(bases: DataFrame, *by: str) -> DataFrame:
+    """The columns by, chrom, site, ref, depth, logs (four ln likelihoods of a single allele) and gl."""
+    rows = site_sums(bases, *by)
+    logs = F.array(*(F.col("s_miss") + F.col(f"s_two{b}") for b in range(4)))
+    rows = rows.select(*by, *KEY, "ref", "depth", logs.alias("logs"))
+    return rows.withColumn("gl", scaled_ten("logs", 4))
 
 
 def call_mle(sites: DataFrame) -> DataFrame:
     """The likeliest genotype, the first of several, and its quality against the second."""
-    ranked = F.array_sort(F.transform("logs", lambda x, i: F.struct((-x).alias("m"), i.alias("g"))))
-    rows = sites.withColumn("_r", ranked)
-    gq = (F.element_at("_r", 2)["m"] - F.element_at("_r", 1)["m"]) * 10 / F.ln(F.lit(10.0))
-    return rows.select(*KEY, "ref", "depth", F.element_at("_r", 1)["g"].cast("long").alias("genotype"), F.round(gq, 3).alias("gq"))
+    each = [F.element_at("logs", i + 1) for i in range(10)]
+    best = F.greatest(*each)
+    at = F.array_position("logs", best)
+    second = F.greatest(*(F.when(at == i + 1, F.lit(float("-inf"))).otherwise(x) for i, x in enumerate(each)))
+    gq = (best - second) * 10 / F.ln(F.lit(10.0))
+    return sites.select(*KEY, "ref", "depth", (at - 1).cast("long").alias("genotype"), F.round(gq, 3).alias("gq"))
 
 
 def theta_prior(theta: float, freqs=(0.25, 0.25, 0.25, 0.25)) -> list[float]:
@@ -134,7 +147,8 @@ def theta_prior(theta: float, freqs=(0.25, 0.25, 0.25, 0.25)) -> list[float]:
 
 
 def posterior(sites: DataFrame, prior: list[float]) -> DataFrame:
-    return sites.withColumn("post", normalised(F.zip_with("gl", F.array(*map(F.lit, prior)), lambda g, p: g * p)))
+    w = [F.element_at("gl", i + 1) * p for i, p in enumerate(prior)]
+    return sites.withColumn("post", F.array(*(x / sum(w) for x in w)))
 
 
 def call_bayes(sites: DataFrame, prior: list[float]) -> DataFrame:
@@ -159,7 +173,7 @@ def call_majority(pile: DataFrame) -> DataFrame:
 def theta_surface(sites: DataFrame, size: int, steps: int = 5) -> DataFrame:
     """Log likelihood of each window at log10(theta) in [-5, -1] in equal steps."""
     grid = [-5 + 4 * i / (steps - 1) for i in range(steps)]
-    dot = lambda p: F.aggregate(F.zip_with("gl", F.array(*map(F.lit, p)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    dot = lambda p: sum(F.element_at("gl", i + 1) * x for i, x in enumerate(p))
     sums = [F.sum(F.ln(dot(theta_prior(10**x)))).alias(f"_{i}") for i, x in enumerate(grid)]
     rows = sites.groupBy("chrom", F.floor(F.col("site") / size).cast("long").alias("win")).agg(*sums)
     each = F.array(*(F.struct(F.lit(round(x, 6)).alias("log10_theta"), F.round(f"_{i}", 3).alias("ll")) for i, x in enumerate(grid)))
@@ -210,8 +224,6 @@ def mask(pile: DataFrame, kind: str, min_depth: int = 2) -> DataFrame:
 def mask_depth(pile: DataFrame, genome: int, chroms: DataFrame, low: int = 2, high: int = 1_000_000) -> DataFrame:
     """Intervals of all places, uncovered ones too, whose depth is out of range."""
     good = sites_to_intervals(pile.where(F.col("depth").between(low, high)))
-    from helixmill.operators.intervals import regions_complement
-
     return regions_complement(good, genome, chroms)
 
 

@@ -36,31 +36,21 @@ def filter_log(s, d):
     return _filtered(s, d).where("reason IS NOT NULL").select("read_id", "name", "reason")
 
 
-@query(f"WITH {sql.READS} SELECT rg, chrom, pos, mapq, len, flag, read_id FROM reads WHERE chrom = 2 AND pos < 5000")
-def scan_reads(s, d):
-    return views.reads(s, d).where("chrom = 2 AND pos < 5000").select("rg", "chrom", "pos", "mapq", "len", "flag", "read_id")
-
-
-@query(f"WITH {sql.READS} SELECT rg, count(*) AS n FROM reads GROUP BY rg")
-def scan_read_groups(s, d):
-    return views.reads(s, d).groupBy("rg").agg(F.count("*").alias("n"))
-
-
 @query(f"WITH {sql.READS} SELECT read_id, CAST(flag & ~1024 AS INT) AS flag FROM reads")
 def reset_duplicates(s, d):
     return reads.reset_duplicates(views.reads(s, d)).select("read_id", "flag")
 
 
 @query(
-    f"WITH {sql.READS}, w AS (SELECT *, lag(pos) OVER (PARTITION BY rg, chrom ORDER BY pos, read_id) AS p, lag(pos + len) OVER (PARTITION BY rg, chrom ORDER BY pos, read_id) AS e FROM reads) "
-    "SELECT read_id, CASE WHEN pos - p <= 2 AND abs(pos + len - e) <= 2 THEN 1 ELSE 0 END AS is_dup FROM w"
+    f"WITH {sql.READS}, u AS (SELECT read_id, pos, frag, lag(pos) OVER v AS p, lag(pos + frag) OVER v AS e FROM reads WHERE flag & 1024 = 0 WINDOW v AS (PARTITION BY rg, chrom ORDER BY pos, read_id, frag)) "
+    "SELECT read_id, CASE WHEN pos - p <= 2 AND abs(pos + frag - e) <= 2 THEN 1 ELSE 0 END AS is_dup FROM u UNION ALL SELECT read_id, 1 FROM reads WHERE flag & 1024 > 0"
 )
 def mark_duplicates(s, d):
     return reads.mark_duplicates(views.reads(s, d), 2).select("read_id", "is_dup")
 
 
 @query(
-    f"WITH {sql.READS}, w AS (SELECT *, lag(pos) OVER v AS p, lag(len) OVER v AS l, lag(read_id) OVER v AS previous_id FROM reads WINDOW v AS (PARTITION BY rg, chrom ORDER BY pos, read_id)) "
+    f"WITH {sql.READS}, w AS (SELECT *, lag(pos) OVER v AS p, lag(len) OVER v AS l, lag(read_id) OVER v AS previous_id FROM reads WINDOW v AS (PARTITION BY rg, chrom ORDER BY pos, read_id, len)) "
     "SELECT rg, chrom, pos, len, previous_id, read_id FROM w WHERE p = pos AND l = len"
 )
 def potential_duplicates(s, d):
@@ -154,7 +144,7 @@ def merge_overlapping_mates(s, d):
     return reads.merge_overlapping_mates(reads.pair_mates(views.pairs_source(s, d)))
 
 
-@query(f"WITH {sql.READS}, {sql.REGIONS} SELECT read_id FROM reads r WHERE EXISTS (SELECT 1 FROM regions g WHERE g.chrom = r.chrom AND r.pos < g.stop AND r.pos + r.len > g.start)")
+@query(f"WITH {sql.READS}, {sql.REGIONS}, {sql.MERGED} SELECT read_id FROM reads r WHERE EXISTS (SELECT 1 FROM merged g WHERE g.chrom = r.chrom AND r.pos < g.stop AND r.pos + r.len > g.start)")
 def reads_x_regions(s, d):
     return reads.reads_x_regions(views.reads(s, d), views.regions(s, d)).select("read_id")
 
@@ -198,9 +188,9 @@ def base_quality_filter(s, d):
     return sites.base_quality_filter(views.bases(s, d), 20, 35).groupBy("chrom", "site").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {sql.BASES}, e AS (SELECT *, CASE WHEN is_rev = 1 THEN len - 1 - off ELSE off END AS d5 FROM bases) SELECT chrom, site, count(*) AS n FROM e WHERE d5 >= 3 AND len - 1 - d5 >= 2 GROUP BY ALL")
+@query(f"WITH {sql.BASES}, e AS (SELECT *, CASE WHEN is_rev = 1 THEN len - 1 - off ELSE off END AS d5 FROM bases) SELECT chrom, site, count(*) AS depth, count_if(d5 >= 3 AND len - 1 - d5 >= 2) AS n FROM e GROUP BY ALL")
 def trim_ends(s, d):
-    return sites.trim_ends(views.bases(s, d, "is_rev", "len"), 3, 2).groupBy("chrom", "site").agg(F.count("*").alias("n"))
+    return sites.trim_ends(views.bases(s, d, "is_rev", "len"), 3, 2).groupBy("chrom", "site").agg(F.count("*").alias("depth"), F.count_if(F.col("base") < 4).alias("n"))
 
 
 @query(f"WITH {sql.PILE} SELECT chrom, depth, count(*) AS n FROM (SELECT chrom, site, sum(depth) AS depth FROM pile GROUP BY ALL) GROUP BY ALL")
@@ -226,9 +216,9 @@ def damage_init(s, d):
     return sites.damage_init(views.bases(s, d))
 
 
-@query(f"WITH {sql.BASES}, c AS (SELECT qual, coalesce(lag(base) OVER (PARTITION BY read_id, chrom, pos ORDER BY off), 4) AS prev, base FROM bases) SELECT qual, prev, base, count(*) AS n FROM c GROUP BY ALL")
+@query(f"WITH {sql.BASES}, c AS (SELECT qual, coalesce(lag(base) OVER (PARTITION BY uid ORDER BY off), 4) AS prev, base FROM bases) SELECT qual, prev, base, count(*) AS n FROM c GROUP BY ALL")
 def context_table(s, d):
-    return sites.context_table(views.bases(s, d))
+    return sites.context_table(views.bases(s, d, "prev"))
 
 
 @query(
@@ -366,11 +356,6 @@ def reads_x_alleles(s, d):
 # populations
 
 
-@query(f"WITH {sql.GL} SELECT * FROM gl")
-def scan_vcf(s, d):
-    return views.genotypes(s, d)
-
-
 @query(
     f"WITH {sql.GL}, k AS (SELECT * FROM gl WHERE dp >= 2), l AS (SELECT chrom, pos FROM k GROUP BY ALL HAVING count(*) >= 6 AND least(sum(gt) / (2.0 * count(*)), 1 - sum(gt) / (2.0 * count(*))) >= 0.1) SELECT k.* FROM k JOIN l USING (chrom, pos)"
 )

@@ -25,11 +25,6 @@ def _by_sample(s, d):
     return sites.genotype_likelihoods(views.bases(s, d, "rg"), "rg")
 
 
-@query(f"WITH {sql.GL} SELECT DISTINCT sample, pop FROM gl")
-def scan_samples(s, d):
-    return views.genotypes(s, d).select("sample", "pop").distinct()
-
-
 @query(
     f"WITH {sql.READS} SELECT read_id, clip_left + clip_right AS clipped, len + 5 AS aligned, k % 3 AS inserted, k % 2 AS deleted, len + 5 + k % 3 + clip_left + clip_right AS sequenced, len + 5 + k % 2 AS mapped FROM reads"
 )
@@ -71,7 +66,7 @@ def bases_x_reference(s, d):
 
 
 @query(
-    f"WITH {sql.PILE}, {sql.REGIONS} SELECT s.part, p.chrom, p.site, p.depth FROM pile p, (VALUES (0), (1)) s(part) WHERE EXISTS (SELECT 1 FROM regions g WHERE g.start % 2 = s.part AND g.chrom = p.chrom AND p.site >= g.start AND p.site < g.stop)"
+    f"WITH {sql.PILE}, {sql.REGIONS}, r AS (SELECT DISTINCT CAST(start % 2 AS INT) AS part, chrom, unnest(range(start, stop)) AS site FROM regions) SELECT part, chrom, site, depth FROM pile JOIN r USING (chrom, site)"
 )
 def sites_x_regions(s, d):
     pile, r = sites.pileup(views.bases(s, d)).select("chrom", "site", "depth"), views.regions(s, d)
@@ -112,7 +107,7 @@ def top2_genotypes(s, d):
 
 @query(f"WITH {sql.PILE} SELECT chrom, site, depth FROM pile ORDER BY chrom, site LIMIT 100")
 def limit_rows(s, d):
-    return sites.pileup(views.bases(s, d)).select("chrom", "site", "depth").orderBy("chrom", "site").limit(100)
+    return selection.first_rows(sites.pileup(views.bases(s, d)).select("chrom", "site", "depth"), 100, "chrom", "site")
 
 
 @query(f"WITH {sql.NORMAL} SELECT chrom, pos, sample, round(l0, 6) AS l0, round(l1, 6) AS l1, round(l2, 6) AS l2 FROM normal")

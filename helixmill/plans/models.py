@@ -88,7 +88,7 @@ def theta_downsample(s, d):
 
 @query()
 def saf_biallelic(s, d):
-    return models.saf(views.genotypes(s, d)).select("chrom", "pos", "pop", F.array_join(F.transform("saf", lambda x: x.cast("string")), ",").alias("saf"))
+    return models.saf(views.genotypes(s, d)).select("chrom", "pos", "pop", F.array_join(F.transform("saf", lambda x: (x + 0.0).cast("decimal(14,6)").cast("string")), ",").alias("saf"))
 
 
 @query()
@@ -175,11 +175,6 @@ def write_vcf(s, d):
     return models.to_vcf(views.genotypes(s, d), 12)
 
 
-@query(f"WITH {sql.GL} SELECT chrom, pos, pop, CAST(sum(gt) AS BIGINT) AS n_minor, 2 * count(*) AS n_total FROM gl GROUP BY ALL")
-def scan_counts(s, d):
-    return models.read_counts(population.f_table(views.genotypes(s, d), [0, 1, 2]), [0, 1, 2])
-
-
 @query(f"WITH {sql.GL} SELECT chrom, pos, sample, CASE WHEN dp >= 3 THEN gt END AS gt FROM gl")
 def sample_call_filter(s, d):
     return views.genotypes(s, d).select("chrom", "pos", "sample", F.when(F.col("dp") >= 3, F.col("gt")).alias("gt"))

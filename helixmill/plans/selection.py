@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions.likelihood import GENOTYPES
 from helixmill.operators import selection as sel
-from helixmill.operators import sites
+from helixmill.operators import intervals, sites
 from helixmill.plans import sql
 from helixmill.plans.registry import WIN, query
 from helixmill.sources import views
@@ -30,26 +30,6 @@ def _chroms(s):
     return s.range(1, 4).withColumnRenamed("id", "chrom")
 
 
-@query(f"WITH {sql.READS} SELECT chrom, CAST(50000 AS BIGINT) AS length, count(*) AS n_reads FROM reads GROUP BY chrom")
-def scan_chromosomes(s, d):
-    return views.reads(s, d).groupBy("chrom").agg(F.lit(views.GENOME).cast("long").alias("length"), F.count("*").alias("n_reads"))
-
-
-@query(f"WITH {sql.BASES} SELECT DISTINCT chrom, site, ref FROM bases")
-def scan_reference(s, d):
-    return views.bases(s, d).select("chrom", "site", "ref").distinct()
-
-
-@query(f"WITH {sql.ALLELES} SELECT chrom, site, known_ref, known_alt FROM alleles")
-def scan_alleles(s, d):
-    return views.alleles(s, d)
-
-
-@query(f"WITH {sql.REGIONS} SELECT chrom, start, stop FROM regions")
-def scan_bed(s, d):
-    return views.regions(s, d)
-
-
 @query(f"WITH {sql.PILE}, {sql.REGIONS}, {sql.MERGED} SELECT chrom, site, depth FROM pile p WHERE {INSIDE}")
 def site_regions(s, d):
     return sel.sites_in_regions(_pile(s, d), views.regions(s, d)).select("chrom", "site", "depth")
@@ -60,7 +40,7 @@ def site_mask(s, d):
     return sel.sites_in_regions(_pile(s, d), views.regions(s, d), keep=False).select("chrom", "site", "depth")
 
 
-@query(f"WITH {sql.READS}, {sql.REGIONS} SELECT read_id FROM reads r WHERE NOT EXISTS (SELECT 1 FROM regions g WHERE g.chrom = r.chrom AND r.pos < g.stop AND r.pos + r.len > g.start)")
+@query(f"WITH {sql.READS}, {sql.REGIONS}, {sql.MERGED} SELECT read_id FROM reads r WHERE NOT EXISTS (SELECT 1 FROM merged g WHERE g.chrom = r.chrom AND r.pos < g.stop AND r.pos + r.len > g.start)")
 def read_mask(s, d):
     return sel.read_mask(views.reads(s, d), views.regions(s, d)).select("read_id")
 
@@ -71,14 +51,14 @@ def blacklist_anti(s, d):
     return sel.blacklist_anti(views.reads(s, d), names).select("read_id")
 
 
-@query(f"WITH {sql.BASES}, w AS (SELECT *, lag(base) OVER (PARTITION BY read_id, chrom, pos ORDER BY off) AS prev FROM bases) SELECT chrom, site, count(*) AS n FROM w WHERE prev IS NULL OR prev * 4 + base NOT IN (6, 9) GROUP BY ALL")
+@query(f"WITH {sql.BASES}, w AS (SELECT *, lag(base) OVER (PARTITION BY uid ORDER BY off) AS prev FROM bases) SELECT chrom, site, count(*) AS n FROM w WHERE prev IS NULL OR prev * 4 + base NOT IN (6, 9) GROUP BY ALL")
 def context_filter(s, d):
-    return sel.context_filter(views.bases(s, d), [(1, 2), (2, 1)]).groupBy("chrom", "site").agg(F.count("*").alias("n"))
+    return sel.context_filter(views.bases(s, d, "prev"), [(1, 2), (2, 1)]).groupBy("chrom", "site").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {sql.PILE}, {sql.ALLELES} SELECT chrom, site, depth FROM pile SEMI JOIN alleles USING (chrom, site)")
 def site_subset(s, d):
-    return _pile(s, d).join(views.alleles(s, d), ["chrom", "site"], "left_semi").select("chrom", "site", "depth")
+    return sel.known_sites(_pile(s, d), views.alleles(s, d)).select("chrom", "site", "depth")
 
 
 @query(
@@ -120,7 +100,7 @@ def multi_sample_sites(s, d):
 )
 def regions_except(s, d):
     mask = views.reads(s, d).where("k % 9 = 0").selectExpr("chrom", "pos AS start", "pos + 10 AS stop")
-    return sel.regions_except(views.regions(s, d), mask)
+    return intervals.regions_except(views.regions(s, d), mask)
 
 
 _UNITS = "SELECT 'm' || x || ':r' || y || ':f:' || (x + y) AS unit, 'pu' || (x * 2 + y) AS rg FROM (VALUES (0), (1)) a(x), (VALUES (0), (1)) b(y)"
@@ -139,8 +119,7 @@ def reassign_platform_unit(s, d):
 @query(f"WITH {sql.READS} SELECT CASE WHEN rg IN ('A', 'R') THEN 'pool' ELSE rg END AS pool, count(*) AS n FROM reads GROUP BY ALL")
 def rg_pool_map(s, d):
     pools = s.range(2).selectExpr("CASE id WHEN 0 THEN 'A' ELSE 'R' END AS rg", "'pool' AS pool")
-    rows = views.reads(s, d).join(pools, "rg", "left")
-    return rows.groupBy(F.coalesce("pool", "rg").alias("pool")).agg(F.count("*").alias("n"))
+    return sel.pooled_groups(views.reads(s, d), pools).groupBy("pool").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {sql.BASES}, e AS (SELECT is_rev, off, len - 1 - off AS l FROM bases) SELECT is_rev, CASE WHEN is_rev = 1 THEN l ELSE off END AS d5, CASE WHEN is_rev = 1 THEN off ELSE l END AS d3, count(*) AS n FROM e GROUP BY ALL")
@@ -158,9 +137,11 @@ def trim_soft_clips(s, d):
     return sel.trim_soft_clips(views.reads(s, d), 2).select("read_id", "clip_left", "clip_right")
 
 
-@query(f"WITH {sql.BASES}, c AS (SELECT greatest(5, least(38, qual)) AS q FROM bases) SELECT CAST(CASE WHEN q <= 1 THEN 1 WHEN q <= 9 THEN 6 WHEN q <= 19 THEN 15 WHEN q <= 24 THEN 22 WHEN q <= 29 THEN 27 WHEN q <= 34 THEN 33 WHEN q <= 39 THEN 37 ELSE 40 END AS BIGINT) AS out_qual, count(*) AS n FROM c GROUP BY ALL")
+@query(f"WITH {sql.BASES}, c AS (SELECT (qual * 7 + off) % 94 AS q FROM bases) SELECT q, [0, 6, 15, 22, 27, 33, 37, 40][1 + CAST(q > 1 AS INT) + CAST(q > 9 AS INT) + CAST(q > 19 AS INT) + CAST(q > 24 AS INT) + CAST(q > 29 AS INT) + CAST(q > 34 AS INT) + CAST(q > 38 AS INT)] AS out_qual, count(*) AS n FROM c GROUP BY ALL")
 def adjust_out_qual(s, d):
-    return views.bases(s, d).groupBy(sel.binned_quality(F.col("qual"), 5, 38).cast("long").alias("out_qual")).agg(F.count("*").alias("n"))
+    """Qualities of the whole range, 0 to 93."""
+    q = F.expr("(qual * 7 + off) % 94")
+    return views.bases(s, d).groupBy(q.alias("q"), sel.binned_quality(q).alias("out_qual")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -187,11 +168,11 @@ def recal_covariate_tables(s, d):
 
 
 @query(
-    f"WITH {sql.BASES}, w AS (SELECT is_rev, ref, base, coalesce(CASE WHEN is_rev = 1 THEN 3 - lead(base) OVER v ELSE lag(base) OVER v END, 4) AS prev FROM bases WINDOW v AS (PARTITION BY read_id, chrom, pos, is_rev ORDER BY off)) "
+    f"WITH {sql.BASES}, w AS (SELECT is_rev, ref, base, coalesce(CASE WHEN is_rev = 1 THEN 3 - lead(base) OVER v ELSE lag(base) OVER v END, 4) AS prev FROM bases WINDOW v AS (PARTITION BY uid ORDER BY off)) "
     f"SELECT is_rev, ref, base, {', '.join(f'count_if(prev = {p}) AS prev{p}' for p in range(5))} FROM w GROUP BY ALL"
 )
 def prev_base_table(s, d):
-    return sel.previous_base_table(views.bases(s, d, "is_rev"))
+    return sel.previous_base_table(views.bases(s, d, "is_rev", "turned").withColumnRenamed("turned", "prev"))
 
 
 @query(f"WITH {sql.PILE}, r AS (SELECT chrom, site, {TOP} AS t FROM pile) SELECT chrom, site, t[1].b AS b1, -t[1].m AS n1, t[2].b AS b2, -t[2].m AS n2 FROM r")
@@ -234,8 +215,7 @@ def call_gt_encode(s, d):
 
 @query(f"WITH {sql.READS} SELECT 'one' AS sample, rg, count(*) AS n FROM reads WHERE k % 2 = 0 GROUP BY ALL UNION ALL SELECT 'two', rg, count(*) FROM reads WHERE k % 2 = 1 GROUP BY ALL")
 def union_samples(s, d):
-    one, two = (views.reads(s, d).where(f"k % 2 = {i}").withColumn("sample", F.lit(n)) for i, n in enumerate(("one", "two")))
-    return one.unionByName(two).groupBy("sample", "rg").agg(F.count("*").alias("n"))
+    return sel.united({n: views.reads(s, d).where(f"k % 2 = {i}") for i, n in enumerate(("one", "two"))}).groupBy("sample", "rg").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {sql.READS} SELECT chrom, pos, read_id FROM reads")

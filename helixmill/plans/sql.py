@@ -6,10 +6,12 @@ from itertools import combinations_with_replacement
 
 GENOTYPES = tuple(combinations_with_replacement(range(4), 2))
 
-READS = """reads AS (SELECT l_orderkey * 8 + l_linenumber AS read_id, l_orderkey AS name, 1 + l_suppkey % 3 AS chrom,
+READS = """reads AS (SELECT row_number() OVER () AS uid, l_orderkey * 8 + l_linenumber AS read_id, l_orderkey AS name, 1 + l_suppkey % 3 AS chrom,
   (l_partkey * 37 + l_orderkey * 11 + l_linenumber * 5) % 50000 AS pos, 20 + CAST(floor(l_quantity) AS BIGINT) AS len,
   CAST(floor(l_extendedprice) AS BIGINT) % 61 AS mapq, l_returnflag AS rg, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS is_rev, l_orderkey AS k,
   l_partkey % 6 AS clip_left, l_suppkey % 6 AS clip_right,
+  CASE WHEN l_linenumber < 3 AND l_orderkey % 5 > 0 THEN 20 + CAST(floor(l_quantity) AS BIGINT) - 9 + l_partkey % 70 ELSE 0 END AS tlen,
+  CASE WHEN l_linenumber < 3 AND l_orderkey % 5 > 0 THEN 20 + CAST(floor(l_quantity) AS BIGINT) - 9 + l_partkey % 70 ELSE 20 + CAST(floor(l_quantity) AS BIGINT) END AS frag,
   CAST(CASE WHEN l_linestatus = 'O' THEN 16 ELSE 0 END + CASE WHEN l_linenumber < 3 THEN 1 ELSE 0 END + CASE WHEN l_linenumber < 3 AND l_orderkey % 5 > 0 THEN 2 ELSE 0 END
     + CASE WHEN l_orderkey % 23 = 0 THEN 4 ELSE 0 END + CASE WHEN l_linenumber = 1 THEN 64 ELSE 0 END + CASE WHEN l_linenumber = 2 THEN 128 ELSE 0 END
     + CASE WHEN l_partkey % 17 = 0 THEN 256 ELSE 0 END + CASE WHEN l_suppkey % 13 = 0 THEN 512 ELSE 0 END + CASE WHEN l_partkey % 11 = 0 THEN 1024 ELSE 0 END
@@ -38,7 +40,8 @@ MERGED = """m0 AS (SELECT *, max(stop) OVER (PARTITION BY chrom ORDER BY start,
 m1 AS (SELECT *, sum(CASE WHEN start <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS run FROM m0),
 merged AS (SELECT chrom, min(start) AS start, max(stop) AS stop FROM m1 GROUP BY chrom, run)"""
 
-REGIONS = "regions AS (SELECT 1 + o_custkey % 3 AS chrom, (o_orderkey * 7) % 50000 AS start, (o_orderkey * 7) % 50000 + 20 + o_custkey % 50 AS stop FROM orders WHERE o_orderkey % 40 = 0)"
+REGIONS = """regions AS (SELECT 1 + o_custkey % 3 AS chrom, o_orderkey * 7 % 500 * 100 + o_orderkey % 13 AS start,
+  o_orderkey * 7 % 500 * 100 + o_orderkey % 13 + 20 + o_custkey % 50 AS stop FROM orders)"""
 
 ALLELES = """alleles0 AS (SELECT 1 + p_partkey % 3 AS chrom, (p_partkey * 29) % 50000 AS site, p_partkey % 4 AS known_ref, (p_partkey + 1 + p_size % 3) % 4 AS known_alt FROM part),
 alleles AS (SELECT chrom, site, min(known_ref) AS known_ref, min(known_alt) AS known_alt FROM alleles0 GROUP BY ALL)"""

@@ -28,6 +28,8 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey AS k",
         "l_partkey % 6 AS clip_left",
         "l_suppkey % 6 AS clip_right",
+        "CASE WHEN l_linenumber < 3 AND l_orderkey % 5 > 0 THEN 20 + CAST(floor(l_quantity) AS BIGINT) - 9 + l_partkey % 70 ELSE 0 END AS tlen",
+        "CASE WHEN l_linenumber < 3 AND l_orderkey % 5 > 0 THEN 20 + CAST(floor(l_quantity) AS BIGINT) - 9 + l_partkey % 70 ELSE 20 + CAST(floor(l_quantity) AS BIGINT) END AS frag",
         "CAST(CASE WHEN l_linestatus = 'O' THEN 16 ELSE 0 END + CASE WHEN l_linenumber < 3 THEN 1 ELSE 0 END"
         " + CASE WHEN l_linenumber < 3 AND l_orderkey % 5 > 0 THEN 2 ELSE 0 END + CASE WHEN l_orderkey % 23 = 0 THEN 4 ELSE 0 END"
         " + CASE WHEN l_linenumber = 1 THEN 64 ELSE 0 END + CASE WHEN l_linenumber = 2 THEN 128 ELSE 0 END"
@@ -43,11 +45,28 @@ def explode_bases(reads: DataFrame) -> DataFrame:
     return rows.withColumn("ref", F.expr("site * (site + 7 * chrom) % 97 % 4"))
 
 
+def _base(off: str) -> str:
+    """A read's base at a place in it."""
+    ref = f"((pos + {off}) * (pos + {off} + 7 * chrom) % 97 % 4)"
+    return f"CASE WHEN (k * 31 + ({off}) * 17 + chrom) % 29 = 0 THEN ({ref} + 1 + (k + {off}) % 3) % 4 ELSE {ref} END"
+
+
 def bases(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    """Bases of all reads: read_id, chrom, site, off, ref, base, qual and the columns named."""
-    rows = explode_bases(reads(spark, sf_dir).select("read_id", "chrom", "pos", "len", "k", *[c for c in more if c not in ("pos", "len", "k")]))
-    rows = rows.withColumn("base", F.expr("CASE WHEN (k * 31 + off * 17 + chrom) % 29 = 0 THEN (ref + 1 + (k + off) % 3) % 4 ELSE ref END"))
-    return rows.withColumn("qual", F.expr("12 + (k * 7 + off * 3) % 30")).select("read_id", "chrom", "site", "off", "ref", "base", "qual", *more)
+    """Bases of all reads: read_id, chrom, site, off, ref, base, qual and the columns named.
+
+    prev is the base before in the read, and turned the base before in the read's own direction, complemented where that
+    is the reverse; 4 if there is none. Both are known in the read's row, so no base is moved to find its neighbour.
+    """
+    names = [c for c in more if c not in ("prev", "turned")]
+    keep = {"pos", "len", "k", "is_rev"} if more else {"pos", "len", "k"}
+    rows = explode_bases(reads(spark, sf_dir).select("read_id", "chrom", *keep, *[c for c in names if c not in keep]))
+    rows = rows.withColumns({"base": F.expr(_base("off")), "qual": F.expr("12 + (k * 7 + off * 3) % 30")})
+    prev, after = F.expr(f"CASE WHEN off > 0 THEN {_base('off - 1')} ELSE 4 END"), F.expr(f"CASE WHEN off < len - 1 THEN 3 - ({_base('off + 1')}) ELSE 4 END")
+    if "prev" in more:
+        rows = rows.withColumn("prev", prev)
+    if "turned" in more:
+        rows = rows.withColumn("turned", F.when(F.col("is_rev") == 1, after).otherwise(prev))
+    return rows.select("read_id", "chrom", "site", "off", "ref", "base", "qual", *more)
 
 
 def pairs_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +95,9 @@ def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half-open intervals, which may overlap."""
-    return load(spark, sf_dir, "orders").where("o_orderkey % 40 = 0").selectExpr(
-        "1 + o_custkey % 3 AS chrom", f"(o_orderkey * 7) % {GENOME} AS start", f"(o_orderkey * 7) % {GENOME} + 20 + o_custkey % 50 AS stop"
-    )
+    """A half-open interval of each order. They overlap, and leave a gap before every hundredth place."""
+    start = f"o_orderkey * 7 % {GENOME // 100} * 100 + o_orderkey % 13"
+    return load(spark, sf_dir, "orders").selectExpr("1 + o_custkey % 3 AS chrom", f"{start} AS start", f"{start} + 20 + o_custkey % 50 AS stop")
 
 
 def alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
