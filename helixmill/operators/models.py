@@ -17,17 +17,6 @@ from helixmill.operators.sites import theta_prior
 SITE = ["chrom", "site"]
 
 
-def damage_likelihoods(bases: DataFrame, top: float = 0.2, rate: float = 0.3, floor: float = 0.01) -> DataFrame:
-    """Genotype likelihoods under C to T damage that falls with the place in the read: ten sums a site."""
-    eps, psi = phred_to_prob(), top * F.exp(-rate * F.col("off")) + floor
-    like = lambda b: F.when(F.col("base") == b, 1 - eps).otherwise(eps / 3)
-    rows = bases.withColumns({f"_l{b}": (1 - psi) * like(1) + psi * like(3) if b == 1 else like(b) for b in range(4)})
-    sums = [F.sum(F.ln((F.col(f"_l{a}") + F.col(f"_l{b}")) / 2)).alias(f"_g{i}") for i, (a, b) in enumerate(GENOTYPES)]
-    rows = rows.groupBy(*SITE, "ref").agg(F.count("*").alias("depth"), *sums)
-    rows = rows.select(*SITE, "ref", "depth", F.array(*(f"_g{i}" for i in range(10))).alias("logs"))
-    return rows.withColumn("gl", scaled("logs"))
-
-
 def genotype_mixture(sites: DataFrame, iterations: int = 3) -> DataFrame:
     """EM for the ten genotype frequencies without constraint; each step is one aggregate of ten sums."""
     rows, p = sites.select("gl").persist(), [0.1] * 10
@@ -199,14 +188,20 @@ def genotype_frequencies(gl: DataFrame, iterations: int = 3) -> DataFrame:
 
 def frequency_posterior(gl: DataFrame, points: int = 21, alpha: float = 0.7) -> DataFrame:
     """Posterior weights of the allele frequency at the middles of equal steps, under Hardy-Weinberg and a beta prior."""
-    grid = [(i + 0.5) / points for i in range(points)]
+    grid = F.array(*(F.lit((i + 0.5) / points) for i in range(points)))
+
+    def ll(f: Column) -> Column:
+        one = lambda s: F.ln(s["l0"] * (1 - f) * (1 - f) + s["l1"] * 2 * f * (1 - f) + s["l2"] * f * f)
+        return F.aggregate("_s", (alpha - 1) * F.ln(f * (1 - f)), lambda a, s: a + one(s))
 
-    def ll(f: float) -> Column:
-        one = lambda s: F.ln(s["l0"] * (1 - f) ** 2 + s["l1"] * 2 * f * (1 - f) + s["l2"] * f * f)
-        return F.aggregate("_s", F.lit((alpha - 1) * float(np.log(f * (1 - f)))), lambda a, s: a + one(s))
+    def bound(values: Column, total: Column) -> Column:
+        """values and a number of all of them, which is worked out once."""
+        return F.transform(F.array(values), lambda v: F.struct(v.alias("v"), total(v).alias("t")))
 
-    rows = _samples(gl).select(*LOCUS, "pop", F.array(*map(ll, grid)).alias("_l"))
-    return rows.withColumn("post", normalised(scaled("_l"))).drop("_l")
+    weights = F.get(F.transform(bound(F.transform(grid, ll), F.array_max), lambda b: F.transform(b["v"], lambda x: F.exp(x - b["t"]))), F.lit(0))
+    whole = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    post = F.get(F.transform(bound(weights, whole), lambda b: F.transform(b["v"], lambda x: x / b["t"])), F.lit(0))
+    return _samples(gl).select(*LOCUS, "pop", post.alias("post"))
 
 
 def allele_freq_bayes(post: DataFrame, interval: float = 0.9) -> DataFrame:
@@ -292,3 +287,10 @@ def read_counts(cells: DataFrame, pops: list[int]) -> DataFrame:
     rows = cells.select(*LOCUS, F.inline(F.array(*(F.struct(F.lit(p).alias("pop"), F.col(f"pop{p}").alias("_c")) for p in pops))))
     part = lambda k: F.element_at(F.split("_c", "/"), k).cast("long")
     return rows.select(*LOCUS, "pop", part(1).alias("n_minor"), part(2).alias("n_total")).where("n_total > 0")
+
+
+def inbreeding_estimate(surface: DataFrame) -> DataFrame:
+    """The likeliest coefficient of a surface, the least of several, and twice its log likelihood above that of none."""
+    best = F.max_by("f", F.struct("ll", -F.col("f")))
+    none = F.max(F.when(F.col("f") == 0, F.col("ll")))
+    return surface.agg(best.alias("f"), F.round(F.max("ll"), 3).alias("ll"), F.round(2 * (F.max("ll") - none), 3).alias("ratio"))

@@ -17,14 +17,29 @@ def likelihoods(gl: DataFrame) -> DataFrame:
     return gl.withColumns(raw).withColumns({f"l{k}": F.col(f"_{k}") / total for k in range(3)}).drop(*raw)
 
 
-def locus_filter(gl: DataFrame, min_depth: int = 0, min_samples: int = 1, min_maf: float = 0.0) -> DataFrame:
-    """Drops samples below a depth, then loci with too few samples or too rare a minor allele."""
+def locus_filter(gl: DataFrame, min_depth: int = 0, min_samples: int = 1, min_maf: float = 0.0, max_missing: float = 1.0, samples: int | None = None) -> DataFrame:
+    """Drops samples below a depth, then loci with too few samples, too many of ``samples`` missing, or too rare a minor allele.
+
+    If gl has alt, loci with more than one alternative allele are dropped as well.
+    """
     kept = gl.where(F.col("dp") >= min_depth)
     f = F.sum("gt") / (2 * F.count("*"))
-    loci = kept.groupBy(*LOCUS).agg(F.count("*").alias("_n"), F.least(f, 1 - f).alias("_maf")).where((F.col("_n") >= min_samples) & (F.col("_maf") >= min_maf))
+    loci = kept.groupBy(*LOCUS).agg(F.count("*").alias("_n"), F.least(f, 1 - f).alias("_maf"), *([F.max(F.col("alt").contains(",")).alias("_many")] if "alt" in gl.columns else []))
+    loci = loci.where((F.col("_n") >= min_samples) & (F.col("_maf") >= min_maf))
+    if samples:
+        loci = loci.where(1 - F.col("_n") / samples <= max_missing)
+    if "alt" in gl.columns:
+        loci = loci.where(~F.col("_many"))
     return kept.join(loci.select(*LOCUS), LOCUS, "left_semi")
 
 
+def call_filter(gl: DataFrame, min_depth: int = 0, min_quality: int = 0) -> DataFrame:
+    """Calls below a depth, or whose second-best genotype is too likely, become missing (null)."""
+    second = F.element_at(F.array_sort(F.array("pl0", "pl1", "pl2")), 2)
+    good = (F.col("dp") >= min_depth) & (second >= min_quality)
+    return gl.withColumns({"gq": second, "gt": F.when(good, F.col("gt"))})
+
+
 def sample_pairs(gl: DataFrame) -> DataFrame:
     """Every two samples of a locus, the smaller first, with both calls."""
     by = gl.groupBy(*LOCUS).agg(F.array_sort(F.collect_list(F.struct("sample", "gt"))).alias("_s"))  # as many as there are samples
@@ -144,10 +159,11 @@ def compare_calls(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def het_imbalance(gl: DataFrame, thresholds: list[int]) -> DataFrame:
-    """Heterozygous calls by depth, for every threshold that their quality reaches."""
+    """Heterozygous calls by depth of the reference and of the alternative (column ad), for every threshold their quality reaches."""
     gq = F.least(F.when(F.col("pl0") > 0, F.col("pl0")).otherwise(999), F.when(F.col("pl2") > 0, F.col("pl2")).otherwise(999))
     t = F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda x: x <= gq))
-    return gl.where("gt = 1").select("dp", t.alias("threshold")).groupBy("threshold", "dp").agg(F.count("*").alias("n"))
+    rows = gl.where("gt = 1").select((F.col("dp") - F.col("ad")).alias("ref_depth"), F.col("ad").alias("alt_depth"), t.alias("threshold"))
+    return rows.groupBy("threshold", "ref_depth", "alt_depth").agg(F.count("*").alias("n"))
 
 
 def invariant_intervals(gl: DataFrame) -> DataFrame:
@@ -190,3 +206,17 @@ def ancestral_alleles(gl: DataFrame, most_minor: int, least_total: int) -> DataF
     minor = F.least(F.col("alt"), F.col("total") - F.col("alt"))
     call = F.when((minor <= most_minor) & (F.col("total") >= least_total), F.when(F.col("alt") * 2 > F.col("total"), 1).otherwise(0)).otherwise(-1)
     return rows.select(*LOCUS, "alt", "total", call.alias("ancestral"))
+
+
+def ancestral_lines(calls: DataFrame, chroms: DataFrame, genome: int, width: int = 60) -> DataFrame:
+    """The ancestral letter of every place of each chromosome, N where there is none, in lines: chrom, line, letters.
+
+    calls: chrom, pos (from 1), ancestral (0 reference, 1 alternative, else none), ref, alt letters. Only lines with a call are looked up.
+    """
+    letter = F.when(F.col("ancestral") == 0, F.col("ref")).when(F.col("ancestral") == 1, F.col("alt")).otherwise("N")
+    at = F.col("pos") - 1
+    rows = calls.where(at.between(0, genome - 1)).groupBy("chrom", F.floor(at / width).cast("long").alias("line")).agg(F.map_from_entries(F.collect_list(F.struct((at % width).alias("k"), letter.alias("v")))).alias("_m"))
+    every = chroms.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((genome - 1) // width).cast("long"))).alias("line"))
+    size = F.least(F.lit(width), F.lit(genome) - F.col("line") * width)
+    text = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), size - 1), lambda k: F.coalesce(F.element_at("_m", k), F.lit("N"))), "")
+    return every.join(rows, ["chrom", "line"], "left").select("chrom", "line", F.coalesce(text, F.repeat(F.lit("N"), size.cast("int"))).alias("letters"))

@@ -100,19 +100,23 @@ def start_multiplicity(reads: DataFrame) -> DataFrame:
 
 
 def bam_diagnostics(reads: DataFrame) -> DataFrame:
-    """Totals and means for each group and chromosome, each alone, and all; 'all' and 0 mark what is combined."""
+    """Totals and means for each group and chromosome, each alone, and all; 'all' and 0 mark what is combined.
+
+    reads have a filter's reason; those without one passed.
+    """
     return reads.cube("rg", "chrom").agg(
-        F.count("*").alias("n"), F.count_if(has(DUPLICATE)).alias("n_duplicates"), F.count_if(has(PROPER)).alias("n_proper"), F.count_if(has(PAIRED)).alias("n_paired"),
+        F.count("*").alias("n"), F.count_if(F.col("reason").isNull()).alias("n_passed"), F.count_if(has(DUPLICATE)).alias("n_duplicates"), F.count_if(has(PROPER)).alias("n_proper"), F.count_if(has(PAIRED)).alias("n_paired"),
         F.max("len").alias("max_length"), F.round(F.avg("len"), 6).alias("mean_length"), F.round(F.avg("mapq"), 6).alias("mean_mapq"),
-        F.round(F.avg(F.col("clip_left") + F.col("clip_right")), 6).alias("mean_clip"),
+        F.round(F.avg(F.col("clip_left") + F.col("clip_right")), 6).alias("mean_clip"), F.round(F.avg("frag"), 6).alias("mean_fragment"),
     ).withColumns({"rg": F.coalesce("rg", F.lit("all")), "chrom": F.coalesce("chrom", F.lit(0))})
 
 
 def bam_histograms(reads: DataFrame) -> DataFrame:
-    """Histograms of length, mapping quality and clipped length, by group and combined, in one aggregation."""
-    measures = F.inline(F.array(*(F.struct(F.lit(m).alias("measure"), c.cast("long").alias("value")) for m, c in (("length", F.col("len")), ("mapq", F.col("mapq")), ("clip", F.col("clip_left") + F.col("clip_right"))))))
-    counts = reads.select("rg", measures).groupBy("rg", "measure", "value").agg(F.count("*").alias("n"))
-    return counts.unionByName(counts.groupBy("measure", "value").agg(F.sum("n").alias("n")).withColumn("rg", F.lit("all")))
+    """Histograms of length, mapping quality, clipped and fragment length, by group, mate and strand, and groups combined."""
+    measures = F.inline(F.array(*(F.struct(F.lit(m).alias("measure"), c.cast("long").alias("value")) for m, c in (("length", F.col("len")), ("mapq", F.col("mapq")), ("clip", F.col("clip_left") + F.col("clip_right")), ("fragment", F.col("frag"))))))
+    by = [F.when(has(PAIRED), F.when(has(SECOND), 2).otherwise(1)).otherwise(0).alias("mate"), has(REVERSE).cast("int").alias("is_rev")]
+    counts = reads.select("rg", *by, measures).groupBy("rg", "mate", "is_rev", "measure", "value").agg(F.count("*").alias("n"))
+    return counts.unionByName(counts.groupBy("mate", "is_rev", "measure", "value").agg(F.sum("n").alias("n")).withColumn("rg", F.lit("all")))
 
 
 def average_depth(reads: DataFrame, genome: int) -> DataFrame:
@@ -178,17 +182,6 @@ def pair_mates(mates: DataFrame, distance: int = 2000) -> DataFrame:
     return both.withColumn("status", F.when(near, "pair").otherwise("orphan"))
 
 
-def merge_overlapping_mates(pairs: DataFrame) -> DataFrame:
-    """Classifies pairs, forward mate first, and splits an overlap in the middle between both mates' clips."""
-    f_end, r_end = F.col("pos1") + F.col("len1"), F.col("pos2") + F.col("len2")
-    overlap = f_end - F.col("pos2")
-    kind = F.when(F.col("pos2") < F.col("pos1"), "rev_starts_first").when(r_end < f_end, "rev_ends_first").when(overlap <= 0, "no_overlap").otherwise("overlap")
-    rows = pairs.where("status = 'pair'").withColumn("class", kind)
-    clip = F.when(F.col("class") == "overlap", F.floor(overlap / 2) + overlap % 2).otherwise(0)
-    rest = F.when(F.col("class") == "overlap", F.floor(overlap / 2)).otherwise(0)
-    return rows.select("name", "rg", "chrom", "class", clip.cast("long").alias("clip1"), rest.cast("long").alias("clip2"))
-
-
 def reads_x_regions(reads: DataFrame, regions: DataFrame, bin_size: int = 1000) -> DataFrame:
     """Reads that overlap any interval. Both sides are cut into bins, so the join is on equal keys."""
     bins = lambda start, stop: F.explode(F.sequence(F.floor(start / bin_size), F.floor((stop - 1) / bin_size)))
@@ -196,3 +189,26 @@ def reads_x_regions(reads: DataFrame, regions: DataFrame, bin_size: int = 1000)
     hit = reads.withColumn("_bin", bins(F.col("pos"), F.col("pos") + F.col("len"))).join(r, ["chrom", "_bin"]).where("pos < stop AND pos + len > start")
     key = ["read_id", "chrom", "pos", "len"]
     return reads.join(hit.select(*key).distinct(), key, "left_semi")
+
+
+MERGING = ("middle", "random", "keepFirst", "keepSecond", "keepFwd", "keepRev")
+
+
+def merge_overlapping_mates(pairs: DataFrame, method: str = "middle") -> DataFrame:
+    """Classifies pairs and tells how many overlapping places each strand loses: the forward mate on its right, the reverse on its left.
+
+    pairs have rev1 and rev2, whether the mates are reverse. Mates of one strand, and a reverse mate that starts or ends
+    before the forward one, are classes of their own, whose pairs are dropped (kept is false). An odd overlap in the middle
+    costs the first mate one more.
+    """
+    first = F.col("rev1") == 0  # the first mate is the forward one
+    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    f_end, r_start, r_end = pick("pos1", "pos2") + pick("len1", "len2"), pick("pos2", "pos1"), pick("pos2", "pos1") + pick("len2", "len1")
+    overlap = f_end - r_start
+    kind = F.when(F.col("rev1") == F.col("rev2"), F.when(first, "both_forward").otherwise("both_reverse"))
+    kind = kind.when(r_start < pick("pos1", "pos2"), "rev_starts_first").when(r_end < f_end, "rev_ends_first").when(overlap <= 0, "no_overlap").otherwise("overlap")
+    half = F.floor(overlap / 2) + F.when(first, overlap % 2).otherwise(0)
+    lost = {"middle": half, "random": F.when(hashed_share("name") < 0.5, overlap).otherwise(0), "keepFirst": F.when(first, 0).otherwise(overlap), "keepSecond": F.when(first, overlap).otherwise(0), "keepFwd": F.lit(0), "keepRev": overlap}[method]
+    rows = pairs.where("status = 'pair'").withColumn("class", kind).withColumn("_o", F.when(F.col("class") == "overlap", overlap).otherwise(0))
+    f_clip = F.when(F.col("class") == "overlap", lost).otherwise(0).cast("long")
+    return rows.select("name", "rg", "chrom", "class", F.col("class").isin("overlap", "no_overlap").alias("kept"), f_clip.alias("f_clip"), (F.col("_o") - f_clip).cast("long").alias("r_clip"))

@@ -86,11 +86,17 @@ def platform_groups(reads: DataFrame, units: DataFrame) -> DataFrame:
     return rows.withColumn("rg", F.coalesce("_rg", "rg")).drop("_rg")
 
 
-def end_distances(bases: DataFrame) -> DataFrame:
-    """d5 and d3: places from the read's five-prime and three-prime end."""
+def end_distances(bases: DataFrame, paired: bool = False) -> DataFrame:
+    """d5 and d3: places from the five-prime and three-prime end of what was sequenced, single reads' own ends.
+
+    With paired, bases have proper and frag: the three-prime end of a proper pair's read is that of its fragment.
+    """
     last = F.col("len") - 1 - F.col("off")
     reverse = F.col("is_rev") == 1
-    return bases.withColumns({"d5": F.when(reverse, last).otherwise(F.col("off")), "d3": F.when(reverse, F.col("off")).otherwise(last)})
+    d3 = F.when(reverse, F.col("off")).otherwise(last)
+    if paired:
+        d3 = F.when(F.col("proper") == 1, d3 + F.col("frag") - F.col("len")).otherwise(d3)
+    return bases.withColumns({"d5": F.when(reverse, last).otherwise(F.col("off")), "d3": d3})
 
 
 def clip_mapped_ends(reads: DataFrame, left: int, right: int) -> DataFrame:

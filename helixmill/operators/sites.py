@@ -47,24 +47,42 @@ def depth_histogram(bases: DataFrame) -> DataFrame:
 
 
 def quality_histogram(bases: DataFrame) -> DataFrame:
+    """Bases by group and quality (column qual, recalibrated or not), and groups combined."""
     counts = bases.groupBy("rg", "qual").agg(F.count("*").alias("n"))
     return counts.unionByName(counts.groupBy("qual").agg(F.sum("n").alias("n")).withColumn("rg", F.lit("all")))
 
 
 def transition_table(bases: DataFrame) -> DataFrame:
-    """Reference to base by strand and distance from the read's start, with the share of the reference base's total."""
-    rows = bases.groupBy("is_rev", "off", "ref", "base").agg(F.count("*").alias("n"))
-    return rows.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("is_rev", "off", "ref")), 6))
+    """Reference to base by mate, strand, nearest end and distance from it; share of the reference base's total, and damage.
+
+    bases have mate, d5 and d3. damage is (f - r) / (1 - r) of the share f and the share r of the opposite change there.
+    """
+    keys = ["mate", "is_rev", "end", "dist"]
+    rows = bases.withColumns({"end": F.when(F.col("d5") <= F.col("d3"), 5).otherwise(3), "dist": F.least("d5", "d3")}).groupBy(*keys, "ref", "base").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("_f", F.col("n") / F.sum("n").over(Window.partitionBy(*keys, "ref")))
+    back = rows.select(*keys, F.col("ref").alias("base"), F.col("base").alias("ref"), F.col("_f").alias("_r"))
+    f, r = F.col("_f"), F.coalesce("_r", F.lit(0.0))
+    rows = rows.join(back, [*keys, "ref", "base"], "left")
+    return rows.select(*keys, "ref", "base", "n", F.round(f, 6).alias("share"), F.when((F.col("ref") != F.col("base")) & (r < 1), F.round((f - r) / (1 - r), 6)).alias("damage"))
 
 
-def damage_init(bases: DataFrame) -> DataFrame:
-    """First damage estimate by distance: (f - r) / (1 - r) of C to T against T to C, at least 1e-9."""
+def damage_init(bases: DataFrame, min_data: int = 0, keep: int = 15) -> DataFrame:
+    """First damage estimate by distance: (f - r) / (1 - r) of C to T against T to C, at least 1e-9.
+
+    Distances from ``keep`` on are pooled, from the far end, until both bases have min_data; n tells how many are one. The
+    pooling is done on the counts by distance, of which there are as many as a read is long.
+    """
     rows = bases.groupBy("off").agg(
         *(F.count_if((F.col("ref") == a) & (F.col("base") == b)).alias(f"n{a}{b}") for a, b in ((1, 3), (3, 1))),
         *(F.count_if(F.col("ref") == a).alias(f"n{a}") for a in (1, 3)),
     )
+    beyond = Window.orderBy(F.desc("off")).rowsBetween(Window.unboundedPreceding, 0)
+    enough = (F.sum("n1").over(beyond) >= min_data) & (F.sum("n3").over(beyond) >= min_data)
+    at = F.when(F.col("off") >= F.greatest(F.coalesce("_cut", F.lit(0)), F.lit(keep)), F.greatest(F.coalesce("_cut", F.lit(0)), F.lit(keep))).otherwise(F.col("off"))
+    rows = rows.withColumn("_ok", enough).withColumn("_cut", F.max(F.when(F.col("_ok"), F.col("off"))).over(Window.partitionBy(F.lit(0))) if min_data else F.lit(1 << 30))
+    rows = rows.groupBy(at.cast("long").alias("off")).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("n13", "n31", "n1", "n3")))
     f, r = F.col("n13") / F.col("n1"), F.col("n31") / F.col("n3")
-    return rows.where("n1 > 0 AND n3 > 0").select("off", F.round(F.greatest(F.lit(1e-9), (f - r) / (1 - r)), 9).alias("psi"))
+    return rows.where("n1 > 0 AND n3 > 0").select("off", "n", F.round(F.greatest(F.lit(1e-9), (f - r) / (1 - r)), 9).alias("psi"))
 
 
 def context_table(bases: DataFrame) -> DataFrame:
@@ -151,16 +169,37 @@ def posterior(sites: DataFrame, prior: list[float]) -> DataFrame:
     return sites.withColumn("post", F.array(*(x / sum(w) for x in w)))
 
 
+def phred(p: Column, most: int = 999) -> Column:
+    """-10 log10 p, at most ``most``."""
+    return F.least(F.lit(float(most)), F.round(-10 * F.log10(F.greatest(p, F.lit(1e-300))), 3))
+
+
+def _rest(values: list[Column], best: Column) -> Column:
+    """The sum of all but the first that is the best: 1 - best, without its rounding."""
+    hit = [sum((F.when(x == best, 1).otherwise(0) for x in values[:i]), F.lit(0)) for i in range(len(values))]
+    return sum(F.when((x == best) & (hit[i] == 0), 0.0).otherwise(x) for i, x in enumerate(values))
+
+
 def call_bayes(sites: DataFrame, prior: list[float]) -> DataFrame:
-    rows = posterior(sites, prior)
-    best = F.array_max("post")
-    return rows.select(*KEY, (F.array_position("post", best) - 1).cast("long").alias("genotype"), F.round(best, 6).alias("prob"))
+    """The genotype of the greatest posterior, that, and the quality of its being right."""
+    rows, each = posterior(sites, prior), [F.element_at("post", i + 1) for i in range(10)]
+    best = F.greatest(*each)
+    return rows.select(*KEY, (F.array_position("post", best) - 1).cast("long").alias("genotype"), F.round(best, 6).alias("prob"), phred(_rest(each, best)).alias("gq"))
 
 
 def call_allele_presence(sites: DataFrame, prior: list[float]) -> DataFrame:
-    """For each base the posterior probability that the genotype has it."""
-    has = [sum(F.element_at("post", i + 1) for i, g in enumerate(GENOTYPES) if b in g) for b in range(4)]
-    return posterior(sites, prior).select(*KEY, *(F.round(p, 6).alias(f"p_{BASES[b].lower()}") for b, p in enumerate(has)))
+    """For each base the posterior probability that the genotype has it; the likeliest genotype and its quality."""
+    rows, each = posterior(sites, prior), [F.element_at("post", i + 1) for i in range(10)]
+    has = [sum(each[i] for i, g in enumerate(GENOTYPES) if b in g) for b in range(4)]
+    best = F.greatest(*each)
+    return rows.select(*KEY, *(F.round(p, 6).alias(f"p_{BASES[b].lower()}") for b, p in enumerate(has)), (F.array_position("post", best) - 1).cast("long").alias("genotype"), phred(_rest(each, best)).alias("gq"))
+
+
+def call_columns(sites: DataFrame) -> DataFrame:
+    """gl, log10 likelihoods, and pl, phred-scaled ones, of the ten genotypes against the likeliest, as a call's text."""
+    logs = [F.round(F.log10(F.element_at("gl", i + 1)), 4) + 0.0 for i in range(10)]
+    text = lambda values, kind: F.concat_ws(",", *(x.cast(kind).cast("string") for x in values))
+    return sites.select(*KEY, text(logs, "decimal(12,4)").alias("gl"), text([F.round(-10 * x) for x in logs], "long").alias("pl"))
 
 
 def call_majority(pile: DataFrame) -> DataFrame:
@@ -227,17 +266,6 @@ def mask_depth(pile: DataFrame, genome: int, chroms: DataFrame, low: int = 2, hi
     return regions_complement(good, genome, chroms)
 
 
-def pmds_score(bases: DataFrame, pi: float = 0.001, rate: float = 0.3, top: float = 0.2, floor: float = 0.01) -> DataFrame:
-    """Damage score of each read: ln of the bases' likelihoods with C to T damage over those without."""
-    eps = phred_to_prob()
-    psi = top * F.exp(-rate * F.col("off")) + floor
-    like = lambda b: F.when(F.col("base") == b, 1 - eps).otherwise(eps / 3)
-    prior = lambda b: F.when(F.col("ref") == b, 1 - pi).otherwise(pi / 3)
-    plain = sum(like(b) * prior(b) for b in range(4))
-    damaged = sum(((1 - psi) * like(1) + psi * like(3) if b == 1 else like(b)) * prior(b) for b in range(4))
-    return bases.groupBy("read_id").agg(F.round(F.sum(F.ln(damaged / plain)), 6).alias("ds"))
-
-
 def sites_x_alleles(bases: DataFrame, alleles: DataFrame) -> DataFrame:
     """Reads by what they show at known sites: ref, alt, both or other."""
     rows = bases.join(alleles, KEY).groupBy("read_id").agg(F.max((F.col("base") == F.col("known_ref")).cast("int")).alias("r"), F.max((F.col("base") == F.col("known_alt")).cast("int")).alias("a"))

@@ -70,22 +70,6 @@ def start_multiplicity(s, d):
     return reads.start_multiplicity(views.reads(s, d))
 
 
-@query(
-    f"WITH {sql.READS} SELECT coalesce(rg, 'all') AS rg, coalesce(chrom, 0) AS chrom, count(*) AS n, count_if(flag & 1024 > 0) AS n_duplicates, count_if(flag & 2 > 0) AS n_proper, count_if(flag & 1 > 0) AS n_paired, "
-    "max(len) AS max_length, round(avg(len), 6) AS mean_length, round(avg(mapq), 6) AS mean_mapq, round(avg(clip_left + clip_right), 6) AS mean_clip FROM reads GROUP BY CUBE (rg, chrom)"
-)
-def bam_diagnostics(s, d):
-    return reads.bam_diagnostics(views.reads(s, d))
-
-
-@query(
-    f"WITH {sql.READS}, m AS (SELECT rg, 'length' AS measure, len AS value FROM reads UNION ALL SELECT rg, 'mapq', mapq FROM reads UNION ALL SELECT rg, 'clip', clip_left + clip_right FROM reads) "
-    "SELECT rg, measure, value, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT 'all', measure, value, count(*) FROM m GROUP BY measure, value"
-)
-def bam_histograms(s, d):
-    return reads.bam_histograms(views.reads(s, d))
-
-
 @query(f"WITH {sql.READS} SELECT chrom, CAST(sum(len) AS BIGINT) AS aligned, round(sum(len) / 50000.0, 6) AS depth FROM reads GROUP BY chrom")
 def average_depth(s, d):
     return reads.average_depth(views.reads(s, d), views.GENOME)
@@ -136,14 +120,6 @@ def pair_mates(s, d):
     return reads.pair_mates(views.pairs_source(s, d))
 
 
-@query(
-    f"WITH {sql.PAIRS}, c AS (SELECT *, CASE WHEN pos2 < pos1 THEN 'rev_starts_first' WHEN pos2 + len2 < pos1 + len1 THEN 'rev_ends_first' WHEN pos1 + len1 <= pos2 THEN 'no_overlap' ELSE 'overlap' END AS class, pos1 + len1 - pos2 AS o FROM pairs WHERE status = 'pair') "
-    "SELECT name, rg, chrom, class, CASE WHEN class = 'overlap' THEN o // 2 + o % 2 ELSE 0 END AS clip1, CASE WHEN class = 'overlap' THEN o // 2 ELSE 0 END AS clip2 FROM c"
-)
-def merge_overlapping_mates(s, d):
-    return reads.merge_overlapping_mates(reads.pair_mates(views.pairs_source(s, d)))
-
-
 @query(f"WITH {sql.READS}, {sql.REGIONS}, {sql.MERGED} SELECT read_id FROM reads r WHERE EXISTS (SELECT 1 FROM merged g WHERE g.chrom = r.chrom AND r.pos < g.stop AND r.pos + r.len > g.start)")
 def reads_x_regions(s, d):
     return reads.reads_x_regions(views.reads(s, d), views.regions(s, d)).select("read_id")
@@ -198,24 +174,6 @@ def depth_histogram(s, d):
     return sites.depth_histogram(views.bases(s, d))
 
 
-@query(f"WITH {sql.BASES} SELECT rg, qual, count(*) AS n FROM bases GROUP BY ALL UNION ALL SELECT 'all', qual, count(*) FROM bases GROUP BY qual")
-def quality_histogram(s, d):
-    return sites.quality_histogram(views.bases(s, d, "rg"))
-
-
-@query(f"WITH {sql.BASES}, c AS (SELECT is_rev, off, ref, base, count(*) AS n FROM bases GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY is_rev, off, ref), 6) AS share FROM c")
-def transition_tables(s, d):
-    return sites.transition_table(views.bases(s, d, "is_rev"))
-
-
-@query(
-    f"WITH {sql.BASES}, c AS (SELECT off, count_if(ref = 1 AND base = 3) * 1.0 / count_if(ref = 1) AS f, count_if(ref = 3 AND base = 1) * 1.0 / count_if(ref = 3) AS r FROM bases GROUP BY off HAVING count_if(ref = 1) > 0 AND count_if(ref = 3) > 0) "
-    "SELECT off, round(greatest(1e-9, (f - r) / (1 - r)), 9) AS psi FROM c"
-)
-def damage_init(s, d):
-    return sites.damage_init(views.bases(s, d))
-
-
 @query(f"WITH {sql.BASES}, c AS (SELECT qual, coalesce(lag(base) OVER (PARTITION BY uid ORDER BY off), 4) AS prev, base FROM bases) SELECT qual, prev, base, count(*) AS n FROM c GROUP BY ALL")
 def context_table(s, d):
     return sites.context_table(views.bases(s, d, "prev"))
@@ -266,20 +224,6 @@ def call_mle(s, d):
     return sites.call_mle(sites.genotype_likelihoods(views.bases(s, d)))
 
 
-@query(f"WITH {sql.posterior(sites.theta_prior(THETA))} SELECT chrom, site, CAST(list_position(post, list_max(post)) - 1 AS BIGINT) AS genotype, round(list_max(post), 6) AS prob FROM posts")
-def call_bayes(s, d):
-    return sites.call_bayes(sites.genotype_likelihoods(views.bases(s, d)), sites.theta_prior(THETA))
-
-
-@query(
-    f"WITH {sql.posterior(sites.theta_prior(THETA))} SELECT chrom, site, "
-    + ", ".join(f"round({' + '.join(f'post[{i + 1}]' for i, g in enumerate(sql.GENOTYPES) if b in g)}, 6) AS p_{'acgt'[b]}" for b in range(4))
-    + " FROM posts"
-)
-def call_allele_presence(s, d):
-    return sites.call_allele_presence(sites.genotype_likelihoods(views.bases(s, d)), sites.theta_prior(THETA))
-
-
 @query(
     f"WITH {sql.PILE}, r AS (SELECT chrom, site, list_sort([{', '.join(f'{{m: -n{b}, h: (site * 7 + {k * 13}) % 11, b: {k}}}' for k, b in enumerate('acgt'))}])[1] AS t FROM pile) SELECT chrom, site, CAST(t.b AS BIGINT) AS call, -t.m AS ad FROM r"
 )
@@ -335,16 +279,6 @@ def mask_depth(s, d):
     return sites.mask_depth(pile, views.GENOME, s.range(1, 4).withColumnRenamed("id", "chrom"), 5, 12)
 
 
-@query(sql.PMDS)
-def pmds_score(s, d):
-    return sites.pmds_score(views.bases(s, d))
-
-
-@query(f"WITH {sql.PMDS_CTE} SELECT round(ds, 1) + 0.0 AS bin, count(*) AS n FROM (SELECT read_id, round(s, 6) AS ds FROM scores) GROUP BY ALL")
-def pmds_histogram(s, d):
-    return sites.pmds_score(views.bases(s, d)).groupBy((F.round("ds", 1) + 0.0).alias("bin")).agg(F.count("*").alias("n"))
-
-
 @query(
     f"WITH {sql.BASES}, {sql.ALLELES}, c AS (SELECT read_id, max(CAST(base = known_ref AS INT)) AS r, max(CAST(base = known_alt AS INT)) AS a FROM bases JOIN alleles USING (chrom, site) GROUP BY read_id) "
     "SELECT read_id, CASE WHEN r = 1 AND a = 1 THEN 'both' WHEN r = 1 THEN 'ref' WHEN a = 1 THEN 'alt' ELSE 'other' END AS class FROM c"
@@ -356,13 +290,6 @@ def reads_x_alleles(s, d):
 # populations
 
 
-@query(
-    f"WITH {sql.GL}, k AS (SELECT * FROM gl WHERE dp >= 2), l AS (SELECT chrom, pos FROM k GROUP BY ALL HAVING count(*) >= 6 AND least(sum(gt) / (2.0 * count(*)), 1 - sum(gt) / (2.0 * count(*))) >= 0.1) SELECT k.* FROM k JOIN l USING (chrom, pos)"
-)
-def locus_filter(s, d):
-    return population.locus_filter(views.genotypes(s, d), 2, 6, 0.1)
-
-
 @query(f"WITH {sql.GL} SELECT a.sample AS s1, b.sample AS s2, count(*) AS n, round(avg(CAST(a.gt <> b.gt AS DOUBLE)), 6) AS f2 FROM gl a JOIN gl b ON a.chrom = b.chrom AND a.pos = b.pos AND a.sample < b.sample GROUP BY ALL")
 def f2(s, d):
     return population.f2(views.genotypes(s, d))
@@ -409,13 +336,6 @@ def compare_calls(s, d):
     return population.compare_calls(gl.where("dp <> 3"), gl.where("dp <> 5").withColumn("gt", F.expr("(gt + pos) % 3")))
 
 
-@query(
-    f"WITH {sql.GL}, h AS (SELECT dp, least(CASE WHEN pl0 > 0 THEN pl0 ELSE 999 END, CASE WHEN pl2 > 0 THEN pl2 ELSE 999 END) AS gq FROM gl WHERE gt = 1) SELECT t.t AS threshold, dp, count(*) AS n FROM h JOIN (VALUES (0), (10), (20)) t(t) ON gq >= t.t GROUP BY ALL"
-)
-def het_imbalance(s, d):
-    return population.het_imbalance(views.genotypes(s, d), [0, 10, 20])
-
-
 @query(
     f"WITH {sql.GL}, l AS (SELECT chrom, pos, CASE WHEN min(gt) = max(gt) AND min(gt) <> 1 THEN 1 ELSE 0 END AS inv FROM gl GROUP BY ALL), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pos) - row_number() OVER (PARTITION BY chrom, inv ORDER BY pos) AS r FROM l) SELECT chrom, min(pos) AS start, max(pos) + 1 AS stop, count(*) AS n FROM r WHERE inv = 1 GROUP BY chrom, r"
@@ -444,11 +364,6 @@ def to_beagle(s, d):
     return population.to_beagle(views.genotypes(s, d), 12)
 
 
-@query(f"WITH {sql.GL} SELECT DISTINCT chrom, pos FROM gl")
-def to_posfile(s, d):
-    return views.genotypes(s, d).select("chrom", "pos").distinct()
-
-
 @query(
     f"WITH {sql.GL}, t AS (SELECT chrom, pos, CAST(sum(gt) AS BIGINT) AS alt, 2 * count(*) AS total FROM gl GROUP BY ALL) SELECT *, CASE WHEN least(alt, total - alt) <= 4 AND total >= 12 THEN CASE WHEN 2 * alt > total THEN 1 ELSE 0 END ELSE -1 END AS ancestral FROM t"
 )

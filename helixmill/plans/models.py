@@ -21,16 +21,6 @@ def _likelihoods(s, d):
     return sites.genotype_likelihoods(views.bases(s, d))
 
 
-@query(
-    f"WITH {sql.BASES}, l AS (SELECT chrom, site, ref, {', '.join(f'{_OUT[b]} AS l{b}' for b in range(4))} FROM bases), "
-    f"g AS (SELECT chrom, site, ref, count(*) AS depth, [{', '.join(f'sum(ln((l{a} + l{b}) / 2))' for a, b in GENOTYPES)}] AS g FROM l GROUP BY ALL) "
-    f"SELECT chrom, site, ref, depth, {', '.join(f'round(exp(g[{i + 1}] - list_max(g)), 6) AS g{i}' for i in range(10))} FROM g"
-)
-def damage_likelihood(s, d):
-    rows = models.damage_likelihoods(views.bases(s, d))
-    return rows.select("chrom", "site", "ref", "depth", *(F.round(F.element_at("gl", i + 1), 6).alias(f"g{i}") for i in range(10)))
-
-
 def _mixture(steps: int) -> str:
     text = f"WITH {sql.LIKELIHOODS}, p0 AS (SELECT {', '.join(f'CAST(0.1 AS DOUBLE) AS p{i}' for i in range(10))})"
     total = " + ".join(f"gl[{i + 1}] * p{i}" for i in range(10))
@@ -117,14 +107,6 @@ _POST = (
 )
 
 
-@query(
-    f"{_POST}, e AS (SELECT *, sum(p) OVER (PARTITION BY chrom, pos, pop ORDER BY i) AS c FROM post) SELECT chrom, pos, pop, round((arg_max(i, round(p, 12)) + 0.5) / 21, 6) AS map, "
-    "round((count_if(c < 0.05) + 0.5) / 21, 6) AS low, round((count_if(c < 0.95) + 0.5) / 21, 6) AS high FROM e GROUP BY ALL"
-)
-def allele_freq_bayes(s, d):
-    return models.allele_freq_bayes(models.frequency_posterior(views.genotypes(s, d)))
-
-
 @query(
     f"{_POST}, a1 AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY chrom, pos, pop ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + p / 2 AS c FROM post) "
     "SELECT a.chrom, a.pos, a.pop AS pop1, b.pop AS pop2, round(sum(a.c * b.p), 6) AS p_less FROM a1 a JOIN post b ON a.chrom = b.chrom AND a.pos = b.pos AND a.i = b.i AND a.pop < b.pop GROUP BY ALL"
@@ -173,8 +155,3 @@ def to_sambada(s, d):
 )
 def write_vcf(s, d):
     return models.to_vcf(views.genotypes(s, d), 12)
-
-
-@query(f"WITH {sql.GL} SELECT chrom, pos, sample, CASE WHEN dp >= 3 THEN gt END AS gt FROM gl")
-def sample_call_filter(s, d):
-    return views.genotypes(s, d).select("chrom", "pos", "sample", F.when(F.col("dp") >= 3, F.col("gt")).alias("gt"))

@@ -122,11 +122,6 @@ def rg_pool_map(s, d):
     return sel.pooled_groups(views.reads(s, d), pools).groupBy("pool").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {sql.BASES}, e AS (SELECT is_rev, off, len - 1 - off AS l FROM bases) SELECT is_rev, CASE WHEN is_rev = 1 THEN l ELSE off END AS d5, CASE WHEN is_rev = 1 THEN off ELSE l END AS d3, count(*) AS n FROM e GROUP BY ALL")
-def end_distances(s, d):
-    return sel.end_distances(views.bases(s, d, "is_rev", "len")).groupBy("is_rev", "d5", "d3").agg(F.count("*").alias("n"))
-
-
 @query(f"WITH {sql.READS} SELECT read_id, pos + 5 AS pos, len - 8 AS len, clip_left + 5 AS clip_left, clip_right + 3 AS clip_right FROM reads")
 def clip_mapped_ends(s, d):
     return sel.clip_mapped_ends(views.reads(s, d), 5, 3).select("read_id", "pos", "len", "clip_left", "clip_right")

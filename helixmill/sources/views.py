@@ -82,16 +82,16 @@ def pairs_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chrom, pos, sample, pop, dp, pl0, pl1, pl2, gt in long form."""
+    """chrom, pos, sample, pop, dp, ad (of the alternative), pl0, pl1, pl2, gt in long form."""
     c = load(spark, sf_dir, "lineitem").groupBy(
         F.expr("1 + l_partkey % 3").alias("chrom"), F.expr("100 + (l_partkey % 997) * 13").alias("pos"), F.expr("l_suppkey % 12").alias("sample")
     ).agg(
         F.count_if(F.expr("(CAST(floor(l_quantity) AS BIGINT) + l_suppkey * (1 + l_partkey % 5)) % 10 < l_partkey % 7")).alias("a"),
         F.count("*").alias("dp"),
     )
-    r = c.selectExpr("chrom", "pos", "sample", "sample % 3 AS pop", "dp", "20 * a AS g0", "3 * dp AS g1", "20 * (dp - a) AS g2")
+    r = c.selectExpr("chrom", "pos", "sample", "sample % 3 AS pop", "dp", "a AS ad", "20 * a AS g0", "3 * dp AS g1", "20 * (dp - a) AS g2")
     r = r.withColumn("mn", F.least("g0", "g1", "g2"))
-    return r.selectExpr("chrom", "pos", "sample", "pop", "dp", "g0 - mn AS pl0", "g1 - mn AS pl1", "g2 - mn AS pl2", "CASE WHEN g0 = mn THEN 0 WHEN g1 = mn THEN 1 ELSE 2 END AS gt")
+    return r.selectExpr("chrom", "pos", "sample", "pop", "dp", "ad", "g0 - mn AS pl0", "g1 - mn AS pl1", "g2 - mn AS pl2", "CASE WHEN g0 = mn THEN 0 WHEN g1 = mn THEN 1 ELSE 2 END AS gt")
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
