@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from helixmill.functions.likelihood import GENOTYPES
 from helixmill.operators.intervals import sites_to_intervals
-from helixmill.operators.reads import hashed_share
+from helixmill.operators.reads import hashed_share, make_single
+from helixmill.operators.selection import trim_soft_clips
 
 SITE = ["chrom", "site"]
 PAIRS = tuple(combinations(range(4), 2))
@@ -35,14 +36,6 @@ def pairs_listing(pairs: DataFrame) -> DataFrame:
     return pairs.where("status = 'pair'").select("name", "rg", "chrom", F.inline(mates))
 
 
-def consistent_pairs(filtered: DataFrame, keep_orphans: bool = False) -> DataFrame:
-    """Reads without a reason to drop them; a paired one only if both mates are left, or if orphans stay."""
-    kept = filtered.where("reason IS NULL")
-    paired = (F.col("flag").bitwiseAND(F.lit(1)) > 0).cast("int")
-    mates = F.sum(paired).over(Window.partitionBy("name"))  # a name has two mates
-    return kept.withColumn("_m", mates).where(F.lit(keep_orphans) | (paired == 0) | (F.col("_m") == 2)).drop("_m")
-
-
 def downsample_bases(bases: DataFrame, p: float) -> DataFrame:
     """Each base becomes N (4) with probability p, drawn from the read and the place in it."""
     return bases.withColumn("base", F.when(hashed_share("read_id", "off") < p, F.lit(4).cast("long")).otherwise(F.col("base")))
@@ -132,3 +125,16 @@ def cycle_transitions(bases: DataFrame) -> DataFrame:
     each = F.inline(F.array(F.struct(mate.cast("int").alias("mate"), cycle.alias("cycle")), F.struct(F.lit(0).alias("mate"), (cycle + F.when(mate == 2, F.col("ahead")).otherwise(0)).alias("cycle"))))
     rows = bases.where("base < 4").select("is_rev", "ref", "base", each).groupBy("mate", "is_rev", "cycle", "ref", "base").agg(F.count("*").alias("n"))
     return rows.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("mate", "is_rev", "cycle", "ref")), 4))
+
+
+def consistent_pairs(filtered: DataFrame, keep_orphans: bool = False, single: str | None = None, remove_clips: bool = False) -> DataFrame:
+    """Reads without a reason to drop them; a paired one only if both mates are left, or if orphans stay.
+
+    With single, pairs become single reads: the named mate (first or second) stays. With remove_clips soft clips go.
+    """
+    kept = filtered.where("reason IS NULL")
+    paired = (F.col("flag").bitwiseAND(F.lit(1)) > 0).cast("int")
+    mates = F.sum(paired).over(Window.partitionBy("name"))  # a name has two mates
+    rows = kept.withColumn("_m", mates).where(F.lit(keep_orphans) | (paired == 0) | (F.col("_m") == 2)).drop("_m")
+    rows = make_single(rows, single) if single else rows
+    return trim_soft_clips(rows) if remove_clips else rows

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.operators.binned import before_bins, in_bin, joined, previous, with_bin
@@ -152,12 +152,6 @@ def allele_freq_hw(gl: DataFrame, iterations: int = 3) -> DataFrame:
     return rows.select(*LOCUS, "pop", F.round("freq", 6).alias("freq"))
 
 
-def compare_calls(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Counts of each pair of calls of two sets at the same locus and sample; -1 is missing."""
-    both = a.select(*LOCUS, "sample", F.col("gt").alias("g1")).join(b.select(*LOCUS, "sample", F.col("gt").alias("g2")), [*LOCUS, "sample"], "full")
-    return both.groupBy(F.coalesce("g1", F.lit(-1)).alias("g1"), F.coalesce("g2", F.lit(-1)).alias("g2")).agg(F.count("*").alias("n"))
-
-
 def het_imbalance(gl: DataFrame, thresholds: list[int]) -> DataFrame:
     """Heterozygous calls by depth of the reference and of the alternative (column ad), for every threshold their quality reaches."""
     gq = F.least(F.when(F.col("pl0") > 0, F.col("pl0")).otherwise(999), F.when(F.col("pl2") > 0, F.col("pl2")).otherwise(999))
@@ -220,3 +214,34 @@ def ancestral_lines(calls: DataFrame, chroms: DataFrame, genome: int, width: int
     size = F.least(F.lit(width), F.lit(genome) - F.col("line") * width)
     text = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), size - 1), lambda k: F.coalesce(F.element_at("_m", k), F.lit("N"))), "")
     return every.join(rows, ["chrom", "line"], "left").select("chrom", "line", F.coalesce(text, F.repeat(F.lit("N"), size.cast("int"))).alias("letters"))
+
+
+def compare_calls(a: DataFrame, b: DataFrame, call: str = "call", missing: str = "-") -> DataFrame:
+    """Counts of each pair of calls of two sets at the same locus and sample.
+
+    A call is a base (haploid) or two (diploid), so there are fifteen with the missing one, which a null or no row is.
+    """
+    one, two = (x.select(*LOCUS, "sample", F.col(call).alias(f"g{k}")) for k, x in ((1, a), (2, b)))
+    both = one.join(two, [*LOCUS, "sample"], "full")
+    return both.groupBy(F.coalesce("g1", F.lit(missing)).alias("g1"), F.coalesce("g2", F.lit(missing)).alias("g2")).agg(F.count("*").alias("n"))
+
+
+def allele_freq_mixed(gl: DataFrame, iterations: int = 3) -> DataFrame:
+    """EM for the allele frequency of each locus and population where samples are haploid or diploid (column ploidy).
+
+    A haploid sample's likelihoods are those of its two alleles, l0 and l2.
+    """
+    rows = likelihoods(gl).groupBy(*LOCUS, "pop").agg(F.array_sort(F.collect_list(F.struct("sample", "ploidy", "l0", "l1", "l2"))).alias("_s"), F.sum("ploidy").alias("_n"))
+
+    def step(f: Column) -> Column:
+        def dose(s: Column) -> Column:
+            w0, w1, w2 = s["l0"] * (1 - f) * (1 - f), s["l1"] * 2 * f * (1 - f), s["l2"] * f * f
+            h0, h1 = s["l0"] * (1 - f), s["l2"] * f
+            return F.when(s["ploidy"] == 1, h1 / (h0 + h1)).otherwise((w1 + 2 * w2) / (w0 + w1 + w2))
+
+        return F.aggregate("_s", F.lit(0.0), lambda a, s: a + dose(s)) / F.col("_n")
+
+    rows = rows.withColumn("_f0", F.lit(0.5))
+    for k in range(iterations):
+        rows = rows.withColumn(f"_f{k + 1}", step(F.col(f"_f{k}")))
+    return rows.select(*LOCUS, "pop", F.col("_n").cast("long").alias("n_alleles"), F.round(f"_f{iterations}", 6).alias("freq"))

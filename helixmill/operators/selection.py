@@ -225,3 +225,15 @@ def encode_genotypes(calls: DataFrame, genotypes) -> DataFrame:
     gt = F.when(ra & rb, "0/0").when(ra | rb, "0/1").when(F.col("_a") == F.col("_b"), "1/1").otherwise("1/2")
     alt = F.when(ra & rb, ".").when(ra, letter(F.col("_b"))).when(rb | (F.col("_a") == F.col("_b")), letter(F.col("_a"))).otherwise(F.concat_ws(",", letter(F.col("_a")), letter(F.col("_b"))))
     return rows.select(*SITE, gt.alias("gt"), alt.alias("alt"))
+
+
+def bed_windows(bases: DataFrame, windows: DataFrame, genome: int, bin_size: int = 1000) -> DataFrame:
+    """Bases and covered places of each window of a list, which are clipped to the chromosome and may overlap; win is its name.
+
+    Sites are counted before they meet windows, on equal keys of bins; windows without data have no row.
+    """
+    sites = bases.groupBy(*SITE).agg(F.count("*").alias("_n")).withColumn("_bin", F.floor(F.col("site") / bin_size))
+    w = windows.select("chrom", "win", F.greatest("start", F.lit(0)).alias("_a"), F.least("stop", F.lit(genome)).alias("_b")).where("_a < _b")
+    w = w.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_a") / bin_size), F.floor((F.col("_b") - 1) / bin_size))))
+    rows = sites.join(w, ["chrom", "_bin"]).where("site >= _a AND site < _b")
+    return rows.groupBy("chrom", "win").agg(F.sum("_n").alias("n_bases"), F.count("*").alias("n_sites"))

@@ -129,12 +129,14 @@ def site_sums(bases: DataFrame, *by: str) -> DataFrame:
     at = F.least(F.greatest(F.col("qual"), F.lit(1)), F.lit(93)).cast("int")
     rows = bases.where("base < 4").withColumns({f"_{k}": F.element_at(F.array(*map(F.lit, t)), at) for k, t in zip(("miss", "one", "two"), quality_terms(), strict=True)})
     sums = [F.sum(F.when(F.col("base") == b, F.col(f"_{k}")).otherwise(0.0)).alias(f"s_{k}{b}") for k in ("one", "two") for b in range(4)]
-    return rows.groupBy(*by, *KEY, "ref").agg(F.count("*").alias("depth"), F.sum("_miss").alias("s_miss"), *sums)
+    rms = [F.floor(F.sqrt(F.avg(F.col("mapq") * F.col("mapq")))).cast("long").alias("rms_mapq")] if "mapq" in bases.columns else []
+    return rows.groupBy(*by, *KEY, "ref").agg(F.count("*").alias("depth"), F.sum("_miss").alias("s_miss"), *sums, *rms)
 
 
 def genotype_likelihoods(bases: DataFrame, *by: str) -> DataFrame:
-    """The columns by, chrom, site, ref, depth, logs (ten ln likelihoods) and gl (scaled to a greatest of 1)."""
-    rows = site_sums(bases, *by).select(*by, *KEY, "ref", "depth", genotype_logs().alias("logs"))
+    """The columns by, chrom, site, ref, depth, logs (ten ln likelihoods) and gl (scaled to a greatest of 1); rms_mapq if bases have mapq."""
+    rows = site_sums(bases, *by)
+    rows = rows.select(*by, *KEY, "ref", "depth", *[c for c in rows.columns if c == "rms_mapq"], genotype_logs().alias("logs"))
     return rows.withColumn("gl", scaled_ten("logs"))
 
 
@@ -142,7 +144,7 @@ def haploid_likelihoods(bases: DataFrame, *by: str) -> DataFrame:
     """The columns by, chrom, site, ref, depth, logs (four ln likelihoods of a single allele) and gl."""
     rows = site_sums(bases, *by)
     logs = F.array(*(F.col("s_miss") + F.col(f"s_two{b}") for b in range(4)))
-    rows = rows.select(*by, *KEY, "ref", "depth", logs.alias("logs"))
+    rows = rows.select(*by, *KEY, "ref", "depth", *[c for c in rows.columns if c == "rms_mapq"], logs.alias("logs"))
     return rows.withColumn("gl", scaled_ten("logs", 4))
 
 

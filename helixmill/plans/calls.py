@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixmill.functions.likelihood import GENOTYPES
-from helixmill.operators import inference, models, population, reads, selection, sites
+from helixmill.operators import inference, loci, models, population, reads, selection, sites
 from helixmill.plans import sql
 from helixmill.plans.inference import _HELD, _MODELS, _modelled
-from helixmill.plans.registry import THETA, query
+from helixmill.plans.registry import THETA, WIN, query
 from helixmill.plans.scans import _calls
-from helixmill.sources import readers, views
+from helixmill.sources import files, views
 
 # reads
 
@@ -241,3 +241,68 @@ def _inbreeding() -> str:
 @query(_inbreeding())
 def inbreeding_estimate(s, d):
     return models.inbreeding_estimate(models.inbreeding_surface(views.genotypes(s, d)))
+
+
+def _one(ploidy: str) -> str:
+    return f"CASE WHEN {ploidy} THEN CASE gt WHEN 0 THEN 'A' WHEN 2 THEN 'C' END ELSE CASE gt WHEN 0 THEN 'AA' WHEN 1 THEN 'AC' ELSE 'CC' END END"
+
+
+@query(
+    f"WITH {sql.GL}, a AS (SELECT chrom, pos, sample, {_one('sample = 3')} AS call FROM gl WHERE dp <> 3), b AS (SELECT chrom, pos, sample, {_one('sample % 2 = 1')} AS call FROM (SELECT * REPLACE ((gt + pos) % 3 AS gt) FROM gl) WHERE dp <> 5) "
+    "SELECT coalesce(a.call, '-') AS g1, coalesce(b.call, '-') AS g2, count(*) AS n FROM a FULL JOIN b ON a.chrom = b.chrom AND a.pos = b.pos AND a.sample = b.sample GROUP BY ALL"
+)
+def compare_calls(s, d):
+    gl = views.genotypes(s, d)
+    one, two = gl.where("dp <> 3").withColumn("call", F.expr(_one("sample = 3"))), gl.where("dp <> 5").withColumn("gt", F.expr("(gt + pos) % 3")).withColumn("call", F.expr(_one("sample % 2 = 1")))
+    return population.compare_calls(one, two)
+
+
+def _mixed(steps: int) -> str:
+    text, before = f"WITH {sql.NORMAL}, p AS (SELECT *, CASE WHEN sample % 4 = 1 THEN 1 ELSE 2 END AS ploidy FROM normal), f0 AS (SELECT DISTINCT chrom, pos, pop, CAST(0.5 AS DOUBLE) AS f FROM p)", "f0"
+    for t in range(1, steps + 1):
+        two = "(l1 * 2 * f * (1 - f) + 2 * l2 * f * f) / (l0 * (1 - f) * (1 - f) + l1 * 2 * f * (1 - f) + l2 * f * f)"
+        text += f", f{t} AS (SELECT chrom, pos, pop, sum(CASE ploidy WHEN 1 THEN l2 * f / (l0 * (1 - f) + l2 * f) ELSE {two} END) / sum(ploidy) AS f FROM p JOIN {before} USING (chrom, pos, pop) GROUP BY ALL)"
+        before = f"f{t}"
+    return text + f" SELECT chrom, pos, pop, CAST(sum(ploidy) AS BIGINT) AS n_alleles, round(any_value(f), 6) AS freq FROM p JOIN {before} USING (chrom, pos, pop) GROUP BY ALL"
+
+
+@query(_mixed(3))
+def allele_freq_mixed(s, d):
+    return population.allele_freq_mixed(views.genotypes(s, d).withColumn("ploidy", F.expr("CASE WHEN sample % 4 = 1 THEN 1 ELSE 2 END")), 3)
+
+
+_PAIRED = f"{sql.FILTERED}, k AS (SELECT *, sum(flag & 1) OVER (PARTITION BY name) AS m FROM filtered WHERE reason IS NULL)"
+
+
+@query(
+    f"WITH {_PAIRED} SELECT 'plain' AS kind, read_id, flag, clip_left FROM k WHERE flag & 1 = 0 OR m = 2 UNION ALL SELECT 'orphans, no clips', read_id, flag, 0 FROM k "
+    "UNION ALL SELECT 'single', read_id, CAST(flag & ~235 AS INT), clip_left FROM k WHERE (flag & 1 = 0 OR m = 2) AND (flag & 1 = 0 OR flag & 64 > 0)"
+)
+def filter_pairs(s, d):
+    rows = reads.read_filter(views.reads(s, d), mapq=(10, 50), soft_clip=0.3)
+    kinds = {"plain": {}, "orphans, no clips": {"keep_orphans": True, "remove_clips": True}, "single": {"single": "first"}}
+    out = None
+    for kind, options in kinds.items():
+        part = loci.consistent_pairs(rows, **options).select(F.lit(kind).alias("kind"), "read_id", "flag", F.col("clip_left").cast("long").alias("clip_left"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    f"WITH {sql.BASES}, {sql.REGIONS}, b AS (SELECT chrom, site, count(*) AS n FROM bases GROUP BY ALL), w AS (SELECT chrom, start, unnest(range(start, least(stop + 30, 50000))) AS site FROM (SELECT DISTINCT chrom, start, stop FROM (SELECT chrom, start, max(stop) AS stop FROM regions GROUP BY ALL))), "
+    f"l AS (SELECT 'list' AS kind, chrom, start AS win, CAST(sum(n) AS BIGINT) AS n_bases, count(*) AS n_sites FROM w JOIN b USING (chrom, site) GROUP BY ALL) SELECT * FROM l UNION ALL SELECT 'tumbling', chrom, site // {WIN}, count(*), count(DISTINCT site) FROM bases WHERE site // {WIN} BETWEEN 2 AND 5 GROUP BY ALL"
+)
+def genome_windows(s, d):
+    """Windows of one size, the first two skipped and four taken, and those of a list."""
+    bases = views.bases(s, d)
+    listed = views.regions(s, d).groupBy("chrom", "start").agg((F.max("stop") + 30).alias("stop")).withColumn("win", F.col("start"))
+    return selection.bed_windows(bases, listed, views.GENOME).withColumn("kind", F.lit("list")).unionByName(selection.genome_windows(bases, WIN, 2, 4).withColumn("kind", F.lit("tumbling")))
+
+
+@query(
+    f"WITH {sql.LIKELIHOODS}, m AS (SELECT chrom, site, CAST(floor(sqrt(avg(mapq * mapq))) AS BIGINT) AS rms_mapq FROM bases GROUP BY ALL) SELECT chrom, site, depth, rms_mapq, {', '.join(f'CAST(least(32767, floor(-1000 * log10(gl[{i + 1}]) + 0.5)) AS BIGINT) AS q{i}' for i in range(10))} FROM sites JOIN m USING (chrom, site)"
+)
+def write_sites(s, d):
+    path = files.scratch(s)
+    files.write_sites(sites.genotype_likelihoods(views.bases(s, d, "mapq")), path)
+    return files.read_sites(s, path)

@@ -327,15 +327,6 @@ def allele_freq_hw(s, d):
     return population.allele_freq_hw(views.genotypes(s, d), 3)
 
 
-@query(
-    f"WITH {sql.GL}, a AS (SELECT * FROM gl WHERE dp <> 3), b AS (SELECT chrom, pos, sample, (gt + pos) % 3 AS gt FROM gl WHERE dp <> 5) "
-    "SELECT coalesce(a.gt, -1) AS g1, coalesce(b.gt, -1) AS g2, count(*) AS n FROM a FULL JOIN b ON a.chrom = b.chrom AND a.pos = b.pos AND a.sample = b.sample GROUP BY ALL"
-)
-def compare_calls(s, d):
-    gl = views.genotypes(s, d)
-    return population.compare_calls(gl.where("dp <> 3"), gl.where("dp <> 5").withColumn("gt", F.expr("(gt + pos) % 3")))
-
-
 @query(
     f"WITH {sql.GL}, l AS (SELECT chrom, pos, CASE WHEN min(gt) = max(gt) AND min(gt) <> 1 THEN 1 ELSE 0 END AS inv FROM gl GROUP BY ALL), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pos) - row_number() OVER (PARTITION BY chrom, inv ORDER BY pos) AS r FROM l) SELECT chrom, min(pos) AS start, max(pos) + 1 AS stop, count(*) AS n FROM r WHERE inv = 1 GROUP BY chrom, r"

@@ -44,11 +44,6 @@ def pairs_listing(s, d):
     return loci.pairs_listing(reads.pair_mates(views.pairs_source(s, d)))
 
 
-@query(f"WITH {sql.FILTERED}, k AS (SELECT *, sum(flag & 1) OVER (PARTITION BY name) AS m FROM filtered WHERE reason IS NULL) SELECT read_id FROM k WHERE flag & 1 = 0 OR m = 2")
-def filter_pairs(s, d):
-    return loci.consistent_pairs(_filtered(s, d)).select("read_id")
-
-
 @query(f"WITH {sql.BASES}, n AS (SELECT CASE WHEN {_DRAW} < 0.2 THEN 4 ELSE base END AS base FROM bases) SELECT base, count(*) AS n FROM n GROUP BY base")
 def downsample_bases(s, d):
     return loci.downsample_bases(views.bases(s, d), 0.2).groupBy("base").agg(F.count("*").alias("n"))
@@ -133,13 +128,6 @@ def major_minor_skotte(s, d):
     return loci.major_minor(_by_sample(s, d))
 
 
-@query(f"WITH {sql.LIKELIHOODS} SELECT chrom, site, depth, {', '.join(f'CAST(least(32767, floor(-1000 * log10(gl[{i + 1}]) + 0.5)) AS BIGINT) AS q{i}' for i in range(10))} FROM sites")
-def write_sites(s, d):
-    path = files.scratch(s)
-    files.write_sites(sites.genotype_likelihoods(views.bases(s, d)), path)
-    return files.read_sites(s, path)
-
-
 @query(f"WITH {sql.READS} SELECT name, flag, chrom, pos, mapq, len, rg FROM reads")
 def write_reads(s, d):
     path = files.scratch(s)

@@ -79,11 +79,6 @@ def window_filter(s, d):
     return sel.window_filter(_pile(s, d), WIN, 0.5).groupBy("chrom", "win").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {sql.BASES} SELECT chrom, site // {WIN} AS win, count(*) AS n_bases, count(DISTINCT site) AS n_sites FROM bases WHERE site // {WIN} BETWEEN 2 AND 5 GROUP BY ALL")
-def genome_windows(s, d):
-    return sel.genome_windows(views.bases(s, d), WIN, 2, 4)
-
-
 @query(f"WITH {sql.PILE}, f AS (SELECT CAST(v.c AS BIGINT) AS chrom, r.range AS site FROM (VALUES (1), (2), (3)) v(c), range(0, 50000) r) SELECT chrom, site, coalesce(depth, 0) AS depth FROM f LEFT JOIN pile USING (chrom, site)")
 def full_grid_left(s, d):
     return sel.full_grid(_pile(s, d), _chroms(s), views.GENOME)

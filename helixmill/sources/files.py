@@ -22,14 +22,14 @@ def scratch(spark: SparkSession) -> str:
 
 
 def write_sites(sites: DataFrame, path: str) -> None:
-    """Likelihoods as 16-bit integers, -1000 log10, by chromosome."""
+    """Depth, root mean square mapping quality and likelihoods, 4 or 10, as 16-bit integers, -1000 log10, by chromosome."""
     packed = F.transform("gl", lambda x: F.least(F.lit(32767), F.floor(-1000 * F.log10(x) + 0.5)).cast("short"))
-    sites.select("chrom", "site", "depth", packed.alias("packed")).write.partitionBy("chrom").parquet(path)
+    sites.select("chrom", "site", "depth", "rms_mapq", packed.alias("packed")).write.partitionBy("chrom").parquet(path)
 
 
-def read_sites(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema("site bigint, depth bigint, packed array<smallint>, chrom bigint").parquet(path)
-    return rows.select("chrom", "site", "depth", *(F.element_at("packed", i + 1).cast("long").alias(f"q{i}") for i in range(10)))
+def read_sites(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
+    rows = spark.read.schema("site bigint, depth bigint, rms_mapq bigint, packed array<smallint>, chrom bigint").parquet(path)
+    return rows.select("chrom", "site", "depth", "rms_mapq", *(F.element_at("packed", i + 1).cast("long").alias(f"q{i}") for i in range(n)))
 
 
 def write_sam(reads: DataFrame, path: str) -> None:
