@@ -20,9 +20,11 @@ FEW = 500_000  #: digests, of 16 bytes each, that are broadcast at most
 
 
 def carried(docs: DataFrame) -> DataFrame:
-    """_all, every column; _row, the digest of them; doc_id and text."""
+    """_all, every column; _row, the digest of them, in which the text has its own; doc_id and text."""
     every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    return docs.select(every.alias("_all"), F.unhex(F.md5(F.to_json(every))).alias("_row"), "doc_id", "text")
+    others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")))
+    row = F.unhex(F.md5(F.concat(F.coalesce(F.md5("text"), F.lit("none")), others)))
+    return docs.select(every.alias("_all"), row.alias("_row"), "doc_id", "text")
 
 
 def without(rows: DataFrame, digests: DataFrame) -> DataFrame:
