@@ -89,8 +89,8 @@ def _mle(steps: int) -> str:
     total = "(l0 * p0 + l1 * p1 + l2 * p2)"
     for t in range(1, steps + 1):
         text += f", f{t} AS (SELECT chrom, site, k, {', '.join(f'sum(l{k} * p{k} / {total}) / count(*) AS p{k}' for k in range(3))} FROM each JOIN f{t - 1} USING (chrom, site, k) GROUP BY ALL)"
-    text += f", l AS (SELECT chrom, site, k, any_value(a) AS a, any_value(b) AS b, count(*) AS n_samples, round(any_value(p1) / 2 + any_value(p2), 9) AS f, round(sum(log10({total})), 9) AS ll, " + ", ".join(f"sum(log10({_pick('gl', b, b)})) AS x{b}" for b in range(4)) + f" FROM each JOIN f{steps} USING (chrom, site, k) GROUP BY ALL)"
-    text += ", o AS (SELECT *, row_number() OVER (PARTITION BY chrom, site ORDER BY ll DESC, k) AS r FROM l), m AS (SELECT *, CASE WHEN f < 0.5 THEN a ELSE b END AS major, CASE WHEN f < 0.5 THEN b ELSE a END AS minor FROM o WHERE r = 1)"
+    text += f", l AS (SELECT chrom, site, k, any_value(a) AS a, any_value(b) AS b, count(*) AS n_samples, any_value(p1) / 2 + any_value(p2) AS f, sum(log10({total})) AS ll, " + ", ".join(f"sum(log10({_pick('gl', b, b)})) AS x{b}" for b in range(4)) + f" FROM each JOIN f{steps} USING (chrom, site, k) GROUP BY ALL)"
+    text += ", o AS (SELECT *, row_number() OVER (PARTITION BY chrom, site ORDER BY round(ll, 9) DESC, k) AS r FROM l), m AS (SELECT *, CASE WHEN round(f, 9) < 0.5 THEN a ELSE b END AS major, CASE WHEN round(f, 9) < 0.5 THEN b ELSE a END AS minor FROM o WHERE r = 1)"
     return text + " SELECT chrom, site, n_samples, CAST(major AS BIGINT) AS major, CAST(minor AS BIGINT) AS minor, round(least(f, 1 - f), 6) AS maf, CAST(round(greatest(0, 10 * (ll - [x0, x1, x2, x3][major + 1]))) AS BIGINT) AS quality, round(ll, 6) + 0.0 AS ll FROM m"
 
 
