@@ -11,18 +11,8 @@ from pyspark.sql import functions as F
 GENOTYPES = tuple(combinations_with_replacement(range(4), 2))
 
 
-def phred_to_prob(qual: str = "qual") -> Column:
-    return F.pow(F.lit(10.0), -F.col(qual) / 10)
-
-
-def log_terms(eps: Column) -> tuple[Column, Column, Column]:
-    """ln P(base | genotype) for a base that is in neither allele, and what one match of two, or two, adds to it."""
-    miss, one, two = F.ln(eps / 3), F.ln((1 - eps + eps / 3) / 2), F.ln(1 - eps)
-    return miss, one - miss, two - miss
-
-
 def quality_terms(most: int = 93) -> tuple[list[float], list[float], list[float]]:
-    """``log_terms`` of the qualities 1 to most."""
+    """For the qualities 1 to most: ln P(base | genotype) of a base in neither allele, and what one match of two, or two, adds."""
     eps = [10 ** (-q / 10) for q in range(1, most + 1)]
     miss = [log(e / 3) for e in eps]
     return miss, [log((1 - e + e / 3) / 2) - m for e, m in zip(eps, miss, strict=True)], [log(1 - e) - m for e, m in zip(eps, miss, strict=True)]
@@ -33,18 +23,8 @@ def genotype_logs(miss: str = "s_miss", one: str = "s_one", two: str = "s_two")
     return F.array(*((F.col(miss) + F.col(f"{two}{a}")) if a == b else (F.col(miss) + F.col(f"{one}{a}") + F.col(f"{one}{b}")) for a, b in GENOTYPES))
 
 
-def scaled(logs: str) -> Column:
-    """Likelihoods with the greatest 1."""
-    return F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-
-
 def scaled_ten(logs: str, n: int = 10) -> Column:
-    """``scaled`` for a fixed number of likelihoods, whose greatest is worked out once."""
+    """Likelihoods with the greatest 1; it is worked out once, as the number of them is fixed."""
     each = [F.element_at(logs, i + 1) for i in range(n)]
     top = F.greatest(*each)
     return F.array(*(F.exp(x - top) for x in each))
-
-
-def normalised(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(values, lambda x: x / total)

@@ -10,9 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.functions.likelihood import GENOTYPES, normalised, phred_to_prob, scaled
+from helixmill.functions.likelihood import GENOTYPES
 from helixmill.operators.population import LOCUS, likelihoods
-from helixmill.operators.sites import theta_prior
 
 SITE = ["chrom", "site"]
 
@@ -45,7 +44,8 @@ def hky85_posterior(sites: DataFrame, mu: float, theta_r: float, theta_g: float)
     """Posterior of each genotype and P(heterozygous) under fixed parameters."""
     table = substitution_table(mu, theta_r, theta_g).tolist()
     prior = F.element_at(F.array(*(F.array(*map(F.lit, row)) for row in table)), (F.col("ref") + 1).cast("int"))
-    rows = sites.withColumn("post", normalised(F.zip_with("gl", prior, lambda g, p: g * p)))
+    w = [F.element_at("gl", i + 1) * F.element_at("_pi", i + 1) for i in range(10)]
+    rows = sites.withColumn("_pi", prior).withColumn("post", F.array(*(x / sum(w) for x in w)))
     het = sum(F.element_at("post", i + 1) for i, (a, b) in enumerate(GENOTYPES) if a != b)
     return rows.select(*SITE, "ref", (F.array_position("post", F.array_max("post")) - 1).cast("long").alias("genotype"), F.round(het, 6).alias("p_het"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.functions.likelihood import GENOTYPES, genotype_logs, phred_to_prob, quality_terms, scaled_ten
+from helixmill.functions.likelihood import GENOTYPES, genotype_logs, quality_terms, scaled_ten
 from helixmill.operators.intervals import regions_complement, sites_to_intervals
 
 KEY = ["chrom", "site"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from helixmill.functions.likelihood import GENOTYPES
 from helixmill.operators import inference, loci, models, population, reads, selection, sites
 from helixmill.plans import sql
-from helixmill.plans.inference import _HELD, _MODELS, _modelled
+from helixmill.plans.inference import _HELD, _modelled
 from helixmill.plans.registry import THETA, WIN, query
 from helixmill.plans.scans import _calls
 from helixmill.sources import files, views

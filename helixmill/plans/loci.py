@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from helixmill.operators import loci, population, reads, selection, sites
 from helixmill.plans import sql
-from helixmill.plans.catalog import _filtered
 from helixmill.plans.registry import THETA, WIN, query
 from helixmill.sources import files, views
 

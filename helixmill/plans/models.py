@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixmill.functions.likelihood import GENOTYPES
-from helixmill.operators import models, population, sites
+from helixmill.operators import models, sites
 from helixmill.operators.reads import downsample_reads
 from helixmill.plans import sql
 from helixmill.plans.registry import WIN, query
