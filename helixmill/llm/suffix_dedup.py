@@ -42,6 +42,7 @@ AROUND = LENGTH + SIDE
 CELL = 8 << 20
 PIECE = 1 << 20
 HOT = 1 << 14
+SHORT = 5  # bytes of a key that are sent to find out whether it is shared
 BITS = 21  # of a place in one sort, and of a bucket number
 PACKET = np.dtype([("key", "<u8"), ("doc", "<i8"), ("tid", "<u8"), ("pos", "<i4"), ("lo", "u1"), ("hi", "u1"), ("bytes", "u1", (AROUND,))])
 MASK = np.dtype([("doc", "<i8"), ("tid", "<u8"), ("pos", "<i4"), ("like", "<i4"), ("mask", "<u8")])
@@ -287,6 +288,17 @@ def _split(key: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     return ((int(key[i[0]]), i) for i in np.split(order, first[1:]) if len(i))
 
 
+def _short(keys: np.ndarray) -> bytes:
+    """The low SHORT bytes of each key; with the bucket they tell keys apart but for a few, which only costs a packet."""
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :SHORT]).tobytes()
+
+
+def _long(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :SHORT] = np.frombuffer(data, np.uint8, n * SHORT).reshape(-1, SHORT)
+    return out.view("<u8").ravel()
+
+
 def _bucket(key: np.ndarray, n: int) -> np.ndarray:
     return ((key >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
 
@@ -334,14 +346,14 @@ def spans_removed(docs: DataFrame) -> DataFrame:
         many = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
         count = np.ceil(np.log2(np.diff(np.append(first, len(keys))))).astype(np.uint8) | (many * np.uint8(128))
         keys, cell = keys[first], key[0].as_py()
-        return _table([(b, cell, SHARED, keys[i].tobytes() + count[i].tobytes()) for b, i in _split(_bucket(keys, n), n)])
+        return _table([(b, cell, SHARED, _short(keys[i]) + count[i].tobytes()) for b, i in _split(_bucket(keys, n), n)])
 
     def shared(table: pa.Table) -> pa.Table:
         """Keys that two documents have, returned to each cell that sent them, with a bit for those above HOT."""
-        size = [len(x) // 9 for x in table["data"].to_pylist()]
+        size = [len(x) // (SHORT + 1) for x in table["data"].to_pylist()]
         cell = np.repeat(np.array(table["cell"].to_pylist(), np.int32), size)
-        keys = np.concatenate([np.frombuffer(x, "<u8", s) for x, s in zip(table["data"].to_pylist(), size, strict=True)])
-        count = np.concatenate([np.frombuffer(x, np.uint8, offset=8 * s) for x, s in zip(table["data"].to_pylist(), size, strict=True)])
+        keys = np.concatenate([_long(x, s) for x, s in zip(table["data"].to_pylist(), size, strict=True)])
+        count = np.concatenate([np.frombuffer(x, np.uint8, offset=SHORT * s) for x, s in zip(table["data"].to_pylist(), size, strict=True)])
         order = np.argsort(keys)
         keys, count, cell = keys[order], count[order], cell[order]
         first = _firsts(keys)
@@ -349,30 +361,31 @@ def spans_removed(docs: DataFrame) -> DataFrame:
         keep = np.repeat((senders > 1) | (np.maximum.reduceat(count, first) > 127), senders)
         hot = np.repeat(np.add.reduceat(2.0 ** (count & 127), first) > HOT, senders)
         keys, hot, cell = keys[keep], hot[keep], cell[keep]
-        return _table([(0, c, SHARED, keys[i].tobytes() + np.packbits(hot[i]).tobytes()) for c, i in _split(cell, n)])
+        return _table([(0, c, SHARED, _short(keys[i]) + np.packbits(hot[i]).tobytes()) for c, i in _split(cell, n)])
 
     def surroundings(key, left: pa.Table, right: pa.Table) -> pa.Table:
         """Packets of a cell's shared keys, the smallest document's of equal ones, to their buckets; others are settled."""
         keys, hot = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
         for x, k in zip(right["data"].to_pylist(), right["kind"].to_pylist(), strict=True):
             if k == SHARED:
-                size = len(x) * 8 // 65  # 8 bytes and a bit each
-                keys.append(np.frombuffer(x, "<u8", size))
-                hot.append(np.unpackbits(np.frombuffer(x, np.uint8, offset=8 * size), count=size).astype(bool))
+                size = len(x) * 8 // (8 * SHORT + 1)  # SHORT bytes and a bit each
+                keys.append(_long(x, size))
+                hot.append(np.unpackbits(np.frombuffer(x, np.uint8, offset=SHORT * size), count=size).astype(bool))
         keys, hot = np.concatenate(keys), np.concatenate(hot)
         order = np.argsort(keys)
         keys, hot = keys[order], hot[order]
+        low = np.uint64((1 << 8 * SHORT) - 1)
         sent, marks, cell = [np.zeros(0, PACKET)], [np.zeros(0, MASK)], key[0].as_py()
         for p in pieces([t[0] for t in _texts(left, right)[0]] if len(keys) else []):
             place, k, lo, hi = p.anchors()
-            ok = keys[np.minimum(np.searchsorted(keys, k), len(keys) - 1)] == k
+            ok = keys[np.minimum(np.searchsorted(keys, k & low), len(keys) - 1)] == k & low
             one, rest = distinct(p.packets(place[ok], k[ok], lo[ok], hi[ok]))
             sent.append(one)
             marks.append(rest)
         one, rest = distinct(np.concatenate(sent))
         marks.append(rest)
         if hot.any():
-            over = hot[np.searchsorted(keys, one["key"])]
+            over = hot[np.searchsorted(keys, one["key"] & low)]
             windows, rest = distinct(by_window(one[over]))
             one = np.concatenate([one[~over], windows])
             marks.append(rest)
@@ -452,9 +465,10 @@ def _kept(text: bytes, marks: np.ndarray) -> tuple[list[dict], str]:
     if not len(marks):
         return [], hashlib.sha256(text).hexdigest()
     pos, mask = _resolved(marks)
-    cover = np.zeros(len(text) + 1, np.int32)
-    for x in range(SIDE + 1):
-        start = np.unique(pos[(mask >> np.uint64(x)) & np.uint64(1) > 0]) - x
+    x, cover = np.arange(SIDE + 1), np.zeros(len(text) + 1, np.int32)
+    for a in range(0, len(pos), PIECE // LENGTH):
+        part = slice(a, a + PIECE // LENGTH)
+        start = (pos[part, None] - x)[(mask[part, None] >> x.astype(np.uint64)) & np.uint64(1) > 0]
         np.add.at(cover, start, 1)
         np.add.at(cover, start + LENGTH, -1)
     gone = np.cumsum(cover[:-1]) > 0
