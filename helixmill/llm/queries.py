@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from helixmill.llm import language, positional_index, prefix_bpe, quality, secrets, sharding, simhash, suffix_dedup, token_counts, warc
+from helixmill.llm import collocations, language, lexical, positional_index, prefix_bpe, projection_forest, quality, secrets, sharding, simhash, suffix_dedup, token_counts, warc
 from helixmill.llm.common import shared_dir, stored, table
 
 SLOP = 2  #: words that each word of a window may be away from its place, for n_near
@@ -67,7 +67,25 @@ def op10_language_id(spark, sf_dir):
     return language.predicted(docs, language.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_segments, op2_benchmark_decontamination, op3_quality_rules, op4_simhash_near_dedup, op5_secret_scan, op6_suffix_dedup, op7_balanced_shards, op8_token_counts, op9_prefix_bpe, op10_language_id)}
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_near_dedup(spark, sf_dir):
+    return projection_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark, sf_dir):
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc_segments, op2_benchmark_decontamination, op3_quality_rules, op4_simhash_near_dedup, op5_secret_scan, op6_suffix_dedup, op7_balanced_shards,
+        op8_token_counts, op9_prefix_bpe, op10_language_id, op11_collocations, op12_embedding_near_dedup, op13_ranked_search,
+    )
+}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -116,6 +134,44 @@ WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
            FROM d JOIN gap ON d.doc_id = gap.doc_id GROUP BY d.doc_id, d.x)
 SELECT d.doc_id, len(d.x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t.kept, d.x))) AS kept_sha256
 FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+""",
+    "op11_collocations": f"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]') AS p FROM documents),
+     w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM (SELECT lang, unnest(p) AS p FROM t)),
+     g AS (SELECT lang, m, array_to_string(w[k : k + m - 1], ' ') AS phrase
+           FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)),
+     f AS (SELECT lang, m, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM g GROUP BY lang, m, phrase),
+     n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+     c AS (SELECT lang, m, phrase, f AS a, w FROM f WHERE m > 1 AND f >= 30),
+     cut AS (SELECT lang, phrase, m, a, w, k, array_to_string(w[1 : k], ' ') AS x, array_to_string(w[k + 1 : m], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+     s AS (SELECT cut.lang, cut.phrase, cut.a, k, l.f AS l, r.f AS r, (2000000 * cut.a::HUGEINT) // (l.f + r.f) AS score
+           FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y),
+     b AS (SELECT lang, phrase, a, l, r, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+     i AS (SELECT lang, a, array_to_string(w[b : b + z - 1], ' ') AS phrase
+           FROM (SELECT lang, a, w, z, m, unnest(range(1, m - z + 2)) AS b FROM (SELECT *, unnest(range(2, m)) AS z FROM c WHERE m > 2))),
+     o AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN i ON i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.a >= 80 * b.a)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM b JOIN n ON n.lang = b.lang LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.phrase IS NULL
+QUALIFY rank <= 2000
+""",
+    "op12_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+     e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+     n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a),
+     r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+""",
+    "op13_ranked_search": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+     q AS (SELECT item_id, t, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark) GROUP BY item_id, t),
+     s AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+     f AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) SEMI JOIN (SELECT DISTINCT t FROM q) USING (t) GROUP BY doc_id, t),
+     k AS (SELECT t, CAST(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS wt FROM f, s GROUP BY t, nd),
+     m AS (SELECT doc_id, 100 - 75 + (75 * len(w) * nd) // l AS m FROM d, s),
+     r AS (SELECT item_id, f.doc_id, CAST(sum(qtf * wt * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+           FROM f JOIN q USING (t) JOIN k USING (t) JOIN m ON m.doc_id = f.doc_id GROUP BY item_id, f.doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 10
 """,
 }
 if corpus_pipeline.ORACLE_SQL:
