@@ -17,19 +17,6 @@ SITE = ["chrom", "site"]
 PAIRS = tuple(combinations(range(4), 2))
 
 
-def cigar_lengths(reads: DataFrame) -> DataFrame:
-    """Lengths by kind of operation of the column cigar, an array of (op, n)."""
-    of = lambda ops: F.aggregate(F.filter("cigar", lambda c: c["op"].isin(*ops)), F.lit(0).cast("long"), lambda a, c: a + c["n"])
-    rows = reads.withColumns({"aligned": of("M=X"), "inserted": of("I"), "deleted": of("D"), "skipped": of("N"), "clipped": of("S")})
-    return rows.withColumns({"sequenced": F.expr("aligned + inserted + clipped"), "mapped": F.expr("aligned + deleted + skipped")})
-
-
-def fragment_length(pairs: DataFrame) -> DataFrame:
-    """From the first mate's start to the second's end for a pair, at least 0; for an orphan, its own length."""
-    whole = F.greatest(F.lit(0), F.col("pos2") + F.col("len2") - F.col("pos1"))
-    return pairs.withColumn("fragment", F.when(F.col("status") == "pair", whole).otherwise(F.coalesce("len1", "len2")))
-
-
 def pairs_listing(pairs: DataFrame) -> DataFrame:
     """A row for each mate of each pair."""
     mates = F.array(*(F.struct(F.lit(k).alias("mate"), F.col(f"pos{k}").alias("pos"), F.col(f"len{k}").alias("len")) for k in (1, 2)))

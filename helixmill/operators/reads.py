@@ -22,16 +22,19 @@ def read_filter(
 
     blacklist has the names to drop. pmds bounds the column ds from above; a read without one passes. fragment bounds the
     column frag; longer_than_fragment drops proper pairs whose tlen is shorter than their aligned length. external is a
-    task's own test of reads to keep. With keep_all only the mapped length counts.
+    task's own test of reads to keep. With keep_all only the mapped length counts. len counts aligned bases; the read's
+    length has inserted and clipped ones too, and the mapped length those deleted and skipped, where reads have such columns.
     """
     rows = reads
+    more = lambda *names: sum((F.col(c) for c in names if c in reads.columns), F.lit(0).cast("long"))
     if blacklist is not None:
         rows = rows.join(blacklist.select("name").distinct().withColumn("_listed", F.lit(True)), "name", "left")
     clipped = F.col("clip_left") + F.col("clip_right")
+    whole, mapped = F.col("len") + more("inserted") + clipped, F.col("len") + more("deleted", "skipped")
     between = lambda c, bounds: ~F.col(c).between(*bounds)
     tests: list[tuple[str, bool, Column]] = [
         ("Duplicate", True, has(DUPLICATE)),
-        ("SoftClipped", soft_clip is not None, clipped / (F.col("len") + clipped) > (soft_clip or 0)),
+        ("SoftClipped", soft_clip is not None, clipped / whole > (soft_clip or 0)),
         ("PMDS", pmds is not None, F.col("ds") >= (pmds or 0) if pmds is not None else F.lit(False)),
         ("ImproperPairs", True, has(PAIRED) & ~has(PROPER)),
         ("Unmapped", True, has(UNMAPPED)),
@@ -45,7 +48,7 @@ def read_filter(
         ("SecondMate", mate == "second", ~has(SECOND)),
         ("MappingQuality", mapq is not None, between("mapq", mapq or (0, 0))),
         ("Blacklist", blacklist is not None, F.col("_listed") if blacklist is not None else F.lit(False)),
-        ("ReadLength", length is not None, between("len", length or (0, 0))),
+        ("ReadLength", length is not None, ~whole.between(*(length or (0, 0)))),
         ("FragmentLength", fragment is not None, between("frag", fragment) if fragment is not None else F.lit(False)),
         ("LongerThanFragment", longer_than_fragment, has(PROPER) & (F.abs("tlen") < F.col("len")) if longer_than_fragment else F.lit(False)),
         ("External", external is not None, ~external if external is not None else F.lit(False)),
@@ -54,7 +57,7 @@ def read_filter(
     for name, on, fails in reversed(tests):
         if on and not keep_all:
             reason = F.when(fails, F.lit(name)).otherwise(reason)
-    reason = F.when(~F.col("len").between(*mapped_length), F.lit("MappedLength")).otherwise(reason)
+    reason = F.when(~mapped.between(*mapped_length), F.lit("MappedLength")).otherwise(reason)
     return rows.withColumn("reason", reason).drop("_listed")
 
 
@@ -81,10 +84,11 @@ def mark_duplicates(reads: DataFrame, within: int = 0, by_group: bool = True) ->
 
 
 def potential_duplicates(reads: DataFrame) -> DataFrame:
-    """Pairs of neighbours in a group with equal start and length, by both ids."""
-    rows = previous(reads.select("rg", "chrom", "pos", "len", "read_id"), ["rg", "chrom"], ["pos", "read_id", "len"], F.struct("pos", "len", "read_id"))
-    rows = rows.where("_before.pos = pos AND _before.len = len")
-    return rows.select("rg", "chrom", "pos", "len", F.col("_before.read_id").alias("previous_id"), "read_id")
+    """Neighbours in a group with equal start and fragment length (column frag): both ids, fragments and strands."""
+    own = reads.select("rg", "chrom", "pos", "frag", has(REVERSE).cast("int").alias("is_rev"), "read_id")
+    rows = previous(own, ["rg", "chrom"], ["pos", "read_id", "frag"], F.struct("pos", "frag", "is_rev", "read_id"))
+    rows = rows.where("_before.pos = pos AND _before.frag = frag")
+    return rows.select("rg", "chrom", "pos", "frag", "is_rev", "read_id", F.col("_before.read_id").alias("previous_id"), F.col("_before.is_rev").alias("previous_rev"))
 
 
 def read_distance(reads: DataFrame, most: int = 10_000) -> DataFrame:

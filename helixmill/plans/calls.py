@@ -17,7 +17,7 @@ from helixmill.sources import files, views
 _REASON = (
     "CASE WHEN len NOT BETWEEN 0 AND 65 THEN 'MappedLength' WHEN flag & 1024 > 0 THEN 'Duplicate' WHEN (clip_left + clip_right) / (len + clip_left + clip_right) > 0.3 THEN 'SoftClipped' WHEN ds >= 4 THEN 'PMDS' "
     "WHEN flag & 1 > 0 AND flag & 2 = 0 THEN 'ImproperPairs' WHEN flag & 4 > 0 THEN 'Unmapped' WHEN flag & 512 > 0 THEN 'FailedQC' WHEN flag & 256 > 0 THEN 'Secondary' WHEN flag & 2048 > 0 THEN 'Supplementary' "
-    "WHEN rg NOT IN ('A', 'N') THEN 'ReadGroup' {strand} {mate} WHEN mapq NOT BETWEEN 10 AND 55 THEN 'MappingQuality' WHEN listed THEN 'Blacklist' WHEN len NOT BETWEEN 25 AND 60 THEN 'ReadLength' "
+    "WHEN rg NOT IN ('A', 'N') THEN 'ReadGroup' {strand} {mate} WHEN mapq NOT BETWEEN 10 AND 55 THEN 'MappingQuality' WHEN listed THEN 'Blacklist' WHEN len + clip_left + clip_right NOT BETWEEN 25 AND 60 THEN 'ReadLength' "
     "WHEN frag NOT BETWEEN 26 AND 110 THEN 'FragmentLength' WHEN flag & 2 > 0 AND abs(tlen) < len THEN 'LongerThanFragment' WHEN k % 10 = 3 THEN 'External' ELSE 'kept' END"
 )
 _SETS = {

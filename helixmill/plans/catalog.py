@@ -50,11 +50,12 @@ def mark_duplicates(s, d):
 
 
 @query(
-    f"WITH {sql.READS}, w AS (SELECT *, lag(pos) OVER v AS p, lag(len) OVER v AS l, lag(read_id) OVER v AS previous_id FROM reads WINDOW v AS (PARTITION BY rg, chrom ORDER BY pos, read_id, len)) "
-    "SELECT rg, chrom, pos, len, previous_id, read_id FROM w WHERE p = pos AND l = len"
+    f"WITH {sql.READS}, s AS (SELECT * REPLACE (pos // 20 * 20 AS pos) FROM reads), w AS (SELECT *, lag(pos) OVER v AS p, lag(frag) OVER v AS f, lag(read_id) OVER v AS previous_id, lag(is_rev) OVER v AS previous_rev FROM s WINDOW v AS (PARTITION BY rg, chrom ORDER BY pos, read_id, frag)) "
+    "SELECT rg, chrom, pos, frag, is_rev, read_id, previous_id, previous_rev FROM w WHERE p = pos AND f = frag"
 )
 def potential_duplicates(s, d):
-    return reads.potential_duplicates(views.reads(s, d))
+    """Of reads whose starts are in steps of 20, so that there are some."""
+    return reads.potential_duplicates(views.reads(s, d).withColumn("pos", F.expr("pos div 20 * 20")))
 
 
 @query(

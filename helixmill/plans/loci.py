@@ -24,20 +24,6 @@ def _by_sample(s, d):
     return sites.genotype_likelihoods(views.bases(s, d, "rg"), "rg")
 
 
-@query(
-    f"WITH {sql.READS} SELECT read_id, clip_left + clip_right AS clipped, len + 5 AS aligned, k % 3 AS inserted, k % 2 AS deleted, len + 5 + k % 3 + clip_left + clip_right AS sequenced, len + 5 + k % 2 AS mapped FROM reads"
-)
-def cigar_lengths(s, d):
-    ops = {"S": "clip_left", "M": "len", "I": "k % 3", "D": "k % 2", "=": "5L", "H": "0L"}
-    cigar = F.array(*(F.struct(F.lit(o).alias("op"), F.expr(n).alias("n")) for o, n in ops.items()), F.struct(F.lit("S").alias("op"), F.col("clip_right").alias("n")))
-    return loci.cigar_lengths(views.reads(s, d).withColumn("cigar", cigar)).select("read_id", "clipped", "aligned", "inserted", "deleted", "sequenced", "mapped")
-
-
-@query(f"WITH {sql.PAIRS} SELECT name, rg, chrom, CASE WHEN status = 'pair' THEN greatest(0, pos2 + len2 - pos1) ELSE coalesce(len1, len2) END AS fragment FROM pairs")
-def fragment_length(s, d):
-    return loci.fragment_length(reads.pair_mates(views.pairs_source(s, d))).select("name", "rg", "chrom", "fragment")
-
-
 @query(f"WITH {sql.PAIRS} SELECT name, rg, chrom, 1 AS mate, pos1 AS pos, len1 AS len FROM pairs WHERE status = 'pair' UNION ALL SELECT name, rg, chrom, 2, pos2, len2 FROM pairs WHERE status = 'pair'")
 def pairs_listing(s, d):
     return loci.pairs_listing(reads.pair_mates(views.pairs_source(s, d)))

@@ -25,6 +25,19 @@ FILTERED = f"""{READS}, filtered AS (SELECT *, CASE WHEN len NOT BETWEEN 0 AND 5
 BASES = f"""{READS}, bases0 AS (SELECT r.*, o.range AS off, pos + o.range AS site, (pos + o.range) * (pos + o.range + 7 * chrom) % 97 % 4 AS ref FROM reads r JOIN range(0, 70) o ON o.range < r.len),
 bases AS (SELECT *, CASE WHEN (k * 31 + off * 17 + chrom) % 29 = 0 THEN (ref + 1 + (k + off) % 3) % 4 ELSE ref END AS base, 12 + (k * 7 + off * 3) % 30 AS qual FROM bases0)"""
 
+#: The reads of views.alignments: lengths of their operations, and what follows from them.
+ALIGNED = f"""{READS}, ops AS (SELECT *, len // 2 AS m1, len - len // 2 AS m2, CASE WHEN k % 5 IN (1, 4) THEN 1 + k % 3 ELSE 0 END AS ins, CASE WHEN k % 5 IN (2, 4) THEN 1 + k % 4 ELSE 0 END AS del,
+  CASE WHEN k % 5 = 3 THEN 5 + k % 7 ELSE 0 END AS skip FROM reads),
+aligned AS (SELECT *, len + ins AS sequenced, len + ins + clip_left + clip_right AS read_length, len + del + skip AS mapped, CASE WHEN flag & 2 > 0 THEN greatest(0, tlen + ins - del) ELSE len + ins END AS fragment FROM ops)"""
+
+ALIGNED_BASES = f"""{ALIGNED}, spots AS (SELECT a.*, o.range AS i, CASE WHEN o.range < clip_left OR o.range >= read_length - clip_right THEN 'S' WHEN o.range >= clip_left + m1 AND o.range < clip_left + m1 + ins THEN 'I' ELSE 'M' END AS kind
+  FROM aligned a JOIN range(0, 90) o ON o.range < read_length),
+abases AS (SELECT uid, read_id, name, rg, chrom, is_rev, flag, i, kind, CASE kind WHEN 'M' THEN pos + i - clip_left + CASE WHEN i >= clip_left + m1 THEN del + skip - ins ELSE 0 END END AS site,
+  CASE WHEN (k + i) % 53 = 0 THEN 4 ELSE (k * 31 + i * 17 + i * i + chrom) % 4 END AS base, 12 + (k * 7 + i * 3) % 30 AS qual, CASE WHEN kind <> 'S' THEN i - clip_left END AS off,
+  CASE WHEN kind <> 'S' THEN CASE is_rev WHEN 1 THEN sequenced - 1 - (i - clip_left) ELSE i - clip_left END END AS d5,
+  CASE WHEN kind <> 'S' THEN CASE WHEN flag & 2 > 0 AND is_rev = 1 THEN i - clip_left + fragment - sequenced WHEN flag & 2 > 0 THEN fragment - 1 - (i - clip_left)
+    WHEN is_rev = 1 THEN i - clip_left ELSE sequenced - 1 - (i - clip_left) END END AS d3 FROM spots)"""
+
 PILE = f"""{BASES}, pile0 AS (SELECT chrom, site, ref, count(*) AS depth, count_if(base = 0) AS na, count_if(base = 1) AS nc, count_if(base = 2) AS ng, count_if(base = 3) AS nt FROM bases GROUP BY ALL),
 pile AS (SELECT *, CAST(na > 0 AS INT) + CAST(nc > 0 AS INT) + CAST(ng > 0 AS INT) + CAST(nt > 0 AS INT) AS n_alleles, [na, nc, ng, nt][ref + 1] AS ref_depth, depth - [na, nc, ng, nt][ref + 1] AS alt_depth FROM pile0)"""
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixmill.operators import alignment
+
 GENOME = 50_000
 
 
@@ -39,12 +41,37 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def explode_bases(reads: DataFrame) -> DataFrame:
-    """A row for each aligned base of each read; filter and prune reads before."""
-    rows = reads.withColumn("off", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1)))
-    rows = rows.withColumn("site", F.col("pos") + F.col("off"))
+    """A row for each aligned base of each read, with off, site and ref; filter and prune reads before.
+
+    reads have len aligned bases, after clip_left clipped ones if there is such a column. off counts from the first
+    aligned base. Their CIGAR is made of these and walked like any other.
+    """
+    clip = F.col("clip_left") if "clip_left" in reads.columns else F.lit(0).cast("long")
+    cigar = F.array(*(F.struct(F.lit(o).alias("op"), n.alias("n")) for o, n in (("S", clip), ("M", F.col("len")))))
+    rows = alignment.walked(reads.withColumn("cigar", cigar)).withColumn("off", F.col("at") - clip).drop("at", "kind")
     return rows.withColumn("ref", F.expr("site * (site + 7 * chrom) % 97 % 4"))
 
 
+#: Operations of the reads in ``alignments``, as (op, how many); nothing stands for an operation of length 0.
+OPERATIONS = (
+    ("H", "CASE WHEN k % 11 = 0 THEN 3 ELSE 0 END"), ("S", "clip_left"), ("M", "len div 2"), ("I", "CASE WHEN k % 5 IN (1, 4) THEN 1 + k % 3 ELSE 0 END"),
+    ("D", "CASE WHEN k % 5 IN (2, 4) THEN 1 + k % 4 ELSE 0 END"), ("N", "CASE WHEN k % 5 = 3 THEN 5 + k % 7 ELSE 0 END"), ("=", "len - len div 2"), ("S", "clip_right"),
+)
+
+
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads with CIGARs of clips, insertions, deletions and skips, their sequences and qualities as text, and mates.
+
+    A reverse read's tlen is negative. Every 53rd base is N.
+    """
+    ops = F.array(*(F.struct(F.lit(o).alias("op"), F.expr(n).cast("bigint").alias("n")) for o, n in OPERATIONS))
+    rows = reads(spark, sf_dir).withColumn("cigar", F.filter(ops, lambda c: c["n"] > 0)).withColumn("_n", alignment.length("M", "=", "X", "I", "S"))
+    spots = F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)
+    letter = lambda i: F.when((F.col("k") + i) % 53 == 0, "N").otherwise(F.substring(F.lit("ACGT"), ((F.col("k") * 31 + i * 17 + i * i + F.col("chrom")) % 4 + 1).cast("int"), F.lit(1)))
+    rows = rows.withColumns({"seq": F.array_join(F.transform(spots, letter), ""), "quality": F.array_join(F.transform(spots, lambda i: F.char(45 + (F.col("k") * 7 + i * 3) % 30)), "")})
+    return rows.withColumn("tlen", F.expr("CASE WHEN is_rev = 1 THEN -tlen ELSE tlen END")).drop("_n", "frag")
+
+
 def _base(off: str) -> str:
     """A read's base at a place in it."""
     ref = f"((pos + {off}) * (pos + {off} + 7 * chrom) % 97 % 4)"
@@ -58,7 +85,7 @@ def bases(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     is the reverse; 4 if there is none. Both are known in the read's row, so no base is moved to find its neighbour.
     """
     names = [c for c in more if c not in ("prev", "turned")]
-    keep = {"pos", "len", "k", "is_rev"} if more else {"pos", "len", "k"}
+    keep = {"pos", "len", "k", "clip_left"} | ({"is_rev"} if more else set())
     rows = explode_bases(reads(spark, sf_dir).select("read_id", "chrom", *keep, *[c for c in names if c not in keep]))
     rows = rows.withColumns({"base": F.expr(_base("off")), "qual": F.expr("12 + (k * 7 + off * 3) % 30")})
     prev, after = F.expr(f"CASE WHEN off > 0 THEN {_base('off - 1')} ELSE 4 END"), F.expr(f"CASE WHEN off < len - 1 THEN 3 - ({_base('off + 1')}) ELSE 4 END")
