@@ -5,11 +5,11 @@ of a shorter phrase is a sum of theirs over what follows it, so Spark's ROLLUP o
 of all prefixes, and no n-gram of another order is exploded. The lead columns are made from the text's own row: a lead()
 over exploded words would shuffle and sort every word of the corpus for the same values.
 
-Before, one narrow pass counts words and word pairs by the buckets of a hash. A bucket below the least support holds only
-words or pairs below it, and a phrase can't be more frequent than a pair inside it; so windows are padded from the first
-such pair on, and a window that begins with such a word is left out. That saves shuffling windows without any effect on
-the counts of phrases of that support: collisions only leave more windows in. The filter is ``1 << bits`` bits, whatever
-the corpus; where it is full it saves nothing and loses nothing.
+Before, a narrow pass counts words and word pairs by the buckets of a hash, and another one triples of frequent pairs. A
+bucket below the least support holds only what is below it, and a phrase can't be more frequent than a pair or triple
+inside it; so windows are padded from the first such pair or triple on, and a window that begins with such a word is left
+out. That saves shuffling windows without any effect on the counts of phrases of that support: collisions only leave more
+windows in. A filter is ``1 << bits`` bits, whatever the corpus; where it is full it saves nothing and loses nothing.
 
 Counts are exact: hashes choose work, words are compared as they are. Scores are made in decimals of 38 digits.
 """
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +29,9 @@ from helixmill.llm.common import partitions, reachable, small, stored
 
 ORDER = 4
 SUPPORT = 30
-BITS = 25
+BITS = 24
 FIRST = 2000
+FULL = 65_535  #: supports up to this can be asked for
 COVER = 80  #: percent of a phrase's occurrences in one longer phrase from which on it is dropped
 NO_LANG = "und"
 SCALE = 2_000_000
@@ -57,17 +59,26 @@ def _sliced(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, token
         yield named.dictionary, of, w, one, two
 
 
-def _bucket_counts(texts: DataFrame, support: int, bits: int) -> DataFrame:
-    """bucket and n: occurrences of words and pairs by bucket; and with bucket -1 a row for each lang, with all its words."""
+def _bucket_counts(texts: DataFrame, support: int, bits: int, pairs: Broadcast | None = None) -> DataFrame:
+    """bucket and n, of buckets of that support: occurrences of words and pairs; with the pairs' filter, of triples instead.
+
+    Of triples only those count whose two pairs are in the filter. With words and pairs bucket -1 has a row for each lang,
+    with the number of all its words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, seen, total = ["lang", "bucket", "n"], np.zeros(1 << bits, np.uint32), {}
+        names, seen, total = ["lang", "bucket", "n"], np.zeros(1 << bits, np.uint16), {}
         for batch in batches:
             for langs, of, w, one, two in _sliced(batch):
-                for name, n in zip(langs.to_pylist(), np.bincount(of, minlength=len(langs)).tolist(), strict=True):
-                    total[name] = total.get(name, 0) + n
-                at, n = np.unique(np.concatenate((one, two[w.joined])) >> np.uint64(64 - bits), return_counts=True)
-                seen[at] += n.astype(np.uint32)
+                if pairs is None:
+                    for name, n in zip(langs.to_pylist(), np.bincount(of, minlength=len(langs)).tolist(), strict=True):
+                        total[name] = total.get(name, 0) + n
+                    h = np.concatenate((one, two[w.joined]))
+                else:
+                    on = w.joined & _in(pairs.value, two, bits)
+                    h = _triples(one, two)[on & np.roll(on, -1)]
+                at, n = np.unique(h >> np.uint64(64 - bits), return_counts=True)
+                seen[at] = np.minimum(seen[at] + n, FULL)  # from there on a bucket is known to be frequent
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([-1] * len(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=names)
         for a in range(0, len(seen), 1 << 20):
             at = np.flatnonzero(seen[a : a + (1 << 20)])
@@ -78,33 +89,45 @@ def _bucket_counts(texts: DataFrame, support: int, bits: int) -> DataFrame:
     return stored(rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).where(f"bucket < 0 OR n >= {support}"))
 
 
-def _filter(buckets: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each bucket of SUPPORT occurrences or more: 1 << bits of them, fetched as that many bits, whatever the corpus."""
+def _triples(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return tokens.mixed(two * np.uint64(0xFF51AFD7ED558CCD) + np.roll(one, -2))
+
+
+def _filter(buckets: DataFrame, bits: int) -> Broadcast:
+    """A bit for each bucket that is listed: 1 << bits of them, fetched and sent as that many bits, whatever the corpus."""
     long = buckets.where("bucket >= 0").groupBy(F.expr("bucket div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, bucket % 64))").alias("bits"))
     got = long.toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[got.column("at").to_numpy()] = got.column("bits").to_numpy()
-    return np.unpackbits(out.astype("<i8").view(np.uint8), bitorder="little").view(bool)
+    return buckets.sparkSession.sparkContext.broadcast(out.astype("<i8").view(np.uint8))
+
+
+def _in(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the bucket of each hash is in the filter."""
+    bucket = h >> np.uint64(64 - bits)
+    return (bitmap[bucket >> np.uint64(3)] >> (bucket & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def longest_windows(docs: DataFrame, support: int = SUPPORT, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """The stored counts of padded longest windows (lang, w1 to w4, n), and n, the number of all words of each lang."""
+    if support > FULL:
+        raise ValueError(f"support must not be above {FULL}")
     reachable(docs.sparkSession)
     texts = _texts(docs)
     buckets = _bucket_counts(texts, support, bits)
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter(buckets, bits)))
+    pairs = _filter(buckets, bits)
+    triples = _filter(_bucket_counts(texts, support, bits, pairs), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit, shift = np.unpackbits(sent.value).view(bool), np.uint64(64 - bits)
         for batch in batches:
             for langs, of, w, one, two in _sliced(batch):
-                on = bit[one >> shift]
-                goes_on, words = np.concatenate((w.joined & bit[two >> shift], np.zeros(ORDER, bool))), len(w.dictionary) + 1
-                lead, alive = [w.ids + 1], on
-                for k in range(1, ORDER):
-                    alive = alive & goes_on[k - 1 : k - 1 + len(on)]
-                    lead.append(np.where(alive, np.roll(w.ids, -k) + 1, 0))
-                at = np.flatnonzero(on)
+                words, n = len(w.dictionary) + 1, len(one)
+                after = lambda x, k: np.concatenate((x, np.zeros(k, bool)))[k:]
+                pair = w.joined & _in(pairs.value, two, bits)
+                triple = pair & after(pair, 1) & _in(triples.value, _triples(one, two), bits)
+                alive = [_in(pairs.value, one, bits), pair, triple, triple & after(triple, 1)]
+                lead = [np.where(x, np.concatenate((w.ids, w.ids[:k]))[k : k + n] + 1, 0) if k <= n else np.zeros(n, np.int64) for k, x in enumerate(alive)]
+                at = np.flatnonzero(alive[0])
                 half = lambda a, b: np.unique(a[at] * words + b[at], return_inverse=True)
                 (left, i), (right, j) = half(of * words + lead[0], lead[1]), half(lead[2], lead[3])
                 both, n = np.unique(i * max(1, len(right)) + j, return_counts=True)
@@ -156,7 +179,7 @@ def collocations(docs: DataFrame, support: int = SUPPORT, first: int = FIRST, bi
 
     Null languages are one, ``und``; null and empty texts, and texts without words, have no phrases; repeated rows count
     each time. An empty table, or one without a phrase of that support, gives no rows. Columns other than lang and text are
-    not read. Texts are cut into slices of 8 MB; a longer text is one slice. A language's phrases are ranked in shares
+    not read. Texts are worked on in slices of 2 MB; a longer text is one slice. A language's phrases are ranked in shares
     first, so that only the first of each share meet.
     """
     windows, words = longest_windows(docs, support, bits)

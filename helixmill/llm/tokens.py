@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 
 SPACE, BREAK = 32, 10
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 @dataclass
