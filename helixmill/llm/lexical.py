@@ -223,7 +223,7 @@ def merged(best: tuple[np.ndarray, np.ndarray], scores: np.ndarray, ids: np.ndar
     return scores[order], ids[order]
 
 
-def _found(vectors: DataFrame, queries: Queries, first: int) -> DataFrame:
+def _found(vectors: DataFrame, queries: Queries, first: int, block: int) -> DataFrame:
     """item_id, doc_id, score: the best of each task, over vectors as ``restricted`` gives them."""
     spark = vectors.sparkSession
     total = vectors.agg(F.count_if(F.col("n") > 0), F.sum("n")).first()
@@ -248,14 +248,15 @@ def _found(vectors: DataFrame, queries: Queries, first: int) -> DataFrame:
             return Tree(ids, 100 - 75 + (75 * n * n_docs) // n_terms, np.cumsum(at), ranks[way], tfs[way])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
+            step = min(block, 1024)
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
                 terms, tfs = part.column("terms"), part.column("tfs")
                 sizes = pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
                 ids = pc.fill_null(part.column("doc_id"), int(_NO_ID)).to_numpy(zero_copy_only=False)
                 held.append((ids, part.column("n").to_numpy(zero_copy_only=False), sizes, terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64), tfs.flatten().to_numpy(zero_copy_only=False).astype(np.int64)))
                 docs, entries = docs + part.num_rows, entries + int(sizes.sum())
-                if docs >= BLOCK or entries >= BLOCK_TERMS:
+                if docs >= block or entries >= BLOCK_TERMS:
                     yield tree()
                     held, docs, entries = [], 0, 0
         if docs:
@@ -276,7 +277,7 @@ def _found(vectors: DataFrame, queries: Queries, first: int) -> DataFrame:
     return vectors.select("doc_id", "n", "terms", "tfs").where(F.size("terms") > 0).mapInArrow(run, "item_id long, doc_id long, score long")
 
 
-def ranked(docs: DataFrame, queries: DataFrame, first: int = FIRST, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def ranked(docs: DataFrame, queries: DataFrame, first: int = FIRST, chunk_bytes: int = CHUNK_BYTES, block: int = BLOCK) -> DataFrame:
     """docs: doc_id, text; queries: item_id, text. Returns item_id, rank, doc_id, score: the best documents of each item.
 
     Null and empty texts have no terms. Items without an id, and those without terms, get no rows; different texts of one item_id
@@ -292,7 +293,7 @@ def ranked(docs: DataFrame, queries: DataFrame, first: int = FIRST, chunk_bytes:
     out = None
     for k in range(n):
         some = _queries(rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect())  # about chunk_bytes
-        found = _found(restricted(docs, some), some, first)
+        found = _found(restricted(docs, some), some, first, block)
         out = found if out is None else out.unionByName(found)
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
     share = F.pmod(F.spark_partition_id(), F.lit(partitions(docs.sparkSession)))

@@ -38,6 +38,7 @@ FEWEST = 64  #: rows of a sample from which a node is divided
 LEVELS = 6  #: of a subtree that a round grows
 QUANTILES = np.linspace(0.3, 0.7, 9)
 STUCK = 0.85  #: a split that leaves more than this share on one side divides nothing
+MOST_SPILT = 0.25  #: share of a node that may go to both sides; so the rows of a tree stay below the square root of the nodes for each
 
 
 def nodes(vectors: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def fitted(leaf: int, unit: np.ndarray, share: float, target: int) -> list[float
         if rows is None or len(rows) / share <= target:
             continue
         if len(rows) < FEWEST:
-            out[k] = np.inf
+            out[k] = np.inf if k else np.nan  # a root was sampled for itself
             continue
         p = unit[rows] @ _direction(leaf, k, unit.shape[1])
         cuts = np.quantile(p, QUANTILES)
@@ -86,26 +87,26 @@ def fitted(leaf: int, unit: np.ndarray, share: float, target: int) -> list[float
         spilt = np.searchsorted(kept, cuts + SPILL, "right") - np.searchsorted(kept, cuts - SPILL)
         cut = cuts[np.lexsort((np.abs(QUANTILES - 0.5), spilt))[0]]
         left, right = p <= cut + SPILL, p >= cut - SPILL
-        if max(left.sum(), right.sum()) > STUCK * len(rows):
+        if max(left.sum(), right.sum()) > STUCK * len(rows) or (left & right).sum() > MOST_SPILT * len(rows):
             continue
         out[k] = float(cut)
         at[2 * k + 1], at[2 * k + 2] = rows[left], rows[right]
     return out
 
 
-def _grown(at: DataFrame) -> tuple[DataFrame, bool]:
+def _grown(at: DataFrame, target: int) -> tuple[DataFrame, bool]:
     """One round. at: stored rows of node, leaf, done, size, embedding. Returns the rows after it, and whether any leaf was divided."""
-    sizes = at.where("NOT done").groupBy("leaf").agg(F.count("*").alias("rows")).where(F.col("rows") > LEAF)
+    sizes = at.where("NOT done").groupBy("leaf").agg(F.count("*").alias("rows")).where(F.col("rows") > target)
     sizes = small(sizes)
     if not sizes.limit(1).count():
         return at, False
-    chosen = F.pmod(F.xxhash64("node", "leaf"), F.lit(1 << 30)) * F.col("rows") < F.lit(SAMPLE) * (1 << 30)
+    chosen = F.pmod(F.xxhash64("node", "leaf"), F.lit(1 << 30)).cast("double") * F.col("rows") < float(SAMPLE << 30)
     sample = at.where("NOT done").join(sizes, "leaf").where(chosen).select("leaf", "rows", "embedding")
 
     def fit(x: pd.DataFrame) -> pd.DataFrame:
         leaf, rows = int(x["leaf"].iloc[0]), int(x["rows"].iloc[0])
         unit = _units(pa.array(x["embedding"], pa.list_(pa.float64())))
-        return pd.DataFrame({"leaf": [leaf], "cuts": [fitted(leaf, unit, min(1.0, len(unit) / rows), LEAF)]})
+        return pd.DataFrame({"leaf": [leaf], "cuts": [fitted(leaf, unit, min(1.0, len(unit) / rows), target)]})
 
     cuts = small(sample.groupBy("leaf").applyInPandas(fit, "leaf long, cuts array<double>"))
 
@@ -148,7 +149,7 @@ def _child(leaf: int, place: int) -> int:
     return (leaf >> 48) << 48 | (x ^ (x >> 31)) & ((1 << 48) - 1)
 
 
-def forest(points: DataFrame, trees: int = TREES) -> DataFrame:
+def forest(points: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """points: stored node, label, embedding. Returns node, leaf: the leaves of each node in all trees.
 
     Leaves of one tree that get the same number, which 48 bits make rare, are compared as one: that costs only time.
@@ -158,7 +159,7 @@ def forest(points: DataFrame, trees: int = TREES) -> DataFrame:
     at = points.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select("node", root.alias("leaf"), F.lit(False).alias("done"), "embedding")
     at, more = stored(at), True
     while more:
-        at, more = _grown(at)
+        at, more = _grown(at, leaf)
     return at.select("node", "leaf")
 
 
@@ -220,12 +221,12 @@ def compared(leaf: int, node: np.ndarray, label: np.ndarray, n: np.ndarray, unit
     return node[hit], add[hit], node[u], node[v]
 
 
-def links(points: DataFrame, leaves: DataFrame) -> DataFrame:
+def links(points: DataFrame, leaves: DataFrame, leaf: int = LEAF) -> DataFrame:
     """Stored: kind, a, b. kind 0: node a is linked to b vectors of other nodes; kind 1: an edge. Sums over all rows of a node."""
     lists = leaves.groupBy("node").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))  # a few for each tree
     rows = stored(points.select("node", "label", "n", "embedding").join(lists, "node"))
     rows = rows.withColumn("leaf", F.explode("leaves"))
-    hot = rows.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") > 2 * LEAF).select("leaf", F.ceil(F.col("c") / LEAF).cast("int").alias("parts"))
+    hot = rows.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") > 2 * leaf).select("leaf", F.ceil(F.col("c") / leaf).cast("int").alias("parts"))
     rows = rows.join(small(hot), "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     mine = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
     other = F.sequence(F.lit(0), F.col("parts") - 1)
@@ -272,7 +273,7 @@ def links(points: DataFrame, leaves: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(run, "kind int, a long, b long"))
 
 
-def near_duplicates(vectors: DataFrame, trees: int = TREES) -> DataFrame:
+def near_duplicates(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """vectors: vec_id, embedding, label. Returns vec_id, n_links, component_id, kept: a row for each row of vectors.
 
     n_links counts the other rows linked with it, equal ones included. Null labels and vectors, zero vectors, and those with
@@ -282,7 +283,7 @@ def near_duplicates(vectors: DataFrame, trees: int = TREES) -> DataFrame:
     """
     reachable(vectors.sparkSession)
     points = nodes(vectors)
-    found = links(points, forest(points, trees))
+    found = links(points, forest(points, trees, leaf), leaf)
     counts = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("linked"))
     roots = components(found.where("kind = 1").select("a", "b"))
     points = points.join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
