@@ -272,13 +272,22 @@ def to_sambada(gl: DataFrame) -> DataFrame:
     return gl.select("sample", *LOCUS, *((F.col("gt") == k).cast("int").alias(f"has{k}") for k in range(3)))
 
 
-def to_vcf(gl: DataFrame, samples: int) -> DataFrame:
-    """Body lines of VCF text: genotype, depth and likelihoods of each sample; a missing sample is ./. alone."""
-    gt = F.element_at(F.array(F.lit("0/0"), F.lit("0/1"), F.lit("1/1")), F.col("gt").cast("int") + 1)
-    cell = F.concat_ws(":", gt, F.col("dp").cast("string"), F.concat_ws(",", "pl0", "pl1", "pl2"))
-    rows = gl.groupBy(*LOCUS).agg(F.map_from_entries(F.collect_list(F.struct("sample", cell.alias("v")))).alias("_m"))
+def to_vcf(gl: DataFrame, samples: int, fields: tuple[str, ...] = ("GT", "DP", "PL"), info: tuple[str, ...] = ()) -> DataFrame:
+    """Body lines of VCF text: the FORMAT fields asked for of each sample; a missing sample is ./. alone.
+
+    gl has ref and alt, the letters of a locus, and ploidy if samples may be haploid, whose cells have one allele and the
+    two likelihoods pl0 and pl2. info: DP (depth of all samples), NS (samples with data), AF (share of alternative alleles).
+    """
+    haploid = F.col("ploidy") == 1 if "ploidy" in gl.columns else F.lit(False)
+    gt = F.when(haploid, F.col("gt").cast("string")).otherwise(F.element_at(F.array(F.lit("0/0"), F.lit("0/1"), F.lit("1/1")), F.least(F.lit(2), F.col("gt")).cast("int") + 1))
+    pl = F.when(haploid, F.concat_ws(",", "pl0", "pl2")).otherwise(F.concat_ws(",", "pl0", "pl1", "pl2"))
+    cell = F.concat_ws(":", *({"GT": gt, "DP": F.col("dp").cast("string"), "PL": pl}[f] for f in fields))
+    copies = F.when(haploid, 1).otherwise(2)
+    facts = {"DP": F.sum("dp").cast("string"), "NS": F.count("*").cast("string"), "AF": F.round(F.sum("gt") / F.sum(copies), 4).cast("string")}
+    rows = gl.groupBy(*LOCUS).agg(F.min("ref").alias("_ref"), F.min("alt").alias("_alt"), F.map_from_entries(F.collect_list(F.struct("sample", cell.alias("v")))).alias("_m"), *(facts[k].alias(f"_{k}") for k in info))
     cells = [F.coalesce(F.element_at("_m", F.lit(s).cast("long")), F.lit("./.")) for s in range(samples)]
-    fixed = [F.col("chrom").cast("string"), F.col("pos").cast("string"), *map(F.lit, (".", "A", "C", ".", "PASS", ".", "GT:DP:PL"))]
+    said = F.concat_ws(";", *(F.concat(F.lit(f"{k}="), F.col(f"_{k}")) for k in info)) if info else F.lit(".")
+    fixed = [F.col("chrom").cast("string"), F.col("pos").cast("string"), F.lit("."), F.col("_ref"), F.col("_alt"), F.lit("."), F.lit("PASS"), said, F.lit(":".join(fields))]
     return rows.select(*LOCUS, F.concat_ws("\t", *fixed, *cells).alias("line"))
 
 

@@ -113,13 +113,6 @@ def major_minor_skotte(s, d):
     return loci.major_minor(_by_sample(s, d))
 
 
-@query(f"WITH {sql.READS} SELECT name, flag, chrom, pos, mapq, len, rg FROM reads")
-def write_reads(s, d):
-    path = files.scratch(s)
-    files.write_sam(views.reads(s, d), path)
-    return files.read_sam(s, path)
-
-
 @query(f"WITH {sql.GL} SELECT chrom, pos, sample, dp, gt FROM gl")
 def write_tables(s, d):
     path = files.scratch(s)

@@ -148,10 +148,20 @@ def to_sambada(s, d):
     return models.to_sambada(views.genotypes(s, d))
 
 
+#: Samples 3, 7 and 11 are haploid in the calls that are written: a copy of the alternative or none.
+_CELLS = "t AS (SELECT *, CASE WHEN sample % 4 = 3 THEN 1 ELSE 2 END AS ploidy, CASE WHEN sample % 4 = 3 THEN gt // 2 ELSE gt END AS g FROM gl)"
+
+
+def mixed(s, d):
+    rows = views.with_alleles(views.genotypes(s, d)).withColumn("ploidy", F.when(F.col("sample") % 4 == 3, 1).otherwise(2))
+    return rows.withColumn("gt", F.when(F.col("ploidy") == 1, F.expr("CAST(gt div 2 AS INT)")).otherwise(F.col("gt")))
+
+
 @query(
-    f"WITH {sql.GL}, t AS (SELECT *, ['0/0', '0/1', '1/1'][gt + 1] || ':' || dp || ':' || pl0 || ',' || pl1 || ',' || pl2 AS v FROM gl) SELECT chrom, pos, concat_ws(chr(9), chrom, pos, '.', 'A', 'C', '.', 'PASS', '.', 'GT:DP:PL', "
+    f"WITH {sql.GL}, {_CELLS}, u AS (SELECT *, CASE ploidy WHEN 1 THEN CAST(g AS VARCHAR) ELSE ['0/0', '0/1', '1/1'][g + 1] END || ':' || CASE ploidy WHEN 1 THEN pl0 || ',' || pl2 ELSE pl0 || ',' || pl1 || ',' || pl2 END || ':' || dp AS v FROM t) "
+    f"SELECT chrom, pos, concat_ws(chr(9), chrom, pos, '.', {sql.LOCUS_REF}, {sql.LOCUS_ALT}, '.', 'PASS', 'NS=' || count(*) || ';DP=' || CAST(sum(dp) AS BIGINT), 'GT:PL:DP', "
     + ", ".join(f"coalesce(max(v) FILTER (sample = {k}), './.')" for k in range(12))
-    + ") AS line FROM t GROUP BY chrom, pos"
+    + ") AS line FROM u GROUP BY chrom, pos"
 )
 def write_vcf(s, d):
-    return models.to_vcf(views.genotypes(s, d), 12)
+    return models.to_vcf(mixed(s, d), 12, ("GT", "PL", "DP"), ("NS", "DP"))

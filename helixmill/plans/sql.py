@@ -69,6 +69,9 @@ GL = """c AS (SELECT 1 + l_partkey % 3 AS chrom, 100 + (l_partkey % 997) * 13 AS
 g AS (SELECT *, least(20 * a, 3 * dp, 20 * (dp - a)) AS mn FROM c),
 gl AS (SELECT chrom, pos, sample, sample % 3 AS pop, dp, a AS ad, 20 * a - mn AS pl0, 3 * dp - mn AS pl1, 20 * (dp - a) - mn AS pl2, CASE WHEN 20 * a = mn THEN 0 WHEN 3 * dp = mn THEN 1 ELSE 2 END AS gt FROM g)"""
 
+#: The letters of a locus of gl.
+LOCUS_REF, LOCUS_ALT = "substr('ACGT', CAST(pos % 4 + 1 AS INT), 1)", "substr('ACGT', CAST((pos + 1 + chrom % 3) % 4 + 1 AS INT), 1)"
+
 NORMAL = f"""{GL}, raw AS (SELECT *, pow(10.0, -pl0 / 10) AS r0, pow(10.0, -pl1 / 10) AS r1, pow(10.0, -pl2 / 10) AS r2 FROM gl),
 normal AS (SELECT chrom, pos, sample, pop, r0 / (r0 + r1 + r2) AS l0, r1 / (r0 + r1 + r2) AS l1, r2 / (r0 + r1 + r2) AS l2 FROM raw)"""
 

@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAM = ("name", "flag", "chrom", "pos", "mapq", "cigar", "mate_chrom", "mate_pos", "tlen", "seq", "qual", "rg")
-
-
 def scratch(spark: SparkSession) -> str:
     """A new path in the session's shared folder; where none is set and all runs in one JVM, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,21 +29,6 @@ def read_sites(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
     return rows.select("chrom", "site", "depth", "rms_mapq", *(F.element_at("packed", i + 1).cast("long").alias(f"q{i}") for i in range(n)))
 
 
-def write_sam(reads: DataFrame, path: str) -> None:
-    """Alignment lines in order of place; reads have a column for each of the fields with data."""
-    line = F.concat_ws("\t", "name", "flag", F.concat(F.lit("chr"), "chrom"), F.col("pos") + 1, "mapq", F.concat("len", F.lit("M")), F.lit("*"), F.lit(0), F.lit(0), F.lit("*"), F.lit("*"), F.concat(F.lit("RG:Z:"), "rg"))
-    reads.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos", "name").select(line.alias("value")).write.text(path)
-
-
-def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignment lines as columns; header lines are skipped, places are 0-based."""
-    rows = spark.read.text(path).where("NOT startswith(value, '@')").select(F.split("value", "\t").alias("_f"))
-    at = lambda c: F.element_at("_f", SAM.index(c) + 1)
-    aligned = F.aggregate(F.regexp_extract_all("_c", F.lit(r"(\d+)[M=X]")), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
-    rows = rows.withColumn("_c", at("cigar"))
-    return rows.select(at("name").cast("long").alias("name"), at("flag").cast("int").alias("flag"), F.substring(at("chrom"), 4, 20).cast("long").alias("chrom"), (at("pos").cast("long") - 1).alias("pos"), at("mapq").cast("long").alias("mapq"), aligned.alias("len"), F.substring(at("rg"), 6, 100).alias("rg"))
-
-
 def write_table(df: DataFrame, path: str) -> None:
     df.write.csv(path, sep="\t", header=True, compression="gzip")
 

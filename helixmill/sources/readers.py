@@ -1,7 +1,9 @@
 """Readers of the text files that users have: alignments, references, intervals, alleles, genotypes, counts, lists.
 
-Each reads with Spark's own sources and splits lines by expressions; places become 0-based. The writers beside them make
-such files.
+Each reads with Spark's own sources and splits lines by expressions; places become 0-based. Chromosomes and reads keep the
+names that the files give them; ``chromosomes`` is the dictionary of a header, and ``numbered`` joins its numbers, by
+which coordinates are ordered. A line that can't be read is left out, and ``rejected`` lists those of a file. The writers
+make such files.
 """
 
 from __future__ import annotations
@@ -9,16 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixmill.operators.alignment import LETTERS, cigar_text, code, length, parsed_cigar
 from helixmill.operators.binned import before_bins, in_bin, joined
 
-LETTERS = "ACGT"
-
-
-def code(letter: Column) -> Column:
-    """0 to 3 for a base, 4 for anything else."""
-    at = F.instr(F.lit(LETTERS), F.upper(letter))
-    return F.when((F.length(letter) == 1) & (at > 0), at - 1).otherwise(4).cast("long")
-
 
 def letter(base: Column) -> Column:
     return F.when(base.between(0, 3), F.substring(F.lit(LETTERS), (base + 1).cast("int"), F.lit(1))).otherwise("N")
@@ -29,31 +24,63 @@ def _tagged(name: str) -> Column:
     return F.regexp_extract("value", rf"\t{name}:([^\t]*)", 1)
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a file, or of all files of a folder and of those below it."""
+    return spark.read.option("recursiveFileLookup", "true").text(path)
+
+
+def _few(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """df, broadcast where it has at most so many rows; else left to a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def numbered(rows: DataFrame, chroms: DataFrame, name: str = "chrom", number: str = "number") -> DataFrame:
+    """rows with the number of their chromosome, null for one that the dictionary lacks."""
+    return rows.join(_few(chroms.select(F.col("chrom").alias(name), F.col("number").alias(number))), name, "left")
+
+
 def write_alignments(reads: DataFrame, chroms: DataFrame, groups: DataFrame, path: str) -> None:
-    """Alignment text: header lines of chromosomes (chrom, length) and groups (rg), then reads in order of place.
+    """Alignment text: header lines of chromosomes (number, chrom, length) and groups (rg), then reads in order of place.
 
-    reads: name, flag, chrom, pos, mapq, len, rg (null for none) and tlen. The header is a file of its own that sorts first.
+    reads: name, flag, chrom (null for none), pos, mapq and rg (null for none); and, where they are there, cigar (else len
+    aligned bases), tlen, mate_chrom, mate_pos, seq and quality. The header is a file of its own that sorts first.
     """
-    lines = chroms.select(F.concat_ws("\t", F.lit("@SQ"), F.concat(F.lit("SN:chr"), "chrom"), F.concat(F.lit("LN:"), "length")).alias("value"))
-    lines = lines.unionByName(groups.select(F.concat_ws("\t", F.lit("@RG"), F.concat(F.lit("ID:"), "rg"), F.lit("SM:one")).alias("value")))
-    lines.coalesce(1).write.text(f"{path}/header")
+    has = set(reads.columns)
+    lines = chroms.select(F.lit(1).alias("_k"), F.col("number").alias("_n"), F.concat_ws("\t", F.lit("@SQ"), F.concat(F.lit("SN:"), "chrom"), F.concat(F.lit("LN:"), "length")).alias("value"))
+    lines = lines.unionByName(groups.select(F.lit(2).alias("_k"), F.lit(0).cast("long").alias("_n"), F.concat_ws("\t", F.lit("@RG"), F.concat(F.lit("ID:"), "rg"), F.lit("SM:one")).alias("value")))
+    lines.coalesce(1).sortWithinPartitions("_k", "_n", "value").select("value").write.text(f"{path}/header")
     tag = F.when(F.col("rg").isNotNull(), F.concat(F.lit("RG:Z:"), "rg"))
-    place = F.when(F.col("chrom").isNull(), F.lit("*")).otherwise(F.concat(F.lit("chr"), F.col("chrom")))
-    line = F.concat_ws("\t", "name", "flag", place, F.coalesce(F.col("pos") + 1, F.lit(0)), "mapq", F.concat("len", F.lit("M")), F.lit("="), F.lit(0), "tlen", F.lit("*"), F.lit("*"), tag)
-    reads.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos", "name").select(line.alias("value")).write.text(f"{path}/reads")
+    cigar = cigar_text() if "cigar" in has else F.concat("len", F.lit("M"))
+    mate = F.when(F.col("mate_chrom") == F.col("chrom"), "=").otherwise(F.coalesce("mate_chrom", F.lit("*"))) if "mate_chrom" in has else F.lit("*")
+    own = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other)) if c in has else F.lit(other)
+    after = F.coalesce((F.col("mate_pos") + 1).cast("string"), F.lit("0")) if "mate_pos" in has else F.lit("0")
+    line = F.concat_ws("\t", "name", "flag", F.coalesce("chrom", F.lit("*")), F.coalesce(F.col("pos") + 1, F.lit(0)), "mapq", F.coalesce(cigar, F.lit("*")), mate, after, own("tlen", "0"), own("seq", "*"), own("quality", "*"), tag)
+    rows = numbered(reads, chroms, number="_at")
+    rows.repartitionByRange("_at", "pos").sortWithinPartitions(F.col("_at").asc_nulls_last(), "pos", "name").select(line.alias("value")).write.text(f"{path}/reads")
 
 
-def read_alignments(spark: SparkSession, path: str, no_group: str | None = None) -> DataFrame:
-    """name, flag, chrom, pos, mapq, len, tlen and rg. A read without a place has a null chrom; one without a group null or no_group."""
+def _alignment_rows(spark: SparkSession, path: str, no_group: str | None = None) -> DataFrame:
     f = F.split("value", "\t")
-    at = lambda k: F.element_at(f, k)
-    aligned = F.aggregate(F.regexp_extract_all(at(6), F.lit(r"(\d+)[M=X]")), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    at = lambda k: F.get(f, F.lit(k - 1))
+    star = lambda k, other="*": F.when(at(k) != other, at(k))
     group = F.regexp_extract("value", r"\tRG:Z:([^\t]+)", 1)
-    rows = spark.read.text(f"{path}/reads").where("NOT startswith(value, '@')")
-    return rows.select(
-        at(1).cast("long").alias("name"), at(2).cast("int").alias("flag"), F.regexp_extract(at(3), r"^chr(\d+)$", 1).try_cast("long").alias("chrom"), (at(4).cast("long") - 1).alias("pos"),
-        at(5).cast("long").alias("mapq"), aligned.alias("len"), at(9).cast("long").alias("tlen"), F.coalesce(F.when(group != "", group), F.lit(no_group).cast("string")).alias("rg"),
+    rows = _lines(spark, path).where("NOT startswith(value, '@') AND value <> ''").select(
+        F.col("value").alias("_line"), at(1).alias("name"), at(2).try_cast("int").alias("flag"), star(3).alias("chrom"), (at(4).try_cast("long") - 1).alias("pos"), at(5).try_cast("long").alias("mapq"),
+        at(6).alias("_c"), parsed_cigar(at(6)).alias("cigar"), F.when(at(7) == "=", star(3)).otherwise(star(7)).alias("mate_chrom"), (at(8).try_cast("long") - 1).alias("mate_pos"), at(9).try_cast("long").alias("tlen"),
+        star(10).alias("seq"), star(11).alias("quality"), F.coalesce(F.when(group != "", group), F.lit(no_group).cast("string")).alias("rg"), (F.size(f) >= 11).alias("_whole"),
     )
+    ok = F.col("_whole") & F.col("flag").isNotNull() & F.col("pos").isNotNull() & F.col("mapq").isNotNull() & F.col("tlen").isNotNull() & ((F.col("_c") == "*") | F.col("cigar").isNotNull())
+    return rows.withColumn("_ok", F.coalesce(ok, F.lit(False))).drop("_c", "_whole").withColumn("len", F.coalesce(length("M", "=", "X"), F.lit(0)))
+
+
+def read_alignments(spark: SparkSession, path: str, no_group: str | None = None) -> DataFrame:
+    """name, flag, chrom, pos, mapq, cigar, len (aligned bases), mate_chrom, mate_pos, tlen, seq, quality, rg of a file or folder.
+
+    Names are text. What a line marks as missing is null; a read without a place has a null chrom, and one without a group
+    null or no_group.
+    """
+    names = ["name", "flag", "chrom", "pos", "mapq", "cigar", "len", "mate_chrom", "mate_pos", "tlen", "seq", "quality", "rg"]
+    return _alignment_rows(spark, path, no_group).where("_ok").select(*names)
 
 
 def alignment_counts(reads: DataFrame) -> DataFrame:
@@ -62,19 +89,27 @@ def alignment_counts(reads: DataFrame) -> DataFrame:
 
 
 def read_groups(spark: SparkSession, path: str, catch_all: str | None = None) -> DataFrame:
-    """rg and number of the header's read groups, in order, and of a group for reads without one, if it is named."""
-    rows = spark.read.text(f"{path}/header").where("startswith(value, '@RG')").select(_tagged("ID").alias("rg"))
+    """rg and number of the header's read groups, in order, and of a group for reads without one, if it is named.
+
+    path is that of the alignments or, to save reading them, of their header alone.
+    """
+    rows = _lines(spark, path).where("startswith(value, '@RG')").select(_tagged("ID").alias("rg")).distinct()
     rows = rows.select((F.row_number().over(Window.orderBy("rg")) - 1).cast("long").alias("number"), "rg")  # header lines are few
     return rows.unionByName(spark.range(1).select(F.lit(rows.count()).cast("long").alias("number"), F.lit(catch_all).alias("rg"))) if catch_all else rows
 
 
-def read_chromosomes(spark: SparkSession, path: str, use: list[int] | None = None, ploidy: dict[int, int] | None = None) -> DataFrame:
-    """chrom, length, ploidy (2 where it is not given) and in_use of the header's chromosomes."""
-    rows = spark.read.text(f"{path}/header").where("startswith(value, '@SQ')").select(F.regexp_extract(_tagged("SN"), r"(\d+)$", 1).cast("long").alias("chrom"), _tagged("LN").cast("long").alias("length"))
+def chromosomes(spark: SparkSession, path: str, use: list[str] | None = None, ploidy: dict[str, int] | None = None) -> DataFrame:
+    """number (the place in the header, which orders coordinates), chrom, length, ploidy (2 where it is not given) and in_use.
+
+    path as in ``read_groups``. Of a name given again the first line counts.
+    """
+    rows = _lines(spark, path).where("startswith(value, '@SQ')").select(_tagged("SN").alias("chrom"), _tagged("LN").try_cast("long").alias("length"), F.monotonically_increasing_id().alias("_i"))
+    rows = rows.groupBy("chrom").agg(F.min_by("length", "_i").alias("length"), F.min("_i").alias("_i"))
+    rows = rows.withColumn("number", (F.row_number().over(Window.orderBy("_i")) - 1).cast("long")).drop("_i")  # header lines are few
     of = F.lit(2)
     for c, n in (ploidy or {}).items():
         of = F.when(F.col("chrom") == c, n).otherwise(of)
-    return rows.withColumns({"ploidy": of, "in_use": F.col("chrom").isin(use) if use is not None else F.lit(True)})
+    return rows.select("number", "chrom", "length", of.alias("ploidy"), (F.col("chrom").isin(use) if use is not None else F.lit(True)).alias("in_use"))
 
 
 def write_fasta(reference: DataFrame, path: str, width: int = 60) -> None:
@@ -85,19 +120,19 @@ def write_fasta(reference: DataFrame, path: str, width: int = 60) -> None:
     rows = every.join(rows, ["chrom", "line"], "left")
     size = F.when(F.col("line") < F.col("_last"), width).otherwise(F.array_max(F.map_keys("_b")) + 1)
     bases = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), size.cast("long") - 1), lambda i: F.coalesce(F.element_at("_b", i), F.lit("N"))), "")
-    value = F.when(F.col("line") < 0, F.concat(F.lit(">chr"), F.col("chrom"), F.lit(" made here"))).otherwise(F.coalesce(bases, F.lit("N" * width)))
+    value = F.when(F.col("line") < 0, F.concat(F.lit(">"), F.col("chrom"), F.lit(" made here"))).otherwise(F.coalesce(bases, F.lit("N" * width)))
     rows.withColumn("value", value).repartition("chrom").sortWithinPartitions("chrom", "line").select("value").write.text(path)
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """chrom, site and ref of every base of every sequence, N as 4.
+    """chrom (the first word of the header), site and ref of every base of every sequence, N as 4.
 
     A line's place is the running length since its header. It is summed within a split of a file; a row for each split
     carries on the length and the header from the splits before.
     """
     rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_bin"), F.monotonically_increasing_id().alias("_id"))
     head = F.startswith("value", F.lit(">"))
-    rows = rows.withColumns({"_n": F.when(head, 0).otherwise(F.length(F.trim("value"))).cast("long"), "_name": F.when(head, F.regexp_extract("value", r"^>\D*(\d+)", 1).cast("long"))})
+    rows = rows.withColumns({"_n": F.when(head, 0).otherwise(F.length(F.trim("value"))).cast("long"), "_name": F.when(head, F.regexp_extract("value", r"^>\s*(\S*)", 1))})
     w = in_bin("_file").orderBy("_id")
     rows = rows.withColumn("_at", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     mark = F.when(F.col("_name").isNotNull(), F.struct(F.col("_name").alias("name"), F.col("_at").alias("at")))
@@ -112,27 +147,51 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_bed(regions: DataFrame, path: str) -> None:
-    regions.select(F.concat(F.lit("chr"), "chrom"), "start", "stop", *[c for c in regions.columns if c == "info"]).write.csv(path, sep="\t")
+    regions.select("chrom", "start", "stop", *[c for c in regions.columns if c == "info"]).write.csv(path, sep="\t")
+
+
+def _bed_rows(spark: SparkSession, path: str) -> DataFrame:
+    f = F.split(F.trim("value"), r"\s+", 4)
+    rows = _lines(spark, path).where("NOT value RLIKE '^(#|track|browser|\\\\s*$)'").select(F.col("value").alias("_line"), f[0].alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("start"), F.get(f, F.lit(2)).try_cast("long").alias("stop"), F.get(f, F.lit(3)).alias("info"))
+    return rows.withColumn("_ok", F.coalesce(F.col("start").isNotNull() & (F.col("start") >= 0) & (F.col("stop") >= F.col("start")), F.lit(False)))
 
 
 def read_bed(spark: SparkSession, path: str, info: bool = False) -> DataFrame:
     """chrom, start, stop, and info if asked for; lines of comments, tracks and browsers are skipped."""
-    f = F.split("value", r"\s+", 4)
-    rows = spark.read.text(path).where("NOT value RLIKE '^(#|track|browser|\\\\s*$)'")
-    rows = rows.select(F.regexp_extract(f[0], r"(\d+)$", 1).cast("long").alias("chrom"), f[1].cast("long").alias("start"), f[2].cast("long").alias("stop"), *([F.get(f, F.lit(3)).alias("info")] if info else []))
-    return rows
+    return _bed_rows(spark, path).where("_ok").select("chrom", "start", "stop", *(["info"] if info else []))
 
 
 def write_alleles(alleles: DataFrame, path: str) -> None:
     """alleles: chrom, site, known_ref, known_alt; an alternative of N is written as a point."""
     alt = F.when(F.col("known_alt") < 4, letter(F.col("known_alt"))).otherwise(".")
-    alleles.select(F.concat(F.lit("chr"), "chrom").alias("Chr"), (F.col("site") + 1).alias("Pos"), letter(F.col("known_ref")).alias("Ref"), alt.alias("Alt")).write.csv(path, sep="\t", header=True)
+    alleles.select(F.col("chrom").alias("Chr"), (F.col("site") + 1).alias("Pos"), letter(F.col("known_ref")).alias("Ref"), alt.alias("Alt")).write.csv(path, sep="\t", header=True)
+
+
+def _table_rows(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """The names of a header line, which each file of a folder may repeat, and _line and _f, the fields, of the others."""
+    lines = _lines(spark, path).where("trim(value) <> '' AND NOT startswith(value, '#')").select(F.col("value").alias("_line"), F.split(F.trim("value"), r"\s+").alias("_f"))
+    head = F.lower(F.col("_f")[0]).isin("chr", "chrom", "chromosome") & F.lower(F.get("_f", F.lit(1))).isin("pos", "position")
+    first = lines.where(head).first()  # one line
+    return list(first["_f"]) if first else [], lines.where(~head)
+
+
+def _allele_rows(spark: SparkSession, path: str) -> DataFrame:
+    names, rows = _table_rows(spark, path)
+    place = {n.lower(): k for k, n in enumerate(names)}
+    one, two = next((place[n] for n in ("ref", "allele1") if n in place), None), next((place[n] for n in ("alt", "allele2") if n in place), None)
+    if one is None:
+        raise ValueError(f"no column Ref or Allele1 in {names}")
+    at = lambda k: F.get("_f", F.lit(k)) if k is not None else F.lit(None).cast("string")
+    rows = rows.select("_line", at(0).alias("chrom"), (at(1).try_cast("long") - 1).alias("site"), code(at(one)).alias("known_ref"), F.coalesce(code(at(two)), F.lit(4).cast("long")).alias("known_alt"), at(one).alias("_r"))
+    return rows.withColumn("_ok", F.coalesce((F.col("site") >= 0) & F.col("_r").isNotNull(), F.lit(False)))
 
 
 def read_alleles(spark: SparkSession, path: str, kind: str = "both") -> DataFrame:
-    """chrom, site, known_ref, known_alt (N where there is one allele): of sites with one allele (mono), two (poly), or both."""
-    rows = spark.read.csv(path, sep="\t", header=True)
-    rows = rows.select(F.regexp_extract("Chr", r"(\d+)$", 1).cast("long").alias("chrom"), (F.col("Pos").cast("long") - 1).alias("site"), code(F.col("Ref")).alias("known_ref"), code(F.col("Alt")).alias("known_alt"))
+    """chrom, site, known_ref, known_alt (N where there is one allele): of sites with one allele (mono), two (poly), or both.
+
+    The header names Chr and Pos first, then Ref and Alt or Allele1 and Allele2, of which the second may be left out.
+    """
+    rows = _allele_rows(spark, path).where("_ok").select("chrom", "site", "known_ref", "known_alt")
     one = (F.col("known_alt") == 4) | (F.col("known_alt") == F.col("known_ref"))
     return rows.where({"mono": one, "poly": ~one, "both": F.lit(True)}[kind])
 
@@ -145,26 +204,39 @@ def write_vcf(lines: DataFrame, samples: list[str], path: str) -> None:
     lines.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos").select("line").write.text(f"{path}/body")
 
 
+def _vcf_rows(spark: SparkSession, path: str) -> DataFrame:
+    f = F.split("value", "\t")
+    rows = _lines(spark, path).where("NOT startswith(value, '#') AND value <> ''").select(F.col("value").alias("_line"), f.alias("_f"), F.get(f, F.lit(1)).try_cast("long").alias("pos"))
+    return rows.withColumn("_ok", F.coalesce(F.col("pos").isNotNull() & (F.size("_f") >= 8), F.lit(False)))
+
+
+def vcf_samples(spark: SparkSession, path: str) -> list[str]:
+    names = _lines(spark, path).where("startswith(value, '#CHROM')").first()  # one line; it names the samples
+    return names["value"].split("\t")[9:] if names else []
+
+
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each locus and sample that has a call or likelihoods: chrom, pos, ref, alt, sample, gt, dp, gq, ad, pl0 to pl2.
+    """A row for each locus and sample that has a call or likelihoods: chrom, pos, ref, alt, sample, ploidy, gt, dp, gq, ad, pl0 to pl2.
 
     Fields are found by their place in FORMAT. gt counts the alternative alleles, null if it is missing; PL is taken from
-    GL where only that is there. Sites with more than two alleles are left out.
+    GL where only that is there. A haploid cell, with one allele or two likelihoods, has ploidy 1, and its likelihoods are pl0
+    and pl2. Sites with more than two alleles are left out.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    names = lines.where("startswith(value, '#CHROM')").first()  # one line; it names the samples
-    samples = F.array(*map(F.lit, names["value"].split("\t")[9:] if names else []))
-    f = F.split("value", "\t")
-    rows = lines.where("NOT startswith(value, '#') AND value <> ''").select(f.alias("_f")).where(~F.col("_f")[4].contains(","))
-    rows = rows.select(F.regexp_extract(F.col("_f")[0], r"(\d+)$", 1).cast("long").alias("chrom"), F.col("_f")[1].cast("long").alias("pos"), F.col("_f")[3].alias("ref"), F.col("_f")[4].alias("alt"), F.split(F.col("_f")[8], ":").alias("_k"), F.posexplode(F.expr("slice(_f, 10, size(_f))")).alias("_s", "_v"))
+    samples = F.array(*map(F.lit, vcf_samples(spark, path)))
+    rows = _vcf_rows(spark, path).where(F.col("_ok") & ~F.col("_f")[4].contains(",") & (F.size("_f") > 9))
+    rows = rows.select(F.col("_f")[0].alias("chrom"), "pos", F.col("_f")[3].alias("ref"), F.col("_f")[4].alias("alt"), F.split(F.col("_f")[8], ":").alias("_k"), F.posexplode(F.expr("slice(_f, 10, size(_f))")).alias("_s", "_v"))
     value = lambda k: F.get(F.split("_v", ":"), (F.array_position("_k", k) - 1).cast("int"))  # noqa: E731  null beyond the cell's own fields
     field = lambda k: F.when((F.array_position("_k", k) > 0) & ~value(k).isin(".", ""), value(k))
+    numbers = lambda k, kind: F.transform(F.split(field(k), ","), lambda x: x.try_cast(kind))
     alleles = F.split(field("GT"), r"[/|]")
-    gt = F.when(~F.array_contains(alleles, "."), F.aggregate(alleles, F.lit(0), lambda a, x: a + x.cast("int")))
-    gl = F.transform(F.split(field("GL"), ","), lambda x: F.round(-10 * x.cast("double")).cast("long"))
-    pl = F.coalesce(F.split(field("PL"), ",").cast("array<bigint>"), gl)
-    rows = rows.select("chrom", "pos", "ref", "alt", F.get(samples, F.col("_s")).alias("sample"), gt.alias("gt"), field("DP").cast("long").alias("dp"), field("GQ").cast("long").alias("gq"), F.split(field("AD"), ",").cast("array<bigint>").alias("ad"), *(F.get(pl, F.lit(k)).alias(f"pl{k}") for k in range(3)))
-    return rows.where("gt IS NOT NULL OR pl0 IS NOT NULL")
+    gt = F.when(~F.array_contains(alleles, "."), F.aggregate(alleles, F.lit(0), lambda a, x: a + x.try_cast("int")))
+    gl = F.transform(numbers("GL", "double"), lambda x: F.round(-10 * x).cast("long"))
+    rows = rows.withColumn("_pl", F.coalesce(numbers("PL", "bigint"), gl))
+    ploidy = F.when(alleles.isNotNull(), F.size(alleles)).when(F.size("_pl") == 2, 1).otherwise(2)
+    rows = rows.select("chrom", "pos", "ref", "alt", F.get(samples, F.col("_s")).alias("sample"), ploidy.alias("ploidy"), gt.alias("gt"), field("DP").try_cast("long").alias("dp"), field("GQ").try_cast("long").alias("gq"), numbers("AD", "bigint").alias("ad"), "_pl")
+    two = F.size("_pl") == 2
+    pl = [F.get("_pl", F.lit(0)), F.when(~two, F.get("_pl", F.lit(1))), F.when(two, F.get("_pl", F.lit(1))).otherwise(F.get("_pl", F.lit(2)))]
+    return rows.select("*", *(x.alias(f"pl{k}") for k, x in enumerate(pl))).drop("_pl").where("gt IS NOT NULL OR pl0 IS NOT NULL")
 
 
 def read_samples(spark: SparkSession, path: str, population: str = "all") -> DataFrame:
@@ -174,14 +246,26 @@ def read_samples(spark: SparkSession, path: str, population: str = "all") -> Dat
     return rows.select("sample", "pop", (F.row_number().over(Window.orderBy("_i")) - 1).cast("long").alias("place"))  # a line for each sample
 
 
+def _count_rows(spark: SparkSession, path: str) -> DataFrame:
+    names, rows = _table_rows(spark, path)
+    pops = [(k, n) for k, n in enumerate(names) if k > 1 and n.lower() not in ("ref", "alt")]
+    cell = lambda k, i: F.get(F.split(F.get("_f", F.lit(k)), "/"), F.lit(i)).try_cast("long")
+    cells = F.array(*(F.struct(F.lit(n).alias("pop"), cell(k, 0).alias("n_minor"), cell(k, 1).alias("n_total")) for k, n in pops))
+    rows = rows.select("_line", F.col("_f")[0].alias("chrom"), F.get("_f", F.lit(1)).try_cast("long").alias("pos"), cells.alias("_cells"))
+    return rows.withColumn("_ok", F.col("pos").isNotNull() & ~F.exists("_cells", lambda c: c["n_minor"].isNull() | c["n_total"].isNull()))
+
+
 def read_count_table(spark: SparkSession, path: str) -> DataFrame:
     """chrom, pos, pop, n_minor, n_total from a table of minor/total cells with a column for each population; 0/0 is missing."""
-    rows = spark.read.csv(path, sep="\t", header=True)
-    pops = [c for c in rows.columns if c not in ("chr", "pos", "ref", "alt")]
-    cells = F.inline(F.array(*(F.struct(F.lit(p).alias("pop"), F.col(f"`{p}`").alias("_c")) for p in pops)))
-    rows = rows.select(F.regexp_extract("chr", r"(\d+)$", 1).cast("long").alias("chrom"), F.col("pos").cast("long").alias("pos"), cells)
-    part = lambda k: F.element_at(F.split("_c", "/"), k).cast("long")
-    return rows.select("chrom", "pos", "pop", part(1).alias("n_minor"), part(2).alias("n_total")).where("n_total > 0")
+    return _count_rows(spark, path).where("_ok").select("chrom", "pos", F.inline("_cells")).where("n_total > 0")
+
+
+_KINDS = {"alignments": _alignment_rows, "bed": _bed_rows, "alleles": _allele_rows, "vcf": _vcf_rows, "counts": _count_rows}
+
+
+def rejected(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """line: the lines of such a file that its reader leaves out, as they can't be read."""
+    return _KINDS[kind](spark, path).where("NOT _ok").select(F.col("_line").alias("line"))
 
 
 def read_blacklist(spark: SparkSession, path: str) -> DataFrame:

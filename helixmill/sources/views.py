@@ -121,6 +121,12 @@ def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.selectExpr("chrom", "pos", "sample", "pop", "dp", "ad", "g0 - mn AS pl0", "g1 - mn AS pl1", "g2 - mn AS pl2", "CASE WHEN g0 = mn THEN 0 WHEN g1 = mn THEN 1 ELSE 2 END AS gt")
 
 
+def with_alleles(loci: DataFrame) -> DataFrame:
+    """The letters ref and alt of each locus."""
+    of = lambda k: F.substring(F.lit("ACGT"), F.expr(k).cast("int") + 1, F.lit(1))
+    return loci.withColumns({"ref": of("pos % 4"), "alt": of("(pos + 1 + chrom % 3) % 4")})
+
+
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A half-open interval of each order. They overlap, and leave a gap before every hundredth place."""
     start = f"o_orderkey * 7 % {GENOME // 100} * 100 + o_orderkey % 13"

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from helixmill.operators import alignment, reads
+from helixmill.operators import alignment, population, reads
+from helixmill.sources import files, readers
 
 READ = "read_id long, chrom long, pos long, flag int, tlen long, text string, seq string, quality string"
 
@@ -89,3 +90,54 @@ def test_neighbours_of_equal_fragments(spark):
     at = spark.createDataFrame(rows, "read_id long, rg string, chrom long, pos long, flag int, frag long").withColumn("len", F.lit(40))
     got = reads.potential_duplicates(at).select("previous_id", "read_id", "previous_rev", "is_rev", "frag").collect()
     assert sorted(map(tuple, got)) == [(1, 2, 0, 1, 150)]
+
+
+def text(spark, *lines):
+    path = files.scratch(spark)
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+def test_an_ordinary_alignment_file(spark):
+    path = text(
+        spark, "@HD\tVN:1.6", "@SQ\tSN:chrX\tLN:500", "@SQ\tSN:1\tLN:900", "@SQ\tSN:chrX\tLN:7", "@RG\tID:b\tSM:s", "@RG\tID:a",
+        "SRR1.17\t99\tchrX\t10\t60\t2S3M\t=\t40\t33\tACGTN\tIIIII\tNM:i:0\tRG:Z:b", "r/2\t147\t1\t1\t0\t*\tchrX\t9\t-33\t*\t*", "lost\t4\t*\t0\t0\t*\t*\t0\t0\tAC\tII",
+        "short\t0\t1", "odd\tx\t1\t1\t0\t3M\t*\t0\t0\t*\t*", "bad\t0\t1\t1\t0\t3Q\t*\t0\t0\t*\t*",
+    )
+    got = readers.read_alignments(spark, path, "none").withColumn("cigar", alignment.cigar_text()).select("name", "flag", "chrom", "pos", "mapq", "cigar", "len", "mate_chrom", "mate_pos", "tlen", "seq", "quality", "rg")
+    assert sorted(map(tuple, got.collect())) == [
+        ("SRR1.17", 99, "chrX", 9, 60, "2S3M", 3, "chrX", 39, 33, "ACGTN", "IIIII", "b"), ("lost", 4, None, -1, 0, None, 0, None, -1, 0, "AC", "II", "none"), ("r/2", 147, "1", 0, 0, None, 0, "chrX", 8, -33, None, None, "none"),
+    ]
+    assert sorted(r.line.split("\t")[0] for r in readers.rejected(spark, path, "alignments").collect()) == ["bad", "odd", "short"]
+    chroms = readers.chromosomes(spark, path, ["1"], {"chrX": 1})
+    assert sorted(map(tuple, chroms.collect())) == [(0, "chrX", 500, 1, False), (1, "1", 900, 2, True)]
+    assert {r.name: r.number for r in readers.numbered(got, chroms).collect()} == {"SRR1.17": 0, "r/2": 1, "lost": None}
+    assert sorted(map(tuple, readers.read_groups(spark, path, "none").collect())) == [(0, "a"), (1, "b"), (2, "none")]
+
+
+def test_ordinary_tables(spark):
+    bed = text(spark, "track x", "chrX 5 9 an info", "HLA*01\t7\t8", "chrX\tfive\t9", "1\t9\t5", "chrY")
+    assert sorted(map(tuple, readers.read_bed(spark, bed).collect())) == [("HLA*01", 7, 8), ("chrX", 5, 9)]
+    assert sorted(r.line for r in readers.rejected(spark, bed, "bed").collect()) == ["1\t9\t5", "chrX\tfive\t9", "chrY"]
+    one = text(spark, "Chr Pos Allele1", "chrX 3 A", "1 4 n", "1 x C")
+    assert sorted(map(tuple, readers.read_alleles(spark, one, "mono").collect())) == [("1", 3, 4, 4), ("chrX", 2, 0, 4)] and readers.read_alleles(spark, one, "poly").count() == 0
+    assert [r.line for r in readers.rejected(spark, one, "alleles").collect()] == ["1 x C"]
+    two = text(spark, "chr\tpos\tref\talt", "X\t3\tA\tG", "X\t4\tA\t.")
+    assert list(map(tuple, readers.read_alleles(spark, two, "poly").collect())) == [("X", 2, 0, 2)]
+    with pytest.raises(ValueError):
+        readers.read_alleles(spark, text(spark, "Chr Pos Score", "1 2 3"))
+    counts = text(spark, "chr pos ref alt p q", "chrX 5 A C 1/4 0/0", "2 6 A C 2/x 1/2")
+    assert list(map(tuple, readers.read_count_table(spark, counts).collect())) == [("chrX", 5, "p", 1, 4)]
+    assert [r.line for r in readers.rejected(spark, counts, "counts").collect()] == ["2 6 A C 2/x 1/2"]
+
+
+def test_haploid_calls(spark):
+    vcf = text(spark, "##x", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\tb\tc", "chrX\t5\t.\tA\tC\t.\t.\t.\tGT:PL\t1:10,0\t0/1:9,0,9\t.:0,30", "chrX\tfive\t.\tA\tC\t.\t.\t.\tGT\t1\t1\t1", "chrX\t6")
+    rows = readers.read_vcf(spark, vcf)
+    got = {r.sample: (r.chrom, r.ploidy, r.gt, r.pl0, r.pl1, r.pl2) for r in rows.collect()}
+    assert got == {"a": ("chrX", 1, 1, 10, None, 0), "b": ("chrX", 2, 1, 9, 0, 9), "c": ("chrX", 1, None, 0, None, 30)}
+    assert readers.rejected(spark, vcf, "vcf").count() == 2
+    held = rows.withColumns({"pop": F.lit("p"), "pl1": F.coalesce("pl1", F.lit(0).cast("long"))})
+    freq = population.allele_freq_mixed(held, 1).first()
+    a, b, c = (lambda l0, l2: l2 / (l0 + l2))(0.1, 1.0), 0.5, (lambda l0, l2: l2 / (l0 + l2))(1.0, 1e-3)
+    assert freq.n_alleles == 4 and freq.freq == pytest.approx((a + 2 * b + c) / 4, abs=1e-4)

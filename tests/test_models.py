@@ -7,6 +7,7 @@ import pytest
 
 from helixmill.functions.likelihood import GENOTYPES
 from helixmill.operators import models
+from helixmill.sources import views
 from helixmill.operators.sites import theta_prior
 
 GL = "chrom long, pos long, sample long, pop long, dp long, pl0 long, pl1 long, pl2 long, gt int"
@@ -63,7 +64,7 @@ def test_hky85_climbs(spark):
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], GL)
-    assert models.saf(none).count() == 0 and models.inbreeding_surface(none).count() == 0 and models.to_vcf(none, 2).count() == 0
+    assert models.saf(none).count() == 0 and models.inbreeding_surface(none).count() == 0 and models.to_vcf(views.with_alleles(none), 2).count() == 0
     sites = spark.createDataFrame([], "chrom long, site long, ref int, gl array<double>")
     assert models.theta_windows(sites, 100).count() == 0
     assert sum(r["freq"] for r in models.genotype_mixture(sites, 2).collect()) == 0
