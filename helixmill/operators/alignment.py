@@ -87,7 +87,7 @@ def code(letter: Column) -> Column:
 
 
 def bases(reads: DataFrame, kinds: str = "M", keep: tuple[str, ...] = (), with_context: bool = False) -> DataFrame:
-    """read_id, chrom, site, kind, at, off, base, qual, d5, d3, is_rev and ``keep`` of each base of the kinds.
+    """read_id, chrom, site, kind, at, off, base, qual, d5, d3, is_rev and ``keep`` of each base of the kinds; frag can be kept too.
 
     reads: read_id, chrom, pos, flag, tlen, cigar, seq and quality (text, from ``!`` on). off counts sequenced bases from
     the left, d5 and d3 from the ends of the fragment as it was sequenced: of a proper pair d3 counts on to the other
@@ -98,7 +98,7 @@ def bases(reads: DataFrame, kinds: str = "M", keep: tuple[str, ...] = (), with_c
     rows = with_lengths(reads).withColumns({"_left": clipped_left(), "frag": fragment(), "is_rev": has(REVERSE).cast("int")})
     rows = rows.where((F.length("seq") == F.col("read_length")) & (F.length("quality") == F.col("read_length")))
     names = ["read_id", "chrom", "is_rev", *keep]
-    held = walked(rows.select(*names, "pos", "cigar", "seq", "quality", "sequenced", "_left", "frag", has(PROPER).alias("_proper")), kinds)
+    held = walked(rows.withColumn("_proper", has(PROPER)).select(*dict.fromkeys([*names, "pos", "cigar", "seq", "quality", "sequenced", "_left", "frag", "_proper"])), kinds)
     spot = lambda c, i: F.substring(F.col(c), (i + 1).cast("int"), F.lit(1))
     held = held.withColumns({"off": F.col("at") - F.col("_left"), "base": code(spot("seq", F.col("at"))), "qual": (F.ascii(spot("quality", F.col("at"))) - 33).cast("long")})
     off, rev, whole = F.col("off"), F.col("is_rev") == 1, F.col("sequenced")

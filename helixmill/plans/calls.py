@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from helixmill.functions.likelihood import GENOTYPES
 from helixmill.operators import inference, loci, models, population, reads, selection, sites
 from helixmill.plans import sql
-from helixmill.plans.inference import _HELD, _modelled
+from helixmill.plans.inference import _HELD, _ended, _modelled, with_models
 from helixmill.plans.registry import THETA, WIN, query
 from helixmill.plans.scans import _calls
 from helixmill.sources import files, views
@@ -134,7 +134,7 @@ _N1 = _HELD[: _HELD.index(", g0 AS")]
     f"WITH {_N1}, g AS (SELECT chrom, site, ref, count(*) AS depth, [{', '.join(f'sum(ln((l{a} + l{b}) / 2))' for a, b in GENOTYPES)}] AS g FROM n1 GROUP BY ALL) SELECT chrom, site, ref, depth, {', '.join(f'round(exp(g[{i + 1}] - list_max(g)), 6) AS g{i}' for i in range(10))} FROM g"
 )
 def damage_likelihood(s, d):
-    rows = inference.damaged_likelihoods(_modelled(s, d))
+    rows = inference.damaged_likelihoods(_ended(s, d), with_models)
     return rows.select("chrom", "site", "ref", "depth", *(F.round(F.element_at("gl", i + 1), 6).alias(f"g{i}") for i in range(10)))
 
 

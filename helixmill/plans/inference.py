@@ -222,11 +222,20 @@ _AFTER = (
 )
 
 
-def _modelled(s, d):
+def _ended(s, d):
     rows = selection.end_distances(views.bases(s, d, "rg", "is_rev", "len"))
+    return rows.withColumn("d5", F.least("d5", F.lit(20)))
+
+
+def with_models(rows):
+    s = rows.sparkSession
     errors = s.range(2).selectExpr("CASE id WHEN 0 THEN 'A' ELSE 'N' END AS rg", "CASE id WHEN 0 THEN 0.1D ELSE -0.2D END AS intercept", "CASE id WHEN 0 THEN 0.9D ELSE 1.1D END AS slope")
     damage = s.range(42).selectExpr("CAST(id DIV 21 AS INT) AS kind", "id % 21 AS dist", "CASE id DIV 21 WHEN 1 THEN 0.1D ELSE 0.2D END * exp(-0.3D * (id % 21)) + 0.01D AS psi")
-    return inference.with_models(rows.withColumn("d5", F.least("d5", F.lit(20))), errors, damage)
+    return inference.with_models(rows, errors, damage)
+
+
+def _modelled(s, d):
+    return with_models(_ended(s, d))
 
 
 @query(f"WITH {_MODELS} SELECT rg, is_rev, d5, qual, round(eps, 9) AS eps, round(psi, 9) AS psi, count(*) AS n FROM m GROUP BY ALL")
