@@ -6,7 +6,6 @@ Fits over all sites are loops of one aggregate each over a cached table; fits by
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,65 +80,6 @@ def hky85(sites: DataFrame, iterations: int = 5) -> DataFrame:
     return sites.sparkSession.createDataFrame(steps, "step int, ll double, mu double, theta_r double, theta_g double")
 
 
-def fit_theta(gl: np.ndarray, freqs: np.ndarray, weights: np.ndarray, iterations: int = 100) -> tuple[float, float]:
-    """Theta by EM over e = exp(-theta) at fixed base frequencies, and half the width of its interval."""
-    hom = np.array([a == b for a, b in GENOTYPES])
-    first, second = (np.array([g[k] for g in GENOTYPES]) for k in (0, 1))
-    f, product = freqs[first[hom]], np.where(hom, 1.0, 2.0) * freqs[first] * freqs[second]
-
-    def prior(t: float) -> np.ndarray:
-        e = np.exp(-t)
-        out = product * (1 - e)
-        out[hom] += freqs[first[hom]] * e
-        return out
-
-    n, theta = weights.sum(), 0.01
-    for _ in range(iterations):
-        w = gl * prior(theta)
-        post = (weights[:, None] * w / w.sum(1, keepdims=True)).sum(0)[hom]
-        # The expected log likelihood is concave in e: bisect its slope.
-        low, high = 1e-12, 1 - 1e-12
-        for _ in range(60):
-            e = (low + high) / 2
-            slope = (post * (1 - f) / (f + e * (1 - f))).sum() - (n - post.sum()) / (1 - e)
-            low, high = (e, high) if slope > 0 else (low, e)
-        new = float(-np.log((low + high) / 2))
-        if abs(new - theta) < 1e-9:
-            break
-        theta = new
-    e = np.exp(-theta)
-    d = product * e
-    d[hom] = (f * f - f) * e
-    r = (gl @ d) / (gl @ prior(theta))
-    info = float((weights * r * (r + 1)).sum())
-    return theta, 1.96 / info**0.5 if info > 0 else float("nan")
-
-
-def theta_windows(sites: DataFrame, size: int, replicates: int = 0) -> DataFrame:
-    """Theta of each window of the genome, which bounds a group; with replicates, also refits under Poisson(1) weights.
-
-    Replicate 0 is the fit to the sites as they are. Weights are drawn from the window and the replicate.
-    """
-
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("site")
-        gl = np.stack(rows["gl"].to_numpy())
-        post = gl / gl.sum(1, keepdims=True)
-        carries = np.array([[(a == b) + (c == b) for b in range(4)] for a, c in GENOTYPES]) / 2
-        freqs = np.maximum((post @ carries).mean(0), 1e-6)
-        freqs = freqs / freqs.sum()
-        out = []
-        for k in range(replicates + 1):
-            draw = np.random.default_rng([int(key[0]), int(key[1]), k])
-            weights = np.ones(len(gl)) if k == 0 else draw.poisson(1.0, len(gl)).astype(float)
-            if weights.sum():
-                out.append((key[0], key[1], k, len(gl), *fit_theta(gl, freqs, weights)))
-        return pd.DataFrame(out, columns=["chrom", "win", "replicate", "n_sites", "theta", "half_width"])
-
-    rows = sites.select("chrom", "site", F.floor(F.col("site") / size).cast("long").alias("win"), "gl")
-    return rows.groupBy("chrom", "win").applyInPandas(fit, "chrom long, win long, replicate int, n_sites long, theta double, half_width double")
-
-
 def _samples(gl: DataFrame) -> DataFrame:
     """The likelihoods of a locus's samples, in order, by population: as many as there are samples."""
     return likelihoods(gl).groupBy(*LOCUS, "pop").agg(F.array_sort(F.collect_list(F.struct("sample", "l0", "l1", "l2"))).alias("_s"))
@@ -249,6 +189,12 @@ def inbreeding_surface(gl: DataFrame, grid=(0.0, 0.1, 0.2, 0.3, 0.5), iterations
     return rows.select("f", ll.alias("_ll")).groupBy("f").agg(F.round(F.sum("_ll"), 3).alias("ll"))
 
 
+def _corr(x: str, y: str) -> Column:
+    """Correlation of a group, null where either side has one value only."""
+    spread = F.var_pop(x) * F.var_pop(y)
+    return F.when(spread > 1e-12, F.covar_pop(x, y) / F.sqrt(spread))
+
+
 def spearman(gl: DataFrame, phenotypes: DataFrame) -> DataFrame:
     """Rank correlation, ties sharing their mean rank, of each locus's mean genotype with the samples' trait."""
     rows = likelihoods(gl).withColumn("_d", F.round(F.col("l1") + 2 * F.col("l2"), 6)).join(phenotypes, "sample")
@@ -258,7 +204,80 @@ def spearman(gl: DataFrame, phenotypes: DataFrame) -> DataFrame:
         return F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*LOCUS, c)) - 1) / 2
 
     rows = rows.withColumns({"_x": ranked("_d"), "_y": ranked("trait")})
-    return rows.groupBy(*LOCUS).agg(F.count("*").alias("n"), (F.round(F.corr("_x", "_y"), 6) + 0.0).alias("rho")).where("n >= 3 AND rho IS NOT NULL AND NOT isnan(rho)")
+    return rows.groupBy(*LOCUS).agg(F.count("*").alias("n"), (F.round(_corr("_x", "_y"), 6) + 0.0).alias("rho")).where("n >= 3 AND rho IS NOT NULL")
+
+
+def incomplete_beta(a: Column, b: Column, x: Column, terms: int = 200) -> Column:
+    """Regularised incomplete beta function by its continued fraction, on the side where that converges fast."""
+    def fraction(a: Column, b: Column, x: Column) -> Column:
+        tiny, one = F.lit(1e-300), F.lit(1.0)
+        kept = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
+        start = F.struct(one.alias("c"), (1 / kept(1 - (a + b) * x / (a + 1))).alias("d"), (1 / kept(1 - (a + b) * x / (a + 1))).alias("h"))
+
+        def step(at: Column, m: Column) -> Column:
+            even, odd = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            c1, d1 = kept(1 + even / at["c"]), 1 / kept(1 + even * at["d"])
+            c2, d2 = kept(1 + odd / c1), 1 / kept(1 + odd * d1)
+            return F.struct(c2.alias("c"), d2.alias("d"), (at["h"] * d1 * c1 * d2 * c2).alias("h"))
+
+        return F.aggregate(F.sequence(F.lit(1.0).cast("int"), F.lit(terms)), start, lambda at, m: step(at, m.cast("double")), lambda at: at["h"])
+
+    front = F.exp(a * F.ln(x) + b * F.ln(1 - x) + _ln_gamma(a + b) - _ln_gamma(a) - _ln_gamma(b))
+    inside = F.when(x < (a + 1) / (a + b + 2), front * fraction(a, b, x) / a).otherwise(1 - front * fraction(b, a, 1 - x) / b)
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(inside)
+
+
+def _ln_gamma(z: Column) -> Column:
+    """Stirling's series, moved up by ten so that it is exact to twelve places."""
+    up = z + 10
+    series = (up - 0.5) * F.ln(up) - up + 0.5 * float(np.log(2 * np.pi)) + 1 / (12 * up) - 1 / (360 * up**3) + 1 / (1260 * up**5) - 1 / (1680 * up**7)
+    return series - F.aggregate(F.sequence(F.lit(0), F.lit(9)), F.lit(0.0), lambda s, i: s + F.ln(z + i))
+
+
+def spearman_pooled(gl: DataFrame, phenotypes: DataFrame, permutations: int = 0, threshold: float = 0.05) -> DataFrame:
+    """Association of each locus with a trait by ranks within populations, pooled: n, n_pops, f, p, and p_permuted.
+
+    Ranks of the mean genotype and of the trait are standardised in each population, by the variance over n - 1; ties share their
+    mean rank. f compares the residual squares around no slope and around one slope for each population, with n_pops and
+    n - n_pops degrees of freedom; p is its upper tail. Populations in which either side has one value only tell nothing and
+    don't count. For loci with p below the threshold genotypes are permuted within populations, in an order drawn by hash
+    from the locus, the sample and the permutation, so a run can be repeated; p_permuted is the share of permutations,
+    the data themselves included, of an f as high. It is null for other loci.
+    """
+    rows = likelihoods(gl).withColumn("_d", F.round(F.col("l1") + 2 * F.col("l2"), 6)).join(phenotypes, "sample")
+    own = [*LOCUS, "pop"]
+
+    def ranked(c: str) -> Column:
+        return F.rank().over(Window.partitionBy(*own).orderBy(c)) + (F.count("*").over(Window.partitionBy(*own, c)) - 1) / 2
+
+    rows = rows.select(*own, "sample", ranked("_d").alias("_x"), ranked("trait").alias("_y"))
+    rows = rows.groupBy(*own).agg(F.count("*").alias("_n"), _corr("_x", "_y").alias("_r"), F.array_sort(F.collect_list(F.struct("sample", "_x", "_y"))).alias("_s"))  # a population's samples
+    rows = rows.where("_n > 1 AND _r IS NOT NULL")
+
+    def pooled(rows: DataFrame, *keys: str) -> DataFrame:
+        """f over populations from their correlations _r and sizes _n."""
+        explained, left = F.sum((F.col("_n") - 1) * F.col("_r") ** 2), F.sum((F.col("_n") - 1) * (1 - F.col("_r") ** 2))
+        got = rows.groupBy(*keys).agg(F.sum("_n").alias("n"), F.count("*").alias("n_pops"), explained.alias("_e"), left.alias("_l"))
+        got = got.where("n > n_pops")
+        return got.withColumn("f", F.when(F.col("_l") > 1e-12, F.col("_e") / F.col("_l") * (F.col("n") - F.col("n_pops")) / F.col("n_pops")).otherwise(float("inf"))).drop("_e", "_l")
+
+    out = pooled(rows, *LOCUS)
+    d1, d2 = F.col("n_pops").cast("double"), (F.col("n") - F.col("n_pops")).cast("double")
+    tail = incomplete_beta(d2 / 2, d1 / 2, F.when(F.col("f") < float("inf"), d2 / (d2 + d1 * F.col("f"))).otherwise(0.0))
+    out = out.withColumn("p", tail)
+    if not permutations:
+        return out.withColumn("p_permuted", F.lit(None).cast("double"))
+    low = rows.join(out.where(F.col("p") < threshold).select(*LOCUS, F.col("f").alias("_f")), LOCUS)
+    low = low.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    mixed = F.array_sort(F.transform("_s", lambda s: F.struct(F.xxhash64(*LOCUS, s["sample"], F.col("_k")).alias("u"), s["_x"].alias("x"))))
+    low = low.withColumn("_m", mixed)
+    mean = lambda c: F.aggregate("_s", F.lit(0.0), lambda t, s: t + s[c]) / F.size("_s")
+    low = low.withColumns({"_mx": mean("_x"), "_my": mean("_y")})
+    product = F.aggregate(F.zip_with("_s", "_m", lambda s, m: (s["_y"] - F.col("_my")) * (m["x"] - F.col("_mx"))), F.lit(0.0), lambda t, v: t + v)
+    square = lambda c: F.aggregate("_s", F.lit(0.0), lambda t, s: t + (s[c] - F.col(f"_m{c[1]}")) ** 2)
+    low = low.withColumn("_r", product / F.sqrt(square("_x") * square("_y")))
+    drawn = pooled(low, *LOCUS, "_k", "_f").groupBy(*LOCUS).agg(F.count_if(F.col("f") >= F.col("_f") - 1e-9).alias("_c"))
+    return out.join(drawn, LOCUS, "left").withColumn("p_permuted", (F.col("_c") + 1) / (permutations + 1)).drop("_c")
 
 
 def to_lfmm(gl: DataFrame, block: int) -> DataFrame:

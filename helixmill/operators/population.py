@@ -120,6 +120,40 @@ def hwe_test(counts: DataFrame) -> DataFrame:
     return counts.join(rows, ["n", "n_a", "n_ab"])
 
 
+def _het_distribution() -> Column:
+    """P(h heterozygotes) for h from 0 to the most that n and n_a allow, under Hardy-Weinberg proportions; 0 at the wrong parity."""
+    n, a, b = F.col("n"), F.col("n_a"), 2 * F.col("n") - F.col("n_a")
+    ln = lambda k: F.aggregate(F.sequence(F.lit(0).cast("long"), k), F.lit(0.0), lambda s, i: s + F.ln(F.greatest(i, F.lit(1))))
+    base = ln(n) + ln(a) + ln(b) - ln(2 * n)
+    one = lambda h: F.exp(h * F.ln(F.lit(2.0)) + base - ln(((a - h) / 2).cast("long")) - ln(h) - ln(((b - h) / 2).cast("long")))
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.least(a, b)), lambda h: F.when(F.pmod(h - a, F.lit(2)) == 0, one(h)).otherwise(0.0))
+
+
+def _convolved(a: Column, b: Column) -> Column:
+    """The distribution of a sum. Each of its parts can be of one parity only, so terms of the other are zero."""
+    last = lambda x: F.size(x) - 1
+    at = lambda k: F.sequence(F.greatest(F.lit(0), k - last(b)), F.least(k, last(a)))
+    return F.transform(F.sequence(F.lit(0), last(a) + last(b)), lambda k: F.aggregate(at(k), F.lit(0.0), lambda s, i: s + F.get(a, i) * F.get(b, k - i)))
+
+
+def hwe_populations(counts: DataFrame) -> DataFrame:
+    """The exact test over the populations of a locus: the chance of as few, and of as many, heterozygotes in all of them together.
+
+    counts: chrom, pos, pop, n, n_a, n_ab. Populations are independent, so the number of heterozygotes is a sum, whose
+    distribution is the convolution of theirs. It is made once for each different set of (n, n_a), not for each locus.
+    Populations without samples don't count; a locus without any has no row.
+    """
+    loci = counts.where("n > 0").groupBy(*LOCUS).agg(F.array_sort(F.collect_list(F.struct("n", "n_a"))).alias("_set"), F.count("*").alias("n_pops"), F.sum("n").alias("n"), F.sum("n_ab").alias("n_ab"))
+    cases = loci.select("_set").distinct().withColumn("_k", F.monotonically_increasing_id())
+    parts = cases.select("_k", F.posexplode("_set")).select("_k", "pos", "col.n", "col.n_a").withColumn("_p", _het_distribution())
+    whole = parts.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("pos", "_p"))).alias("_l"))
+    whole = whole.withColumn("_p", F.aggregate(F.transform("_l", lambda x: x["_p"]), F.array(F.lit(1.0)), _convolved))
+    rows = loci.join(cases, "_set").join(whole.select("_k", "_p"), "_k")
+    add = lambda low, high: F.aggregate(F.slice("_p", low + 1, high - low + 1), F.lit(0.0), lambda s, x: s + x)
+    last, seen = F.size("_p") - 1, F.col("n_ab").cast("int")
+    return rows.select(*LOCUS, "n_pops", "n", "n_ab", F.round(add(F.lit(0), seen), 6).alias("p_less"), F.round(add(seen, last), 6).alias("p_more"))
+
+
 def f_table(gl: DataFrame, pops: list[int]) -> DataFrame:
     """minor/total of each population at each locus."""
     cells = gl.groupBy(*LOCUS).pivot("pop", pops).agg(F.concat_ws("/", F.sum("gt").cast("string"), (2 * F.count("gt")).cast("string")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixmill.functions.likelihood import GENOTYPES
-from helixmill.operators import models, sites
+from helixmill.operators import diversity, models, population, sites
 from helixmill.operators.reads import downsample_reads
 from helixmill.plans import sql
 from helixmill.plans.registry import WIN, query
@@ -53,27 +53,68 @@ def hky85(s, d):
     return models.hky85(_likelihoods(s, d))
 
 
+def _windows(s, d):
+    return _likelihoods(s, d).withColumn("win", F.expr(f"site div {WIN}"))
+
+
+def _tidy(rows):
+    return rows.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes))
+
+
 @query()
 def theta(s, d):
-    return models.theta_windows(_likelihoods(s, d), WIN).drop("replicate")
+    return diversity.theta(_windows(s, d), ["chrom", "win"], min_sites=100)
+
+
+@query()
+def theta_genome(s, d):
+    """Of all sites as one, by the same steps."""
+    return diversity.theta(_likelihoods(s, d), [])
 
 
 @query()
 def theta_bootstrap(s, d):
-    return models.theta_windows(_likelihoods(s, d), WIN, 5)
+    return diversity.theta(diversity.replicates(_windows(s, d), 5, "chrom", "site"), ["chrom", "win", "replicate"], min_sites=100)
 
 
 @query()
 def theta_downsample(s, d):
-    """Theta of each window from the reads kept at each of two probabilities."""
-    out = None
-    for p in (0.5, 0.2):
-        kept = downsample_reads(views.reads(s, d), [p])
-        rows = views.explode_bases(kept.select("read_id", "chrom", "pos", "len", "k"))
-        rows = rows.withColumn("base", F.expr("CASE WHEN (k * 31 + off * 17 + chrom) % 29 = 0 THEN (ref + 1 + (k + off) % 3) % 4 ELSE ref END")).withColumn("qual", F.expr("12 + (k * 7 + off * 3) % 30"))
-        fit = models.theta_windows(sites.genotype_likelihoods(rows), WIN).drop("replicate").withColumn("p", F.lit(p))
-        out = fit if out is None else out.unionByName(fit)
-    return out
+    """Theta of each window from the reads kept at each of two probabilities, in one pass over the reads."""
+    kept = downsample_reads(views.reads(s, d), [0.5, 0.2])
+    rows = views.explode_bases(kept.select("read_id", "chrom", "pos", "len", "k", "p"))
+    rows = rows.withColumn("base", F.expr("CASE WHEN (k * 31 + off * 17 + chrom) % 29 = 0 THEN (ref + 1 + (k + off) % 3) % 4 ELSE ref END")).withColumn("qual", F.expr("12 + (k * 7 + off * 3) % 30"))
+    return diversity.theta(sites.genotype_likelihoods(rows, "p").withColumn("win", F.expr(f"site div {WIN}")), ["chrom", "win", "p"], min_sites=100)
+
+
+_P = [f"pi{a} * (e + pi{a} * (1 - e))" if a == b else f"2 * pi{a} * pi{b} * (1 - e)" for a, b in GENOTYPES]
+_HOM = [GENOTYPES.index((b, b)) for b in range(4)]
+
+
+def _theta_steps(steps: int, inner: int) -> str:
+    """The SQL of steps, each with its draws counted ``inner`` times, for all windows and for all sites as window -1."""
+    freq = ", ".join(f"avg(({' + '.join(f'{g.count(b)} * gl[{i + 1}]' for i, g in enumerate(GENOTYPES) if b in g)}) / (2 * list_sum(gl))) AS f{b}" for b in range(4))
+    text = f"WITH {sql.LIKELIHOODS}, s AS (SELECT chrom, site // {WIN} AS win, gl FROM sites UNION ALL SELECT 0, -1, gl FROM sites), f AS (SELECT chrom, win, count(*) AS n_sites, {freq} FROM s GROUP BY ALL), "
+    text += f"p0 AS (SELECT chrom, win, n_sites, exp(-0.01) AS e, {', '.join(f'greatest(1e-6, f{b}) / (greatest(1e-6, f0) + greatest(1e-6, f1) + greatest(1e-6, f2) + greatest(1e-6, f3)) AS pi{b}' for b in range(4))} FROM f)"
+    for t in range(steps):
+        text += f", w{t} AS (SELECT s.chrom, s.win, [{', '.join(f'gl[{i + 1}] * ({p})' for i, p in enumerate(_P))}] AS w FROM s JOIN p{t} p ON s.chrom = p.chrom AND s.win = p.win)"
+        text += f", q{t} AS (SELECT chrom, win, sum(ln(list_sum(w))) AS ll, {', '.join(f'sum(w[{i + 1}] / list_sum(w)) AS s{i}' for i in range(10))} FROM w{t} GROUP BY ALL)"
+        text += f", m{t}_0 AS (SELECT q.*, n_sites, e, pi0, pi1, pi2, pi3 FROM q{t} q JOIN p{t} p ON q.chrom = p.chrom AND q.win = p.win)"
+        for k in range(inner):
+            one = ", ".join(f"s{h} * e / (e + pi{b} * (1 - e)) AS o{b}" for b, h in enumerate(_HOM))
+            draws = [f"(2 * s{h} - o{b} + {' + '.join(f's{i}' for i, g in enumerate(GENOTYPES) if b in g and g[0] != g[1])})" for b, h in enumerate(_HOM)]
+            text += f", o{t}_{k} AS (SELECT *, {one} FROM m{t}_{k}), m{t}_{k + 1} AS (SELECT chrom, win, ll, n_sites, {', '.join(f's{i}' for i in range(10))}, (o0 + o1 + o2 + o3) / ({' + '.join(f's{i}' for i in range(10))}) AS e, {', '.join(f'{x} / ({" + ".join(draws)}) AS pi{b}' for b, x in enumerate(draws))} FROM o{t}_{k})"
+        text += f", p{t + 1} AS (SELECT chrom, win, n_sites, e, pi0, pi1, pi2, pi3, ll FROM m{t}_{inner})"
+    return text + f" SELECT chrom, win, n_sites, round(-ln(e), 6) AS theta, round((1 - e) * (1 - pi0 * pi0 - pi1 * pi1 - pi2 * pi2 - pi3 * pi3), 6) AS het, round(pi0, 6) AS pi0, round(pi1, 6) AS pi1, round(pi2, 6) AS pi2, round(pi3, 6) AS pi3, round(ll, 3) AS ll FROM p{steps}"
+
+
+@query(_theta_steps(3, 2))
+def theta_steps(s, d):
+    """Three steps from a theta of 0.01, of each window and of the genome (window -1)."""
+    rows = _windows(s, d).select("chrom", "win", "gl")
+    rows = rows.unionByName(rows.select(F.lit(0).cast("long").alias("chrom"), F.lit(-1).cast("long").alias("win"), "gl"))
+    got = diversity.theta(rows, ["chrom", "win"], 3, 0.0, 2, 1, 0.01)
+    return _tidy(got.drop("half_width", "ll")).join(got.select("chrom", "win", F.round("ll", 3).alias("ll")), ["chrom", "win"])
+
 
 
 @query()
@@ -138,6 +179,45 @@ def spearman_gwas(s, d):
     return models.spearman(views.genotypes(s, d), traits)
 
 
+def _traits(s, d):
+    return views.load(s, d, "lineitem").select(F.expr("l_suppkey % 12").alias("sample")).distinct().withColumn("trait", F.expr("sample * 7 % 5"))
+
+
+@query(
+    f"WITH {sql.NORMAL}, d AS (SELECT chrom, pos, pop, round(l1 + 2 * l2, 6) AS d, (sample * 7) % 5 AS y FROM normal), "
+    "r AS (SELECT *, rank() OVER (PARTITION BY chrom, pos, pop ORDER BY d) + (count(*) OVER (PARTITION BY chrom, pos, pop, d) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY chrom, pos, pop ORDER BY y) + (count(*) OVER (PARTITION BY chrom, pos, pop, y) - 1) / 2.0 AS ry FROM d), "
+    "cor AS (SELECT chrom, pos, pop, count(*) AS n, corr(rx, ry) AS r FROM r GROUP BY ALL HAVING count(*) > 1 AND min(rx) < max(rx) AND min(ry) < max(ry)), "
+    "sums AS (SELECT chrom, pos, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_pops, sum((n - 1) * r * r) AS e, sum((n - 1) * (1 - r * r)) AS l FROM cor GROUP BY ALL) "
+    "SELECT chrom, pos, n, n_pops, CASE WHEN l > 1e-12 THEN round(e / l * (n - n_pops) / n_pops, 4) END AS f FROM sums WHERE n > n_pops"
+)
+def spearman_pooled(s, d):
+    rows = models.spearman_pooled(views.genotypes(s, d), _traits(s, d))
+    return rows.select("chrom", "pos", "n", "n_pops", F.when(F.col("f") < float("inf"), F.round("f", 4)).alias("f"))
+
+
+@query()
+def spearman_permuted(s, d):
+    """With p from the F distribution, and from 99 permutations where that is below 0.05."""
+    return models.spearman_pooled(views.genotypes(s, d), _traits(s, d), 99)
+
+
+_DIST = (
+    f"WITH {sql.GL}, k AS (SELECT chrom, pos, pop, count(*) AS n, CAST(2 * count(*) - sum(gt) AS BIGINT) AS n_a, count_if(gt = 1) AS n_ab FROM gl GROUP BY ALL), cases AS (SELECT DISTINCT n, n_a, 2 * n - n_a AS b FROM k), "
+    "h AS (SELECT *, unnest(range(0, least(n_a, b) + 1)) AS h FROM cases), "
+    "p AS (SELECT n, n_a, h, exp(h * ln(2.0) + lgamma(n + 1) + lgamma(n_a + 1) + lgamma(b + 1) - lgamma(2 * n + 1) - lgamma((n_a - h) // 2 + 1) - lgamma(h + 1) - lgamma((b - h) // 2 + 1)) AS p FROM h WHERE (h - n_a) % 2 = 0), "
+    "d AS (SELECT chrom, pos, pop, h, p FROM k JOIN p USING (n, n_a)), l AS (SELECT chrom, pos, count(*) AS n_pops, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_ab) AS BIGINT) AS n_ab FROM k GROUP BY ALL), "
+    + ", ".join(f"d{k} AS (SELECT l.chrom, l.pos, coalesce(h, 0) AS h, coalesce(p, 1.0) AS p FROM l LEFT JOIN (SELECT * FROM d WHERE pop = {k}) x ON x.chrom = l.chrom AND x.pos = l.pos)" for k in range(3))
+)
+
+
+@query(
+    f"{_DIST}, s AS (SELECT l.*, d0.h + d1.h + d2.h AS h, d0.p * d1.p * d2.p AS p FROM l JOIN d0 USING (chrom, pos) JOIN d1 USING (chrom, pos) JOIN d2 USING (chrom, pos)) "
+    "SELECT chrom, pos, n_pops, n, n_ab, round(sum(CASE WHEN h <= n_ab THEN p ELSE 0 END), 6) AS p_less, round(sum(CASE WHEN h >= n_ab THEN p ELSE 0 END), 6) AS p_more FROM s GROUP BY ALL"
+)
+def hwe_populations(s, d):
+    return population.hwe_populations(population.pop_genotype_counts(views.genotypes(s, d)))
+
+
 @query(f"WITH {sql.GL} SELECT sample, chrom, pos // 1000 AS block, string_agg(CAST(gt AS VARCHAR), ' ' ORDER BY pos) AS line FROM gl GROUP BY ALL")
 def to_lfmm(s, d):
     return models.to_lfmm(views.genotypes(s, d), 1000)

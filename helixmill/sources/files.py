@@ -18,6 +18,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read back: cuts lineage, and survives a lost executor."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_sites(sites: DataFrame, path: str) -> None:
     """Depth, root mean square mapping quality and likelihoods, 4 or 10, as 16-bit integers, -1000 log10, by chromosome."""
     packed = F.transform("gl", lambda x: F.least(F.lit(32767), F.floor(-1000 * F.log10(x) + 0.5)).cast("short"))

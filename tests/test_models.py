@@ -4,25 +4,53 @@ from math import comb
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helixmill.functions.likelihood import GENOTYPES
-from helixmill.operators import models
-from helixmill.sources import views
+from helixmill.operators import diversity, models, population
 from helixmill.operators.sites import theta_prior
+from helixmill.sources import views
 
 GL = "chrom long, pos long, sample long, pop long, dp long, pl0 long, pl1 long, pl2 long, gt int"
 
 
-def test_theta_is_the_maximum_of_a_grid():
-    rng = np.random.default_rng(3)
-    freqs, truth = np.full(4, 0.25), 0.05
-    drawn = rng.choice(10, 3000, p=theta_prior(truth))
-    gl = np.full((3000, 10), 1e-5)  # far below the share of heterozygotes, so the maximum is inside
-    gl[np.arange(3000), drawn] = 1
-    theta, half = models.fit_theta(gl, freqs, np.ones(3000))
-    ll = lambda t: np.log(gl @ np.array(theta_prior(t))).sum()
-    assert all(ll(theta) >= ll(theta * k) for k in (0.7, 0.9, 0.98, 1.02, 1.1, 1.4))
-    assert 0 < half < theta
+def drawn_sites(spark, truth, freqs, n, seed, window=0):
+    rng, rows = np.random.default_rng(seed), []
+    for i, g in enumerate(rng.choice(10, n, p=theta_prior(truth, freqs))):
+        gl = rng.random(10) * 1e-4
+        gl[int(g)] = 1.0
+        rows.append((1, window, i, [float(x) for x in gl]))
+    return rows
+
+
+def test_theta_and_frequencies_are_the_maximum(spark):
+    truths = {0: (0.05, (0.4, 0.1, 0.2, 0.3)), 1: (0.2, (0.25, 0.25, 0.25, 0.25)), 2: (0.1, (0.25, 0.25, 0.25, 0.25))}
+    rows = [r for w, (t, f) in truths.items() for r in drawn_sites(spark, t, f, 3000 if w < 2 else 20, w, w)]
+    df = spark.createDataFrame(rows, "chrom long, win long, site long, gl array<double>")
+    got = {r.win: r for r in diversity.theta(df, ["chrom", "win"], 25, 1e-5).collect()}
+    assert got[2].n_sites == 20 and got[2].theta is None and got[2].half_width is None
+    for w in (0, 1):
+        gl = np.array([r[3] for r in rows if r[1] == w])
+        pi = [got[w][f"pi{b}"] for b in range(4)]
+        ll = lambda t, f, gl=gl: np.log(gl @ np.array(theta_prior(t, f))).sum()
+        best = ll(got[w].theta, pi)
+        assert best == pytest.approx(got[w].ll, abs=1e-3)
+        assert all(best >= ll(got[w].theta * k, pi) for k in (0.8, 0.95, 1.05, 1.2))
+        for b in range(4):
+            moved = np.array(pi) * (1 - 0.02)
+            moved[b] += 0.02
+            assert best >= ll(got[w].theta, moved.tolist()) - 1e-6
+        assert abs(got[w].theta - truths[w][0]) < 2 * got[w].half_width and got[w].het == pytest.approx((1 - np.exp(-got[w].theta)) * (1 - sum(x * x for x in pi)))
+    whole = diversity.theta(df.where("win < 2"), []).collect()
+    assert len(whole) == 1 and whole[0].n_sites == 6000 and got[0].theta < whole[0].theta < got[1].theta
+
+
+def test_replicates_are_poisson(spark):
+    sites = spark.range(4000).select(F.lit(1).cast("long").alias("chrom"), F.col("id").alias("site"), F.array(*(F.lit(0.1) for _ in range(10))).alias("gl"))
+    got = {r.replicate: (r.n, r.m, r.v) for r in diversity.replicates(sites, 3, "chrom", "site").groupBy("replicate").agg(F.count("*").alias("n"), (F.sum("weight") / 4000).alias("m"), (F.sum(F.col("weight") * F.col("weight")) / 4000).alias("v")).collect()}
+    assert got[0] == (4000, 1.0, 1.0) and len(got) == 4
+    for k in (1, 2, 3):
+        assert got[k][1] == pytest.approx(1, abs=0.08) and got[k][2] - got[k][1] ** 2 == pytest.approx(1, abs=0.15) and got[k][0] == pytest.approx(4000 * (1 - 1 / np.e), rel=0.05)
 
 
 def test_saf_matches_a_sum_over_all_genotypes(spark):
@@ -66,5 +94,57 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], GL)
     assert models.saf(none).count() == 0 and models.inbreeding_surface(none).count() == 0 and models.to_vcf(views.with_alleles(none), 2).count() == 0
     sites = spark.createDataFrame([], "chrom long, site long, ref int, gl array<double>")
-    assert models.theta_windows(sites, 100).count() == 0
+    assert diversity.theta(sites.withColumn("win", F.lit(0)), ["win"]).count() == 0
     assert sum(r["freq"] for r in models.genotype_mixture(sites, 2).collect()) == 0
+
+
+def test_exact_test_over_populations(spark):
+    from itertools import product
+    from math import factorial
+
+    def chances(n, n_a):
+        b = 2 * n - n_a
+        return {h: 2**h * factorial(n) * factorial(n_a) * factorial(b) / factorial(2 * n) / factorial((n_a - h) // 2) / factorial(h) / factorial((b - h) // 2) for h in range(min(n_a, b) + 1) if (n_a - h) % 2 == 0}
+
+    loci = {10: [(5, 4, 2), (6, 7, 3)], 20: [(5, 4, 0), (6, 7, 5), (3, 3, 1)], 30: [(4, 0, 0)], 40: [(7, 6, 4), (0, 0, 0)], 50: [(6, 7, 1), (5, 4, 4)]}
+    rows = [(1, pos, p, *c) for pos, cs in loci.items() for p, c in enumerate(cs)]
+    got = {r.pos: r for r in population.hwe_populations(spark.createDataFrame(rows, "chrom long, pos long, pop long, n long, n_a long, n_ab long")).collect()}
+    assert set(got) == set(loci)
+    for pos, cs in loci.items():
+        cs = [c for c in cs if c[0]]
+        seen, less, more = sum(c[2] for c in cs), 0.0, 0.0
+        for hs in product(*(chances(n, a).items() for n, a, _ in cs)):
+            p = np.prod([x for _, x in hs])
+            less, more = less + p * (sum(h for h, _ in hs) <= seen), more + p * (sum(h for h, _ in hs) >= seen)
+        assert (got[pos].p_less, got[pos].p_more) == pytest.approx((less, more), abs=2e-6) and got[pos].n_pops == len(cs)
+
+
+def test_incomplete_beta(spark):
+    cases = [(a, b, x) for a in (0.5, 1.0, 2.5, 10.0, 60.0) for b in (0.5, 1.0, 4.0, 30.0) for x in (0.0, 0.01, 0.3, 0.5, 0.77, 0.99, 1.0)]
+    got = spark.createDataFrame(cases, "a double, b double, x double").withColumn("i", models.incomplete_beta(F.col("a"), F.col("b"), F.col("x"))).collect()
+    for r in got:
+        u = np.linspace(0, np.pi / 2, 200_001)  # t = sin^2 u takes the ends' poles away
+        y = 2 * np.sin(u) ** (2 * r.a - 1) * np.cos(u) ** (2 * r.b - 1)
+        y = np.nan_to_num(y, posinf=0)
+        want = np.trapezoid(y[u <= np.arcsin(np.sqrt(r.x)) + 1e-12], u[u <= np.arcsin(np.sqrt(r.x)) + 1e-12]) / np.trapezoid(y, u)
+        assert r.i == pytest.approx(want, abs=2e-4)
+
+
+def test_association_over_populations(spark):
+    rng, rows = np.random.default_rng(8), []
+    traits = {s: float(rng.normal()) for s in range(24)}
+    for pos in range(30):
+        for s in range(24):
+            g = int(traits[s] > 0.2) + int(traits[s] > -0.4) if pos == 0 else int(rng.integers(3))
+            rows.append((1, pos, s, s % 2, *(0 if k == g else 30 for k in range(3))))
+    gl = spark.createDataFrame(rows, "chrom long, pos long, sample long, pop long, pl0 long, pl1 long, pl2 long")
+    df = spark.createDataFrame(list(traits.items()), "sample long, trait double")
+    once = sorted(map(tuple, models.spearman_pooled(gl, df, 99).collect()))
+    assert once == sorted(map(tuple, models.spearman_pooled(gl.repartition(3), df, 99).collect()))
+    got = {r[1]: r for r in once}
+    assert got[0][2:4] == (24, 2) and got[0][5] < 1e-3 and got[0][6] == pytest.approx(0.01)
+    assert all((r[6] is None) == (r[5] >= 0.05) for r in once)
+    flat = spark.createDataFrame([(s, 1.0 if s % 2 else t) for s, t in traits.items()], "sample long, trait double")
+    assert {r.n_pops for r in models.spearman_pooled(gl, flat).collect()} == {1}
+    assert models.spearman(gl, df.withColumn("trait", F.lit(1.0))).count() == 0 and models.spearman_pooled(gl, df.withColumn("trait", F.lit(1.0))).count() == 0
+    assert all(abs(r[6] - r[5]) < 0.08 for r in once if r[6] is not None) and 0 < np.mean([r[5] for r in once[1:]]) < 0.8
