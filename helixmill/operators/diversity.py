@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from helixmill.functions.likelihood import GENOTYPES
 from helixmill.operators.reads import hashed_share
+from helixmill.operators.sized import few
 from helixmill.sources.files import stored
 
 STARTS = tuple(10 ** (-5 + 0.5 * i) for i in range(11))  #: a multiplicative search
-FEW = 100_000  #: windows whose parameters are broadcast
 PI = tuple(f"pi{b}" for b in range(4))
 
 
@@ -30,7 +30,7 @@ def _gl(i: int) -> Column:
 
 
 def _joined(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.join(F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table, keys)
+    return rows.join(few(table), keys)
 
 
 def _maximised(inner: int) -> Column:

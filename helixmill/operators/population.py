@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.operators.binned import before_bins, in_bin, joined, previous, with_bin
+from helixmill.operators.sized import few
 
 LOCUS = ["chrom", "pos"]
 
@@ -54,13 +55,19 @@ def f2(gl: DataFrame) -> DataFrame:
 
 
 def f2_populations(gl: DataFrame) -> DataFrame:
-    """Mean of the samples' f2 within and between populations; two samples without a common locus count as 0."""
+    """Mean of the samples' f2 within and between populations; two samples without a common locus count as 0.
+
+    How many pairs there are follows from the populations' sizes, so only pairs with a common locus are rows.
+    """
     samples = gl.select("sample", "pop").distinct()
     one, two = (samples.select(F.col("sample").alias(f"s{k}"), F.col("pop").alias(f"p{k}")) for k in (1, 2))
-    pairs = one.join(F.broadcast(two), F.col("s1") < F.col("s2"))  # of samples, not of rows
-    rows = pairs.join(f2(gl).select("s1", "s2", "f2"), ["s1", "s2"], "left").withColumn("f2", F.coalesce("f2", F.lit(0.0)))
-    rows = rows.groupBy(F.least("p1", "p2").alias("pop1"), F.greatest("p1", "p2").alias("pop2"))
-    return rows.agg(F.count("*").alias("n_pairs"), F.round(F.avg("f2"), 6).alias("f2"))
+    rows = f2(gl).select("s1", "s2", "f2").join(one, "s1").join(two, "s2")
+    sums = rows.groupBy(F.least("p1", "p2").alias("pop1"), F.greatest("p1", "p2").alias("pop2")).agg(F.sum("f2").alias("_f2"))
+    sizes = samples.groupBy("pop").agg(F.count("*").alias("n"))
+    a, b = (few(sizes).select(F.col("pop").alias(f"pop{k}"), F.col("n").alias(f"_n{k}")) for k in (1, 2))
+    n = F.when(F.col("pop1") == F.col("pop2"), F.expr("_n1 * (_n1 - 1) div 2")).otherwise(F.expr("_n1 * _n2"))
+    pairs = a.join(b, F.col("pop1") <= F.col("pop2")).withColumn("n_pairs", n).where("n_pairs > 0")  # of populations
+    return pairs.join(sums, ["pop1", "pop2"], "left").select("pop1", "pop2", "n_pairs", F.round(F.coalesce("_f2", F.lit(0.0)) / F.col("n_pairs"), 6).alias("f2"))
 
 
 def thin_loci(gl: DataFrame, distance: int) -> DataFrame:

@@ -217,4 +217,4 @@ def estimate(bases: DataFrame, model: Model, table: list[list[float]] | None = N
 def _every_distance(new: DataFrame, before: list[tuple[int, int, float]]) -> DataFrame:
     """The new damage, and the one before at distances without bases."""
     old = new.sparkSession.createDataFrame(before, "kind int, dist long, _old double")
-    return old.join(F.broadcast(new), ["kind", "dist"], "left").select("kind", "dist", F.coalesce("psi", "_old").alias("psi"))
+    return old.join(new, ["kind", "dist"], "left").select("kind", "dist", F.coalesce("psi", "_old").alias("psi"))

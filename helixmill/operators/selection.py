@@ -158,7 +158,7 @@ def pooled_groups(reads: DataFrame, pools: DataFrame) -> DataFrame:
     """Adds pool: that of the read's group, or the group itself. A group that is in two pools is an error."""
     twice = pools.groupBy("rg").agg(F.count_distinct("pool").alias("_n")).where("_n > 1")
     wrong = F.raise_error(F.concat(F.lit("a read group in two pools: "), F.col("rg")))
-    checked = pools.distinct().join(F.broadcast(twice), "rg", "left").select("rg", F.when(F.col("_n").isNotNull(), wrong.cast("string")).otherwise(F.col("pool")).alias("_pool"))
+    checked = pools.distinct().join(twice, "rg", "left").select("rg", F.when(F.col("_n").isNotNull(), wrong.cast("string")).otherwise(F.col("pool")).alias("_pool"))
     return reads.join(checked, "rg", "left").withColumn("pool", F.coalesce("_pool", "rg")).drop("_pool")
 
 

@@ -223,7 +223,7 @@ def theta_surface(sites: DataFrame, size: int, steps: int = 5) -> DataFrame:
 
 def mutation_load(sites: DataFrame, iterations: int = 3) -> DataFrame:
     """EM for the weights of four classes against the preferred base: homozygous for it, heterozygous with it, homozygous
-    for another, heterozygous for others. Equal rows are counted once; each step is one aggregate of four sums."""
+    for another, heterozygous for others. Each step is one aggregate of four sums."""
     kinds = lambda r: [0 if a == b == r else 1 if r in (a, b) else 2 if a == b else 3 for a, b in GENOTYPES]
     share = (1.0, 3.0, 3.0, 3.0)
     sums = []

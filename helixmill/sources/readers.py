@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from helixmill.operators.alignment import LETTERS, cigar_text, code, length, parsed_cigar
 from helixmill.operators.binned import before_bins, in_bin, joined
+from helixmill.operators.sized import few
 
 
 def letter(base: Column) -> Column:
@@ -29,14 +30,9 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").text(path)
 
 
-def _few(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """df, broadcast where it has at most so many rows; else left to a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def numbered(rows: DataFrame, chroms: DataFrame, name: str = "chrom", number: str = "number") -> DataFrame:
     """rows with the number of their chromosome, null for one that the dictionary lacks."""
-    return rows.join(_few(chroms.select(F.col("chrom").alias(name), F.col("number").alias(number))), name, "left")
+    return rows.join(few(chroms.select(F.col("chrom").alias(name), F.col("number").alias(number))), name, "left")
 
 
 def write_alignments(reads: DataFrame, chroms: DataFrame, groups: DataFrame, path: str) -> None:

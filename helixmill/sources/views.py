@@ -97,7 +97,7 @@ def bases(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 
 
 def pairs_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two mates of each order: the first forward, the second reverse."""
+    """Two mates of each order, its first two lines: the first forward, the second reverse. A pair has no third mate."""
     return load(spark, sf_dir, "lineitem").where("l_linenumber < 3").selectExpr(
         "l_orderkey AS name",
         "l_returnflag AS rg",
