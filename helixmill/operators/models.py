@@ -49,12 +49,30 @@ def hky85_posterior(sites: DataFrame, mu: float, theta_r: float, theta_g: float)
     return rows.select(*SITE, "ref", (F.array_position("post", F.array_max("post")) - 1).cast("long").alias("genotype"), F.round(het, 6).alias("p_het"))
 
 
-def hky85(sites: DataFrame, iterations: int = 5) -> DataFrame:
-    """EM for (mu, theta_r, theta_g): forty posterior sums a step; the driver climbs their expected log likelihood in logit space."""
-    rows, at, lls = sites.select("ref", "gl").persist(), np.array([0.5, 1e-3, 1e-4]), []
+def prior_mstep(sums: np.ndarray, at: np.ndarray, least: float = 1e-4) -> np.ndarray:
+    """(mu, theta_r, theta_g) that make 4 x 10 sums of genotype posteriors by reference most likely: a climb in logit space from at."""
     logit, back = lambda x: np.log(x / (1 - x)), lambda y: 1 / (1 + np.exp(-y))
+    y, step = logit(np.asarray(at, float)), 1.0
+    score = lambda v: float((sums * np.log(np.maximum(substitution_table(*back(v)), 1e-300))).sum())
+    best = score(y)
+    while step > least:
+        tries = [y + s * step * np.eye(3)[k] for k in range(3) for s in (-1, 1)]
+        scores = [score(v) for v in tries]
+        if max(scores) > best:
+            best, y = max(scores), tries[int(np.argmax(scores))]
+        else:
+            step /= 2
+    return back(y)
+
+
+def hky85(sites: DataFrame, iterations: int = 200, min_gain: float = 1e-6) -> DataFrame:
+    """EM for (mu, theta_r, theta_g), until the log likelihood rises by less than min_gain: forty posterior sums a step.
+
+    A row for each step: the ll of the parameters that it began with, and those at the end.
+    """
+    rows, at, out = sites.select("ref", "gl").where("ref BETWEEN 0 AND 3").persist(), np.array([0.5, 1e-3, 1e-4]), []
     try:
-        for _ in range(iterations):
+        for t in range(iterations):
             table = substitution_table(*at).tolist()
             prior = F.element_at(F.array(*(F.array(*map(F.lit, row)) for row in table)), (F.col("ref") + 1).cast("int"))
             w = rows.withColumn("w", F.zip_with("gl", prior, lambda g, p: g * p)).withColumn("t", F.aggregate("w", F.lit(0.0), lambda a, x: a + x))
@@ -62,22 +80,14 @@ def hky85(sites: DataFrame, iterations: int = 5) -> DataFrame:
             sums = np.zeros((4, 10))
             for r in got:
                 sums[r["ref"]] = [r[f"s{i}"] for i in range(10)]
-            lls.append(sum(r["ll"] for r in got))
-            y, step = logit(at), 1.0
-            score = lambda v: float((sums * np.log(np.maximum(substitution_table(*back(v)), 1e-300))).sum())  # noqa: E731, B023
-            best = score(y)
-            while step > 1e-4:
-                tries = [y + s * step * np.eye(3)[k] for k in range(3) for s in (-1, 1)]
-                scores = [score(v) for v in tries]
-                if max(scores) > best:
-                    best, y = max(scores), tries[int(np.argmax(scores))]
-                else:
-                    step /= 2
-            at = back(y)
+            ll = float(sum(r["ll"] for r in got))
+            if out and ll - out[-1][1] < min_gain:
+                break
+            at = prior_mstep(sums, at)
+            out.append((t, ll, *map(float, at)))
     finally:
         rows.unpersist()
-    steps = [(i, float(x), *map(float, at)) for i, x in enumerate(lls)]
-    return sites.sparkSession.createDataFrame(steps, "step int, ll double, mu double, theta_r double, theta_g double")
+    return sites.sparkSession.createDataFrame(out, "step int, ll double, mu double, theta_r double, theta_g double")
 
 
 def _samples(gl: DataFrame) -> DataFrame:

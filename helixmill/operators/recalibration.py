@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions.likelihood import GENOTYPES, scaled_ten
 from helixmill.operators import inference
-from helixmill.operators.models import substitution_table
+from helixmill.operators.models import prior_mstep, substitution_table
 
 SITE = ["chrom", "site"]
 #: Columns of bases and their greatest values: the base sequenced before (4: none), whole log2 of the fragment's length, mapping quality, distance from the five-prime end, quality.
@@ -180,27 +180,33 @@ def fitted(rows: DataFrame, model: Model, steps: int = 20, halvings: int = 16, l
     return model, q
 
 
-def estimate(bases: DataFrame, model: Model, table: list[list[float]] | None = None, max_iterations: int = 20, min_delta_ll: float = 1e-3, dists: int = 20) -> tuple[Model, list[list[float]], DataFrame]:
-    """EM for the error rates, what misread bases are read as, and the damage by distance, until the likelihood rises by less than min_delta_ll.
+def estimate(bases: DataFrame, model: Model, prior: tuple[float, float, float] = (0.5, 0.001, 0.01), fit_prior: bool = True, max_iterations: int = 20, min_delta_ll: float = 1e-3, dists: int = 20) -> tuple[Model, list[list[float]], DataFrame]:
+    """EM for the error rates, what misread bases are read as, the damage by distance, and the prior of genotypes given the
+    reference (mu, theta_r, theta_g of the substitution model), until the likelihood rises by less than min_delta_ll.
 
-    bases: chrom, site, ref, base, is_rev and the covariates. table is P(genotype | reference). Returns the model, rho, and a
-    row for each step: step, ll (of the parameters that it began with), psi_ct and psi_ga at the end. Each step is the E-step
-    over all bases, and an aggregate for the damage, rho, and the tuples; only those few rows reach the driver.
+    bases: chrom, site, ref, base, is_rev and the covariates. Returns the model, rho, and a row for each step: step, ll (of
+    the parameters that it began with), psi_ct, psi_ga and the prior at the end. Each step is the E-step over all bases, and
+    an aggregate for the prior (four rows), the damage, rho, and the tuples; only those few rows reach the driver.
     """
     spark = bases.sparkSession
-    table = table or substitution_table(0.5, 0.001, 0.01).tolist()
     rho, psi, out, last = [[0.0 if a == b else 1 / 3 for b in range(4)] for a in range(4)], [(k, d, 0.1 * exp(-0.2 * d) + 0.001) for k in (0, 1) for d in range(dists + 1)], [], None
     rows = bases.where("base < 4").select(*SITE, "ref", "base", "is_rev", *COVARIATES, F.least("position", F.lit(dists)).alias("d5"), F.col("quality").alias("qual"))
     for t in range(max_iterations):
         by = {k: F.array(*(F.lit(float(p)) for kind, _, p in psi if kind == k)) for k in (0, 1)}
         damaged = F.when(F.col("is_rev") == 1, F.element_at(by[1], (F.col("d5") + 1).cast("int"))).otherwise(F.element_at(by[0], (F.col("d5") + 1).cast("int")))
-        held, sites = inference.expected(rows.withColumns({"eps": rate(model), "psi": damaged}), table, rho, tuple(COVARIATES))
+        held, sites = inference.expected(rows.withColumns({"eps": rate(model), "psi": damaged}), substitution_table(*prior).tolist(), rho, tuple(COVARIATES))
         held = held.persist()
         try:
-            ll = float(sites.agg(F.sum("ll")).first()[0] or 0.0)
+            by_ref = sites.groupBy("ref").agg(F.sum("ll").alias("ll"), *(F.sum(f"_p{i}").alias(f"_p{i}") for i in range(10))).collect()
+            ll = float(sum(r["ll"] for r in by_ref))
             if last is not None and ll - last < min_delta_ll:
                 break
             last, psi = ll, sorted((r.kind, r.dist, r.psi) for r in _every_distance(inference.damage_mstep(held), psi).collect())
+            if fit_prior and by_ref:
+                sums = np.zeros((4, 10))
+                for r in by_ref:
+                    sums[r["ref"]] = [r[f"_p{i}"] for i in range(10)]
+                prior = tuple(map(float, prior_mstep(sums, np.array(prior))))
             for r in inference.rho_mstep(held).collect():
                 rho[r.was][r.read] = r.rho
             right = sum((F.when(F.col("base") == k, inference.after_damage(k)).otherwise(0.0) for k in range(4)), F.lit(0.0))
@@ -210,8 +216,8 @@ def estimate(bases: DataFrame, model: Model, table: list[list[float]] | None = N
         finally:
             held.unpersist()
         at = {k: p for k, d, p in psi if d == 0}
-        out.append((t, ll, at[0], at[1]))
-    return model, rho, spark.createDataFrame(out, "step int, ll double, psi_ct double, psi_ga double")
+        out.append((t, ll, at[0], at[1], *prior))
+    return model, rho, spark.createDataFrame(out, "step int, ll double, psi_ct double, psi_ga double, mu double, theta_r double, theta_g double")
 
 
 def _every_distance(new: DataFrame, before: list[tuple[int, int, float]]) -> DataFrame:

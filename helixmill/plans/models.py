@@ -50,7 +50,7 @@ def hky85_posterior(s, d):
 
 @query()
 def hky85(s, d):
-    return models.hky85(_likelihoods(s, d))
+    return models.hky85(_likelihoods(s, d), 30, 1e-3)
 
 
 def _windows(s, d):

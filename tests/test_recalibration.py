@@ -102,17 +102,20 @@ def test_estimation_climbs_and_stops(spark):
     rng, rows, truth = np.random.default_rng(4), [], Model(0.0, (Term("quality", "polynomial", (0.6,)), Term("position", "polynomial", (0.0,))))
     for site in range(1500):
         ref = int(rng.integers(4))
+        held = ref if rng.random() > 0.1 else (ref + 2) % 4  # a tenth of the sites are substituted
         for _ in range(8):
             c = (int(rng.integers(5)), 5, 30, int(rng.integers(10)), int(rng.integers(10, 30)))
-            base = ref
+            base = held
             if rng.random() < by_hand(truth, c):
-                base = (ref + 2) % 4 if rng.random() < 0.8 else int((ref + rng.choice([1, 3])) % 4)
+                base = (held + 2) % 4 if rng.random() < 0.8 else int((held + rng.choice([1, 3])) % 4)
             rows.append((1, site, ref, base, 0, *c))
     df = spark.createDataFrame(rows, "chrom long, site long, ref long, base long, is_rev int, context int, fragment int, mapping int, position int, quality int")
     start = Model(0.0, (Term("quality", "polynomial", (1.0,)),))
     model, rho, steps = recalibration.estimate(df, start, max_iterations=6, min_delta_ll=0.5)
-    lls = [r.ll for r in steps.orderBy("step").collect()]
+    got = steps.orderBy("step").collect()
+    lls = [r.ll for r in got]
     assert lls == sorted(lls) and len(lls) > 1
     assert by_hand(model, (0, 5, 30, 0, 20)) == pytest.approx(by_hand(truth, (0, 5, 30, 0, 20)), rel=0.25)
     assert all(sum(row) == pytest.approx(1) for row in rho) and rho[0][2] > 0.5
+    assert 0.05 < got[-1].theta_r < 0.25 and got[-1].mu > 0.8
     assert recalibration.estimate(df, start, max_iterations=6, min_delta_ll=1e9)[2].count() == 1
