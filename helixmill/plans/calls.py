@@ -202,7 +202,7 @@ def het_imbalance(s, d):
     return population.het_imbalance(views.genotypes(s, d), [0, 10, 20])
 
 
-@query(f"WITH {sql.GL} SELECT DISTINCT chrom, pos, 'A' AS ref, 'C' AS alt FROM gl")
+@query(f"WITH {sql.GL} SELECT DISTINCT ['chr1', '2', 'chrX'][CAST(chrom AS INT)] AS chrom, pos, {sql.LOCUS_REF} AS ref, {sql.LOCUS_ALT} AS alt FROM gl")
 def to_posfile(s, d):
     """Places and alleles of the loci of a file of calls."""
     return _calls(s, d).select("chrom", "pos", "ref", "alt").distinct()
