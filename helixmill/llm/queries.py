@@ -13,17 +13,20 @@ SLOP = 2  #: words that each word of a window may be away from its place, for n_
 
 
 def op1_warc_segments(spark, sf_dir):
+    """Archives of all pages, written and read back: a row for each page."""
     path = f"{shared_dir(spark)}-warc"
     warc.write(table(spark, sf_dir, "pages"), path)
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_benchmark_decontamination(spark, sf_dir):
+    """Words of each document inside windows of 13 words of the benchmark, and items with a window nearby."""
     index = positional_index.build(table(spark, sf_dir, "documents"))
     return positional_index.contamination(positional_index.search(index, table(spark, sf_dir, "benchmark"), slop=SLOP))
 
 
 def op3_quality_rules(spark, sf_dir):
+    """Counts and verdict of each document; the strata are languages."""
     docs = table(spark, sf_dir, "documents").withColumn("stratum", F.col("lang"))
     features = stored(quality.with_counts(docs, ["doc_id", "stratum"]))
     rows = quality.judged(features, quality.calibrate(features, table(spark, sf_dir, "labels")))
@@ -31,11 +34,13 @@ def op3_quality_rules(spark, sf_dir):
 
 
 def op4_simhash_near_dedup(spark, sf_dir):
+    """Fingerprint and component of each document."""
     rows = simhash.duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
 
 
 def op5_secret_scan(spark, sf_dir):
+    """Secrets of each document as spans of code points, those of the base kinds counted and digested apart."""
     found = secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"])
     base = [r.kind for r in secrets.BASE]
     said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -45,37 +50,45 @@ def op5_secret_scan(spark, sf_dir):
 
 
 def op6_suffix_dedup(spark, sf_dir):
+    """Bytes of each document that also stand in a document of a smaller id, removed."""
     rows = suffix_dedup.spans_removed(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
     return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
 def op7_balanced_shards(spark, sf_dir):
+    """Shard and slot of each document under the law of equal row counts."""
     return sharding.assigned(table(spark, sf_dir, "documents"))
 
 
 def op8_token_counts(spark, sf_dir):
+    """Tokens of each document by the word vocabulary."""
     return token_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op9_prefix_bpe(spark, sf_dir):
+    """Ids of each document by the byte vocabulary, and what they decode to, as digests."""
     return prefix_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_language_id(spark, sf_dir):
+    """Predicted language of each document, by a network fitted outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
     return language.predicted(docs, language.train(docs))
 
 
 def op11_collocations(spark, sf_dir):
+    """The first 2000 phrases of each language."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
 def op12_embedding_near_dedup(spark, sf_dir):
+    """Links and component of each vector, and whether it stays."""
     return projection_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op13_ranked_search(spark, sf_dir):
+    """The ten best documents of each benchmark item."""
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
