@@ -4,8 +4,9 @@ Features of every text are computed in one narrow pass. Labelled documents then
 cut-offs of all rules may be tightened: one sequence of steps, each of which tightens one rule, goes from no rule on, and
 after each step the exact binomial tail must show that the rules together reject less than ``alpha`` of the good
 documents. The sequence is drawn up from the bad documents alone, so it is fixed for the good ones, and going on only
-while tests succeed keeps the error of a stratum at its level (fixed-sequence testing), ``delta / strata`` (Bonferroni).
-So with probability ``1 - delta`` no stratum loses more than the share ``alpha`` of its good documents to the rules. Bad
+while tests succeed keeps the error of a stratum at its level (fixed-sequence testing). Levels start at ``delta / strata``
+(Bonferroni), and a stratum whose whole sequence is proved passes its level on to the others in equal parts, until none
+ends any more: what is left of ``delta`` is shared by those with steps still to prove (a Holm procedure over sequences). So with probability ``1 - delta`` no stratum loses more than the share ``alpha`` of its good documents to the rules. Bad
 labels choose the steps and good labels prove them, so what proves a cut-off has had no part in its choice.
 
 A stratum of fewer than ``least_good(strata)`` good documents can't pass any test by itself. All such strata are one
@@ -143,20 +144,37 @@ def sequence(first: dict[str, np.ndarray], bad: np.ndarray) -> Iterator[tuple[st
         yield rule, step
 
 
-def chosen(cells: pd.DataFrame, alpha: float, level: float) -> pd.DataFrame:
-    """Of the cells of a stratum or the pool (a first step for each rule, good, bad): a cut-off for each rule that may be used.
+def steps(cells: pd.DataFrame, alpha: float, delta: float) -> pd.DataFrame:
+    """Of the cells of a stratum or the pool (a first step for each rule, good, bad): a row for each step of its sequence.
 
-    good_out and bad_out are those of the rule alone; a document may be rejected by several.
+    needed is the level at which the step and all before it are proved; steps that even delta doesn't prove are left out.
+    The row without a rule has the level at which the sequence ends. good_out and bad_out are those of the rule alone; a
+    document may be rejected by several.
     """
     first, good, bad = {r: cells[r].to_numpy() for r in RULES}, cells["good"].to_numpy(), cells["bad"].to_numpy()
-    n, at, out = int(good.sum()), {}, np.zeros(len(cells), bool)
+    n, needed, out, rows = int(good.sum()), 0.0, np.zeros(len(cells), bool), []
     for rule, step in sequence(first, bad):
         out = out | (first[rule] <= step)
-        if binomial_tail(int(good[out].sum()), n, alpha) > level:
+        needed = max(needed, binomial_tail(int(good[out].sum()), n, alpha))
+        if needed > delta:
             break
-        at[rule] = step
-    rows = [(r, RULES[r][2][k], n, int(good[first[r] <= k].sum()), int(bad[first[r] <= k].sum())) for r, k in at.items()]
-    return pd.DataFrame(rows, columns=["rule", "cutoff", "good", "good_out", "bad_out"]).assign(pooled=cells["pooled"].iloc[0], alone=cells["alone"].iloc[0])
+        rule_out = first[rule] <= step
+        rows.append((rule, RULES[rule][2][step], n, int(good[rule_out].sum()), int(bad[rule_out].sum()), needed))
+    rows.append((None, None, n, 0, 0, needed))
+    out = pd.DataFrame(rows, columns=["rule", "cutoff", "good", "good_out", "bad_out", "needed"])
+    return out.assign(pooled=cells["pooled"].iloc[0], alone=cells["alone"].iloc[0])
+
+
+def passed_on(needed: list[float], delta: float = 0.05) -> float:
+    """The level of each sequence that is not at its end, once those at their ends have passed theirs on."""
+    left = len(needed)
+    for level in sorted(needed):
+        if level > delta / left:
+            break
+        left -= 1
+        if not left:
+            break
+    return delta / max(1, left)
 
 
 def calibrate(features: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
@@ -164,7 +182,8 @@ def calibrate(features: DataFrame, labels: DataFrame, alpha: float = 0.01, delta
 
     Null labels and null ids are left out; a document labelled more than once counts as bad if any label says so.
     A null stratum is a stratum of its own; one without labels has no verdict. Without labels the result is empty: no
-    rule may reject anything. Strata that share the pool's cut-offs have a row each, with the pool's counts.
+    rule may reject anything. Strata that share the pool's cut-offs have a row each, with the pool's counts; where pooled is
+    true and several strata are, none of them has a bound of its own.
     """
     reachable(features.sparkSession)
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_good"))
@@ -182,11 +201,13 @@ def calibrate(features: DataFrame, labels: DataFrame, alpha: float = 0.01, delta
     need = least_good(max(1, strata.count()), alpha, delta)
     strata = strata.select(F.col("stratum").alias("_member"), (F.col("_n") < need).alias("pooled"), F.when(F.col("_n") >= need, F.col("stratum")).alias("alone"))
     strata = small(strata)
-    level = delta / max(1, strata.select("pooled", "alone").distinct().count())
     groups = cells.join(strata, F.col("stratum").eqNullSafe(F.col("_member"))).groupBy("pooled", "alone", *RULES)
-    schema = "rule string, cutoff double, good long, good_out long, bad_out long, pooled boolean, alone string"
-    cuts = groups.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).groupBy("pooled", "alone").applyInPandas(lambda x: chosen(x, alpha, level), schema)
-    cuts = cuts.withColumnsRenamed({"pooled": "_p", "alone": "_a"})
+    schema = "rule string, cutoff double, good long, good_out long, bad_out long, needed double, pooled boolean, alone string"
+    groups = groups.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).groupBy("pooled", "alone")
+    tried = stored(groups.applyInPandas(lambda x: steps(x, alpha, delta), schema))  # 35 rows a stratum at most
+    level = passed_on(tried.where("rule IS NULL").agg(F.collect_list("needed")).first()[0], delta)  # a number a stratum
+    cuts = tried.where(F.col("rule").isNotNull() & (F.col("needed") <= level)).groupBy(F.col("pooled").alias("_p"), F.col("alone").alias("_a"), "rule")
+    cuts = cuts.agg(F.min("cutoff").alias("cutoff"), *(F.max(c).alias(c) for c in ("good", "good_out", "bad_out")))
     same = (F.col("_p") == F.col("pooled")) & F.col("_a").eqNullSafe(F.col("alone"))
     return cuts.join(strata, same).select(F.col("_member").alias("stratum"), "rule", "cutoff", "pooled", "good", "good_out", "bad_out")
 
