@@ -26,6 +26,14 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys over as many tasks as a shuffle has, for folds that cost time and not bytes: no rule by size may merge them.
+
+    A grouping by the same keys that follows needs no other exchange.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def credible_intervals(gl: DataFrame, alpha: float = 0.7, beta: float = 0.7, interval: float = 0.9, coarse: int = 101, fine: int = 1001, below: float = 14.0) -> DataFrame:
     """Likeliest allele frequency of each locus and population, and the credible interval grown from it.
 
@@ -36,7 +44,7 @@ def credible_intervals(gl: DataFrame, alpha: float = 0.7, beta: float = 0.7, int
     has the likelihoods of its two alleles in pl0 and pl2. Densities are rounded to nine places before they are compared.
     """
     haploid = F.col("ploidy") == 1 if "ploidy" in gl.columns else F.lit(False)
-    rows = likelihoods(gl).groupBy(*LOCUS, "pop").agg(F.array_sort(F.collect_list(F.struct("sample", "l0", "l1", "l2", haploid.alias("one")))).alias("_s"))
+    rows = dealt(likelihoods(gl), *LOCUS, "pop").groupBy(*LOCUS, "pop").agg(F.array_sort(F.collect_list(F.struct("sample", "l0", "l1", "l2", haploid.alias("one")))).alias("_s"))
 
     def log_density(f: Column) -> Column:
         q = 1 - f
@@ -103,8 +111,8 @@ def pair_frequencies(sites: DataFrame, sample: str, min_maf: float = 0.0, least_
     ones. Haploid samples have an allele frequency and diploid ones three genotype frequencies, which start at the shares of
     likeliest genotypes (1e-6 at least). Returned per site: allele_pair, major and minor allele (the second of the pair is major
     from one half on), maf over all copies, log10 likelihood ll, steps, and state: ``still`` if no frequency moved by
-    least_change, ``rare`` if it stopped as even a move by the greatest change could not lift maf to min_maf (checked at half of
-    min_maf before the first step), else ``moving``. Likelihoods are rounded to nine places before they are compared.
+    least_change, ``rare`` if it stopped as another move as great could not lift maf to min_maf (before the first step, if maf is
+    below half of it), else ``moving``. That rule saves steps and is no proof: many small moves might have lifted it. Likelihoods are rounded to nine places before they are compared.
     """
     at = {g: i + 1 for i, g in enumerate(GENOTYPES)}
     haploid = F.col("ploidy") == 1 if "ploidy" in sites.columns else F.lit(False)
@@ -188,7 +196,7 @@ def _fitted(rows: DataFrame, steps: int) -> DataFrame:
 
 
 def _by_locus(gl: DataFrame) -> DataFrame:
-    return likelihoods(gl).groupBy(*LOCUS).agg(F.array_sort(F.collect_list(F.struct("sample", "l0", "l1", "l2"))).alias("_s"))
+    return dealt(likelihoods(gl), *LOCUS).groupBy(*LOCUS).agg(F.array_sort(F.collect_list(F.struct("sample", "l0", "l1", "l2"))).alias("_s"))
 
 
 def inbreeding_loci(gl: DataFrame, f: float, steps: int = 50) -> DataFrame:

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from helixmill.operators import sites
-from helixmill.plans import alignments, calls, catalog, inference, loci, models, scans, selection  # noqa: F401
+from helixmill.plans import alignments, calls, catalog, estimates, inference, loci, models, scans, selection  # noqa: F401
 from helixmill.plans.registry import ORACLES, QUERIES
 from helixmill.sources import views
 
