@@ -151,10 +151,11 @@ def merge_read_groups(reads: DataFrame, merges: dict[str, list[str]]) -> DataFra
 
 
 def hashed_share(*keys: str, seed: int = 0) -> Column:
-    """A number in [0, 1) drawn from keys by arithmetic that every engine shares."""
+    """A number in [0, 1) drawn from keys by arithmetic that every engine shares; a key that is no whole number counts by its hash."""
     h = F.lit(seed).cast("long")
     for k in keys:
-        h = F.pmod(h * 48271 + F.col(k) * 69621 + 12345, F.lit(2147483647))
+        number = F.when(F.col(k).isNotNull(), F.coalesce(F.col(k).try_cast("long"), F.pmod(F.xxhash64(k), F.lit(2147483647))))
+        h = F.pmod(h * 48271 + number * 69621 + 12345, F.lit(2147483647))
     return F.pmod(h * 16807, F.lit(2147483647)) / 2147483647.0
 
 

@@ -8,6 +8,7 @@ import pytest
 from helixmill.functions.likelihood import GENOTYPES
 from helixmill.operators import estimates, mates
 from helixmill.operators.loci import PAIRS
+from helixmill.operators.reads import downsample_reads, split_reads
 
 GL = "chrom long, pos long, sample long, pop long, pl0 long, pl1 long, pl2 long, ploidy int"
 AT = {g: i for i, g in enumerate(GENOTYPES)}
@@ -160,3 +161,10 @@ def test_states_of_mates(spark):
     assert state(regions) == plain | {25: "masked", 26: "masked", 27: "masked"}  # a pair goes though one mate alone overlaps
     assert state(regions, True) == plain | dict.fromkeys((1, 2, 13, 14, 22), "masked")
     assert state(regions, False, 1.0) == plain and mates.mate_states(reads.limit(0), regions).count() == 0
+
+
+def test_draws_by_any_name(spark):
+    rows = spark.createDataFrame([(f"SRR1.{i}", i) for i in range(2000)] * 2, "name string, read_id long")
+    kept = [r.name for r in split_reads(rows, [0.3]).where("part = 0").select("name").collect()]
+    assert len(kept) == 2 * len(set(kept)) and 0.25 < len(kept) / 4000 < 0.35
+    assert {r.n for r in downsample_reads(rows, [0.5]).groupBy("name").count().withColumnRenamed("count", "n").collect()} == {2}
