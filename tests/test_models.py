@@ -148,3 +148,32 @@ def test_association_over_populations(spark):
     assert {r.n_pops for r in models.spearman_pooled(gl, flat).collect()} == {1}
     assert models.spearman(gl, df.withColumn("trait", F.lit(1.0))).count() == 0 and models.spearman_pooled(gl, df.withColumn("trait", F.lit(1.0))).count() == 0
     assert all(abs(r[6] - r[5]) < 0.08 for r in once if r[6] is not None) and 0 < np.mean([r[5] for r in once[1:]]) < 0.8
+
+
+def test_association_rounds_exact_halves_up(spark, monkeypatch):
+    from fractions import Fraction
+
+    from helixmill.plans import models as plans
+
+    traits = [2, 2, 3, 4, 0, 0, 4, 4, 1, 1, 4, 2, 1, 4, 1, 2, 3, 2, 0, 0, 4, 3, 4, 2]
+    loci = {1: [[2, 2, 2, 0, 0, 0], [2, 1, 1, 0, 1, 0]], 2: [[2, 0, 1, 1, 2, 0], [0, 2, 1]], 3: [[0, 0, 0, 2], [2, 0, 0, 1, 0, 1], [1, 0, 0, 0, 0]], 4: [[0, 1, 1, 1, 2, 2]]}
+
+    def around(v):
+        return [2 * sum(b < a for b in v) + sum(b == a for b in v) - len(v) for a in v]
+
+    def exact(pops):
+        e, n = Fraction(0), sum(map(len, pops))
+        for p, gs in enumerate(pops):
+            x, y = around(gs), around(traits[p :: 4][: len(gs)])
+            e += (len(gs) - 1) * Fraction(sum(a * b for a, b in zip(x, y)) ** 2, sum(a * a for a in x) * sum(b * b for b in y))
+        return e / (n - len(pops) - e) * (n - len(pops)) / len(pops)
+
+    want = {pos: exact(pops) for pos, pops in loci.items()}
+    assert [want[pos] for pos in (1, 2, 3)] == [Fraction(95, 32), Fraction(273, 160), Fraction(25, 32)]
+    rows = [(1, pos, 4 * i + p, p, *(0 if k == g else 60 for k in range(3))) for pos, pops in loci.items() for p, gs in enumerate(pops) for i, g in enumerate(gs)]
+    gl = spark.createDataFrame(rows, "chrom long, pos long, sample long, pop long, pl0 long, pl1 long, pl2 long")
+    monkeypatch.setattr(plans, "_traits", lambda *_: spark.createDataFrame(list(enumerate(traits)), "sample long, trait long"))
+    for given in (gl, gl.orderBy(F.desc("sample")), gl.repartition(3)):
+        monkeypatch.setattr(views, "genotypes", lambda *_: given)
+        got = {r.pos: r.f for r in plans.spearman_pooled(spark, "").collect()}
+        assert got == {pos: float(Fraction(int(f * 10000 + Fraction(1, 2)), 10000)) for pos, f in want.items()}
