@@ -270,9 +270,11 @@ def compare_calls(a: DataFrame, b: DataFrame, call: str = "call", missing: str =
 def allele_freq_mixed(gl: DataFrame, iterations: int = 3) -> DataFrame:
     """EM for the allele frequency of each locus and population where samples are haploid or diploid (column ploidy).
 
-    A haploid sample's likelihoods are those of its two alleles, l0 and l2.
+    A haploid sample's likelihoods are those of its two alleles, l0 and l2; only their ratio counts, so the greater is 1 and
+    neither is lost where both are far below l1.
     """
-    rows = likelihoods(gl).groupBy(*LOCUS, "pop").agg(F.array_sort(F.collect_list(F.struct("sample", "ploidy", "l0", "l1", "l2"))).alias("_s"), F.sum("ploidy").alias("_n"))
+    two = {f"l{k}": F.when(F.col("ploidy") == 1, F.pow(F.lit(10.0), (F.least("pl0", "pl2") - F.col(f"pl{k}")) / 10)).otherwise(F.col(f"l{k}")) for k in (0, 2)}
+    rows = likelihoods(gl).withColumns(two).groupBy(*LOCUS, "pop").agg(F.array_sort(F.collect_list(F.struct("sample", "ploidy", "l0", "l1", "l2"))).alias("_s"), F.sum("ploidy").alias("_n"))
 
     def step(f: Column) -> Column:
         def dose(s: Column) -> Column:
