@@ -180,7 +180,14 @@ def _inbred(s: Column, p: Column, f: Column) -> list[Column]:
 
 
 def _fitted(rows: DataFrame, steps: int) -> DataFrame:
-    """Adds p, each locus's allele frequency under the coefficient f of its row, and the log likelihoods there and without minor alleles."""
+    """Adds p, each locus's allele frequency under the coefficient f of its row, and the log likelihoods there and without minor alleles.
+
+    A likelihood below the least double is 0, its logarithm in g0 or g2 is not. With f = 1 heterozygotes don't count, and
+    the greater of the two others is the scale.
+    """
+    whole, top = F.col("f") == 1, lambda s: F.greatest(s["g0"], s["g2"])
+    scaled = lambda s, k: F.when(whole, F.exp(s[f"g{k}"] - top(s)) if k != 1 else F.lit(0.0)).otherwise(s[f"l{k}"]).alias(f"l{k}")
+    rows = rows.withColumn("_s", F.transform("_s", lambda s: F.struct(s["sample"].alias("sample"), *(scaled(s, k) for k in range(3)), s["g0"].alias("g0"), s["g2"].alias("g2"), F.when(whole, top(s)).otherwise(0.0).alias("scale"))))
 
     def step(p: Column, _: Column) -> Column:
         def add(t: Column, s: Column) -> Column:
@@ -189,14 +196,16 @@ def _fitted(rows: DataFrame, steps: int) -> DataFrame:
 
         return F.aggregate("_s", F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("n")), add, lambda t: t["x"] / t["n"])
 
-    ll = lambda p: F.aggregate("_s", F.lit(0.0), lambda t, s: t + F.ln(sum(_inbred(s, p, F.col("f"))[1:], _inbred(s, p, F.col("f"))[0])))
+    ll = lambda p: F.aggregate("_s", F.lit(0.0), lambda t, s: t + s["scale"] + F.ln(sum(_inbred(s, p, F.col("f"))[1:], _inbred(s, p, F.col("f"))[0])))
     rows = rows.withColumn("p", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.5), step))
-    one = F.greatest(*(F.aggregate(F.transform("_s", lambda s: F.ln(s[k])), F.lit(0.0), lambda t, x: t + x) for k in ("l0", "l2")))
+    one = F.greatest(*(F.aggregate("_s", F.lit(0.0), lambda t, s: t + s[k]) for k in ("g0", "g2")))
     return rows.withColumns({"ll": ll(F.col("p")), "ll_one": one})
 
 
 def _by_locus(gl: DataFrame) -> DataFrame:
-    return dealt(likelihoods(gl), *LOCUS).groupBy(*LOCUS).agg(F.array_sort(F.collect_list(F.struct("sample", "l0", "l1", "l2"))).alias("_s"))
+    rows, total = likelihoods(gl), F.ln(sum(F.pow(F.lit(10.0), -F.col(f"pl{k}") / 10) for k in range(3)))
+    rows = rows.withColumns({f"g{k}": -F.col(f"pl{k}") / 10 * F.ln(F.lit(10.0)) - total for k in (0, 2)})
+    return dealt(rows, *LOCUS).groupBy(*LOCUS).agg(F.array_sort(F.collect_list(F.struct("sample", "l0", "l1", "l2", "g0", "g2"))).alias("_s"))
 
 
 def inbreeding_loci(gl: DataFrame, f: float, steps: int = 50) -> DataFrame:
